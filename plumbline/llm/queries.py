@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import minhash
+from plumbline.llm import langid, minhash
 from plumbline.llm.common import table
 
 
@@ -13,7 +14,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three folds of four."""
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(docs.doc_id.isNotNull() & ~langid.is_held_out(docs.doc_id))
+    model = langid.fit(learned.select(F.col("doc_id").alias("key"), "text", "lang"))
+    return langid.identify(docs.select("doc_id", langid.is_held_out(docs.doc_id).alias("held_out"), "text"), model, "doc_id", "held_out")
+
+
 QUERIES = {
+    "op10_langid": op10_langid,
     "op9_minhash": op9_minhash,
 }
 
