@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, minhash
+from plumbline.llm import langid, minhash, sharding
 from plumbline.llm.common import table
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a similarity of 0.85 or more on 3-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
@@ -23,6 +28,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_sharding": op4_sharding,
     "op10_langid": op10_langid,
     "op9_minhash": op9_minhash,
 }
