@@ -46,9 +46,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z and nothing else; ASCII texts take the faster way."""
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(slow)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once for a row, even where a lambda inside body repeats it."""
+    return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, minhash, sharding
+from plumbline.llm import decontaminate, langid, minhash, sharding
 from plumbline.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occur in windows of benchmark items."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a similarity of 0.85 or more on 3-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
@@ -30,6 +35,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op10_langid": op10_langid,
+    "op5_decontaminate": op5_decontaminate,
     "op9_minhash": op9_minhash,
 }
 
