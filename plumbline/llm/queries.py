@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, minhash, sharding
+from plumbline.llm import decontaminate, langid, minhash, quality, sharding
 from plumbline.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdict of every document."""
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a similarity of 0.85 or more on 3-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
@@ -36,7 +41,10 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op10_langid": op10_langid,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op9_minhash": op9_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality": quality.ORACLE_SQL,
+}
