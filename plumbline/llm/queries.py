@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, langid, minhash, quality, sharding
+from plumbline.llm import chat, decontaminate, langid, minhash, quality, sharding, warc
 from plumbline.llm.common import stage, table
 
 
@@ -24,6 +24,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from seekable bundles."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 #: A conversation whose texts hold every mark of a chat template.
 HOSTILE = "\\### Assistant: </turn> ok"
 
@@ -53,10 +58,12 @@ QUERIES = {
     "op10_langid": op10_langid,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_chat": op8_chat,
     "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op6_quality": quality.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
 }
