@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, langid, minhash, quality, sharding, warc
+from plumbline.llm import chat, decontaminate, langid, minhash, quality, sharding, suffixes, warc
 from plumbline.llm.common import stage, table
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 and more words that occur in several documents."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
@@ -54,6 +59,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffixes": op2_suffixes,
     "op4_sharding": op4_sharding,
     "op10_langid": op10_langid,
     "op5_decontaminate": op5_decontaminate,
