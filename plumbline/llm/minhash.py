@@ -31,7 +31,9 @@ POSITIONS, ROWS = 160, 5
 FINE_ROWS, FINE_BANDS = 12, 200
 #: A bucket of more classes than this is dealt again by the fine bands. Both ways are exact
 #: in the same sense: every pair that shares a bucket and is not yet connected is verified.
-LARGE = 64
+LARGE = 24
+#: Classes that are packed together where a large bucket is verified in blocks.
+BLOCK = 128
 #: A pair whose signatures agree on less than the threshold minus this is not verified
 #: (Hoeffding at 160 positions: a miss has probability below 3e-7).
 MARGIN = 0.22
@@ -175,10 +177,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     true. An empty table gives an empty one.
 
     Copies (equal sets) are folded into classes first. Candidates are classes that share a
-    band; within a bucket each class is verified against the smallest, and then, for as long
-    as a bucket holds several components, each class outside its largest component against
+    band; within a bucket each class is verified against the smallest, and then, where a
+    bucket still holds several components, each class outside its largest component against
     all classes of the other components, so that no link between different texts is lost
-    and no component is expanded into pairs.
+    and no component is expanded into pairs. Large buckets are first dealt again by longer
+    bands, and this second step goes over them in blocks.
     """
     text = F.col("text")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"), text)
@@ -209,10 +212,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     edges = stage(_verified(pairs, classes, sets, percent), "edges")
     parts = stage(connected_components(edges), "parts")
 
-    rest = stage(_unsettled(members, parts, pairs), "rest")
-    if rest.take(1):
-        edges = edges.unionByName(_verified(rest, classes, sets, percent))
-        parts = stage(connected_components(edges), "parts")
+    labelled = members.join(parts, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
+    labelled = stage(_mixed(labelled.where("size > 2")), "mixed")
+    rest = stage(_unsettled(labelled.where(F.col("size") <= LARGE), pairs), "rest")
+    more = stage(_verified(rest, classes, sets, percent).unionByName(_in_blocks(labelled.where(F.col("size") > LARGE), sets, percent)), "edges")
+    if more.take(1):
+        parts = stage(connected_components(edges.unionByName(more)), "parts")
 
     # only classes with copies or links need a look-up; all others stand for themselves
     named = classes.join(parts, "node", "left").select(
@@ -251,17 +256,71 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
 
-def _unsettled(members: DataFrame, parts: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components that are still to be verified.
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the component that has most classes there (top)."""
+    held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return labelled.join(held.select("bucket", F.col("top.root").alias("top")), "bucket")
+
+
+def _unsettled(mixed: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of one small bucket and different components that are still to be verified.
 
     Each has a class outside the bucket's largest component; two classes inside it are connected.
     """
-    labelled = members.where("size > 2").join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    labelled = stage(labelled, "labelled")
-    held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = labelled.join(held.select("bucket", F.col("top.root").alias("top")), "bucket")
     x = mixed.where("root <> top").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
     y = mixed.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"))
     pairs = x.join(y, "bucket").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of large buckets, (a, b).
+
+    Buckets that share classes form a family. The classes outside a family's largest
+    component are the queries; they are verified against all of the family block by block
+    on the full sets, and only links come out, so no pairs are ever listed.
+    """
+    none = mixed.sparkSession.createDataFrame([], "a long, b long")
+    if not mixed.take(1):
+        return none
+    low = mixed.groupBy("bucket").agg(F.min("node").alias("low"))
+    family = connected_components(mixed.join(low, "bucket").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    nodes = stage(mixed.select("node", "root").distinct().join(family.withColumnRenamed("root", "family"), "node"), "family")
+    held = nodes.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("family").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    dealt = nodes.join(held.select("family", F.col("top.root").alias("top"), "size"), "family").join(sets, "node")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+
+    def packed(df: DataFrame, end: str) -> DataFrame:
+        one = F.struct("node", "root", "items")
+        out = df.groupBy("family", "block").agg(F.collect_list(one).alias("x"))
+        return out.select("family", F.col("x.node").alias(f"{end}_node"), F.col("x.root").alias(f"{end}_root"), F.col("x.items").alias(f"{end}_items"))
+
+    met = packed(dealt.where("root <> top"), "q").join(packed(dealt, "d"), "family").drop("family")
+    return met.mapInArrow(_block_links(percent), "a long, b long")
+
+
+def _block_links(percent: int):
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for q_node, q_root, q_items, d_node, d_root, d_items in zip(*batch.columns, strict=True):
+                qn, qr, dn, dr = (np.array(x.values) for x in (q_node, q_root, d_node, d_root))
+                flat = d_items.values.flatten().to_numpy()
+                sizes = d_items.values.value_lengths().to_numpy()
+                begins = np.cumsum(sizes) - sizes
+                ids, at = np.unique(flat, return_inverse=True)
+                for i, items in enumerate(q_items.values):
+                    own = items.values.to_numpy()
+                    place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    here = np.zeros(len(ids), dtype=np.int32)
+                    here[place[ids[place] == own]] = 1
+                    common = np.add.reduceat(here[at], begins)
+                    hit = (100 * common >= percent * (len(own) + sizes - common)) & (dr != qr[i])
+                    found += [(int(qn[i]), int(x)) for x in dn[hit]]
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return linked

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, langid, minhash, quality, sharding, suffixes, warc
+from plumbline.llm import chat, decontaminate, langid, linededup, minhash, quality, sharding, suffixes, warc
 from plumbline.llm.common import stage, table
 
 
@@ -14,6 +14,11 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as text without the boilerplate lines of their hosts."""
+    return linededup.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
@@ -60,6 +65,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffixes": op2_suffixes,
+    "op3_linededup": op3_linededup,
     "op4_sharding": op4_sharding,
     "op10_langid": op10_langid,
     "op5_decontaminate": op5_decontaminate,
@@ -70,6 +76,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_linededup": linededup.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
 }
