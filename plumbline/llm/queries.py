@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, langid, linededup, minhash, quality, sharding, suffixes, warc
+from plumbline.llm import chat, decontaminate, langid, linededup, minhash, mixing, quality, sharding, suffixes, warc
 from plumbline.llm.common import stage, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of 50 and more words that occur in several documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_suffixes": op2_suffixes,
     "op3_linededup": op3_linededup,
     "op4_sharding": op4_sharding,
@@ -76,6 +82,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE_SQL,
     "op3_linededup": linededup.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
