@@ -178,10 +178,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Copies (equal sets) are folded into classes first. Candidates are classes that share a
     band; within a bucket each class is verified against the smallest, and then, where a
-    bucket still holds several components, each class outside its largest component against
+    bucket, or a bucket of the longer bands that large ones are dealt again by, still holds several components, each class outside its largest component against
     all classes of the other components, so that no link between different texts is lost
-    and no component is expanded into pairs. Large buckets are first dealt again by longer
-    bands, and this second step goes over them in blocks.
+    and no component is expanded into pairs. Over large buckets the second step goes in blocks.
     """
     text = F.col("text")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"), text)
