@@ -1,2 +1,12 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the engine over the driver's tables."""
+
+from __future__ import annotations
+
+from plumbline.plans import score_queries, text_queries
+
+QUERIES, ORACLES = {}, {}
+for _part in (text_queries.R, score_queries.R):
+    QUERIES.update(_part.queries)
+    ORACLES.update(_part.oracles)
+
+flagship = text_queries.coverage_ledger
