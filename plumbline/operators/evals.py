@@ -72,11 +72,11 @@ def mechanical(assertion: Column) -> Column:
         return F.when(assertion.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(assertion, pattern, 1).alias("arg")))
 
     return F.coalesce(
-        form("contains", r'^(?i:the )?(?:output|response) contains "([^"]+)"\.?$'),
-        form("absent", r'^(?i:the )?(?:output|response) does not contain "([^"]+)"\.?$'),
-        form("matches", r"^(?i:the )?(?:output|response) matches /([^/]+)/\.?$"),
-        form("starts", r'^(?i:the )?(?:output|response) starts with "([^"]+)"\.?$'),
-        form("at_most", r"^(?i:the )?(?:output|response) has at most (\d+) words\.?$"),
+        form("contains", r'^(?i:the )?(?i:output|response) contains "([^"]+)"\.?$'),
+        form("absent", r'^(?i:the )?(?i:output|response) does not contain "([^"]+)"\.?$'),
+        form("matches", r"^(?i:the )?(?i:output|response) matches /([^/]+)/\.?$"),
+        form("starts", r'^(?i:the )?(?i:output|response) starts with "([^"]+)"\.?$'),
+        form("at_most", r"^(?i:the )?(?i:output|response) has at most (\d+) words\.?$"),
     )
 
 
@@ -86,7 +86,7 @@ def run_mechanical(form: Column, output: Column) -> Column:
     return (
         F.when(kind == "contains", output.contains(arg))
         .when(kind == "absent", ~output.contains(arg))
-        .when(kind == "matches", output.rlike(arg))
+        .when(kind == "matches", F.regexp_like(output, arg))
         .when(kind == "starts", output.startswith(arg))
         .when(kind == "at_most", F.size(F.array_remove(F.split(output, r"\s+"), "")) <= F.try_to_number(arg, F.lit("999999999")))
     )
