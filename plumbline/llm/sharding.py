@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import stage
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def jump_hash(key: pd.Series, shards: pd.Series) -> pd.Series:
     """The shard, 0 to shards - 1, of each 64-bit key, without any table.
 
