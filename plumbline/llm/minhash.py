@@ -205,8 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         fine = classes.join(big, "node", "left_semi").select("node", "marks").mapInArrow(_fine_bands, "node long, bands array<long>")
         members = stage(members.unionByName(_buckets(fine)), "members")
 
-    pairs = stage(members.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    in_bucket = members.select("node").distinct()
+    pairs = stage(coarse.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    in_bucket = coarse.select("node").distinct()
     sets = _candidate_sets(src, stage(classes.join(in_bucket, "node", "left_semi").select("node", "rep"), "wanted"), k)
     edges = stage(_verified(pairs, classes, sets, percent), "edges")
     parts = stage(connected_components(edges), "parts")
