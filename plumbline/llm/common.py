@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Used only where spark.checkpoint.dir is unset, as in local tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
+#: Bytes of an Arrow batch, see small_batches.
+BATCH_BYTES = 8 << 20
+
 #: White space of the word contracts, as a regular expression class.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -23,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to and from Python tasks hold 8 MB at most; a smaller limit of the session stays.
+
+    Executors keep several such batches per core outside the heap, in the JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from plumbline.llm.common import small_batches
 from plumbline.llm.textkit import chunks
 
 ORDER = 3
@@ -34,7 +35,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 400, 200_000
 #: highest order are left out beyond it, and their symbols coded by the shorter context.
 MAX_CELLS = 48_000_000
 _PAD = b"\n" * ORDER
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 
 
 @dataclass
@@ -180,6 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *carry: str) -> DataF
     an empty one; other columns of docs are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(*carry, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
     schema = T.StructType(
         [*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import broadcast_if_small, stage
+from plumbline.llm.common import broadcast_if_small, small_batches, stage
 from plumbline.llm.components import connected_components
 from plumbline.llm.textkit import chunks, mix, shingles_of, words_of
 
@@ -177,11 +177,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     true. An empty table gives an empty one.
 
     Copies (equal sets) are folded into classes first. Candidates are classes that share a
-    band; within a bucket each class is verified against the smallest, and then, where a
-    bucket, or a bucket of the longer bands that large ones are dealt again by, still holds several components, each class outside its largest component against
-    all classes of the other components, so that no link between different texts is lost
-    and no component is expanded into pairs. Over large buckets the second step goes in blocks.
+    band. Each class is verified against the smallest class of that bucket with which it
+    shares most bands, then against one such class of each other component. Where a bucket,
+    or a bucket of the longer bands that large ones are dealt again by, still holds several
+    components, each class outside its largest component is verified against all classes of
+    the other components, so that no link between different texts is lost and no component
+    is expanded into pairs. Over large buckets that last step goes in blocks.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"), text)
     signed = stage(src.mapInArrow(_signer(k), SIGNED), "signed")
@@ -205,15 +208,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         fine = classes.join(big, "node", "left_semi").select("node", "marks").mapInArrow(_fine_bands, "node long, bands array<long>")
         members = stage(members.unionByName(_buckets(fine)), "members")
 
-    pairs = stage(coarse.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     in_bucket = coarse.select("node").distinct()
     sets = _candidate_sets(src, stage(classes.join(in_bucket, "node", "left_semi").select("node", "rep"), "wanted"), k)
-    edges = stage(_verified(pairs, classes, sets, percent), "edges")
+    stars = stage(coarse.where("node > low").groupBy(F.col("low").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "stars")
+    tested = stage(_nearest(stars, "b"), "tested")
+    edges = stage(_verified(tested, classes, sets, percent), "edges")
     parts = stage(connected_components(edges), "parts")
+    apart = _apart(stars.join(tested, ["a", "b"], "left_anti"), parts)
+    apart = stage(_nearest(apart, "b", "root_a"), "apart")
+    if apart.take(1):  # the pairs of each class with the other components around it
+        tested = tested.unionByName(apart)
+        edges = stage(edges.unionByName(_verified(apart, classes, sets, percent)), "edges")
+        parts = stage(connected_components(edges), "parts")
 
     labelled = members.join(parts, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
     labelled = stage(_mixed(labelled.where("size > 2")), "mixed")
-    rest = stage(_unsettled(labelled.where(F.col("size") <= LARGE), pairs), "rest")
+    rest = stage(_unsettled(labelled.where(F.col("size") <= LARGE), tested), "rest")
     more = stage(_verified(rest, classes, sets, percent).unionByName(_in_blocks(labelled.where(F.col("size") > LARGE), sets, percent)), "edges")
     if more.take(1):
         parts = stage(connected_components(edges.unionByName(more)), "parts")
@@ -255,6 +265,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
 
+def _nearest(stars: DataFrame, *by: str) -> DataFrame:
+    """(a, b): of each group of stars(a, b, n) the pair with most common bands."""
+    best = stars.groupBy(*by).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    return best.select("a", "b")
+
+
+def _apart(stars: DataFrame, parts: DataFrame) -> DataFrame:
+    """stars(a, b, n) whose ends lie in different components, with root_a."""
+    for end in ("a", "b"):
+        known = parts.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        stars = stars.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return stars.where("root_a <> root_b")
+
+
 def _mixed(labelled: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with the component that has most classes there (top)."""
     held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))

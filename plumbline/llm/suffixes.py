@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small, stage
+from plumbline.llm.common import broadcast_if_small, small_batches, stage
 from plumbline.llm.textkit import _BASE, _INVERSE, _power, chunks, mix, words_of
 
 SPAN, GRAM, WINDOW = 50, 8, 32
@@ -162,6 +162,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     repeated rows (equal id and text) count as one document, and so do repeats inside one
     document. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     src = docs.select(key.alias("doc_id"), F.xxhash64("text").alias("t1"), F.col("text"))
     found = candidates(src).groupBy("doc_id", "t1").agg(F.collect_set("at").alias("at"))

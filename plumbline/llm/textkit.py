@@ -13,7 +13,7 @@ import numpy as np
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -81,7 +81,7 @@ def hash_words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def chunks(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit characters each; a longer text stands alone."""
     begin = size = 0
     for i, t in enumerate(texts):
