@@ -226,19 +226,23 @@ def test_binomial_cdf(spark):
         assert r.p == pytest.approx(1.0 if r.k > r.n * 0.004 else want, rel=1e-9)
 
 
-def ppm(counts, context, symbol):
-    """Probability of a byte after a context, straight from the definition."""
+def ppm(counts, context, symbol, known):
+    """Probability of a byte after a context, straight from the definition; known keeps what is worked out."""
     if context is None:
         return 1 / 256
-    shorter = context[1:] if context else None
-    seen = counts.get(context, {})
-    if not seen:
-        return ppm(counts, shorter, symbol)
-    total, distinct = sum(seen.values()), len(seen)
-    if symbol in seen:
-        return seen[symbol] / (total + distinct)
-    spare = sum(ppm(counts, shorter, s) for s in range(256) if s not in seen)
-    return ppm(counts, shorter, symbol) * distinct / (total + distinct) / spare
+    if (context, symbol) not in known:
+        shorter = context[1:] if context else None
+        seen = counts.get(context, {})
+        total, distinct = sum(seen.values()), len(seen)
+        if not seen:
+            p = ppm(counts, shorter, symbol, known)
+        elif symbol in seen:
+            p = seen[symbol] / (total + distinct)
+        else:
+            spare = sum(ppm(counts, shorter, s, known) for s in range(256) if s not in seen)
+            p = ppm(counts, shorter, symbol, known) * distinct / (total + distinct) / spare
+        known[context, symbol] = p
+    return known[context, symbol]
 
 
 def test_code_lengths_are_those_of_the_trees():
@@ -253,7 +257,8 @@ def test_code_lengths_are_those_of_the_trees():
             for gram, n in g.items():
                 for order in range(4):
                     counts[gram[3 - order : 3]][gram[3]] += n
-            want = -sum(math.log(ppm(counts, raw[i - 3 : i], raw[i])) for i in range(3, len(raw)))
+            known = {}
+            want = -sum(math.log(ppm(counts, raw[i - 3 : i], raw[i], known)) for i in range(3, len(raw)))
             assert got[model.languages.index(lang)] == pytest.approx(want, rel=1e-5)
     both = model.code_lengths(["abb", "", "cdd é"] * 3)
     assert np.allclose(both[::3], model.code_lengths(["abb"])[0]) and not both[1].any()
