@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small, small_batches, stage
+from plumbline.llm.common import small_batches, stage, unstage
 from plumbline.llm.textkit import _BASE, _INVERSE, _power, chunks, mix, words_of
 
 SPAN, GRAM, WINDOW = 50, 8, 32
@@ -113,9 +113,9 @@ def _compared(table: pa.RecordBatch, before: int | None, edge: bool, last: bool)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(passage, doc_id, t1, begin) of all SPAN-word passages that have a candidate suffix within their first WINDOW words."""
+    """(passage, doc_id, node, begin) of all SPAN-word passages that have a candidate suffix within their first WINDOW words."""
     for batch in batches:
-        ids, marks, texts, places = batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
+        ids, nodes, texts, places = batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
         for a, b in chunks(texts):
             words, bounds = words_of(texts[a:b])
             found, doc, begins = [], [], []
@@ -131,13 +131,13 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begins.append(begin)
             where = pa.array(np.concatenate(doc))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64)), ids.take(where), marks.take(where), pa.array(np.concatenate(begins).astype(np.int32))],
-                names=["passage", "doc_id", "t1", "begin"],
+                [pa.array(np.concatenate(found).view(np.int64)), ids.take(where), nodes.take(where), pa.array(np.concatenate(begins).astype(np.int32))],
+                names=["passage", "doc_id", "node", "begin"],
             )
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Sort the kept suffixes of docs(doc_id, t1, text) and return those with an equal neighbour: doc_id, t1, at."""
+    """Sort the kept suffixes of docs(doc_id, t1, text); a staged row (node, c_id, c_t1, at) for each document that has some with an equal neighbour."""
     spark = docs.sparkSession
     kept = stage(docs.mapInArrow(_suffixes, "head long, doc_id long, t1 long, at int"), "suffixes")
     keys = ["head", "doc_id", "t1", "at"]  # the last three spread a very common head over several tasks
@@ -147,7 +147,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     # heads that meet only across two tasks: two edge rows for each task at most
     edges = near.where("edge").groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
     across = near.where("edge AND NOT same").join(F.broadcast(edges), "head", "left_semi")
-    return near.where("same").unionByName(across).select("doc_id", "t1", "at")
+    found = near.where("same").unionByName(across).groupBy(F.col("doc_id").alias("c_id"), F.col("t1").alias("c_t1")).agg(F.collect_set("at").alias("at"))
+    # a document's own list of places is bounded by its length; node numbers hold from here on
+    found = stage(found.select(F.monotonically_increasing_id().alias("node"), "c_id", "c_t1", "at"), "candidates")
+    unstage(kept, near)
+    return found
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -165,13 +169,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     src = docs.select(key.alias("doc_id"), F.xxhash64("text").alias("t1"), F.col("text"))
-    found = candidates(src).groupBy("doc_id", "t1").agg(F.collect_set("at").alias("at"))
-    found = stage(found.select(F.col("doc_id").alias("c_id"), F.col("t1").alias("c_t1"), "at"), "candidates")
-    # a document's own list of places is bounded by its length; the list is broadcast only if short
-    again = src.join(broadcast_if_small(found, 20_000), (F.col("doc_id") == F.col("c_id")) & (F.col("t1") == F.col("c_t1")))
-    passages = stage(again.select("doc_id", "t1", "text", "at").mapInArrow(_passages, "passage long, doc_id long, t1 long, begin int"), "passages")
+    found = candidates(src)
+    again = src.join(found, (F.col("doc_id") == F.col("c_id")) & (F.col("t1") == F.col("c_t1")))
+    passages = stage(again.select("doc_id", "node", "text", "at").mapInArrow(_passages, "passage long, doc_id long, node long, begin int"), "passages")
     shared = passages.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("passage", "low")
-    hits = passages.join(shared, "passage").groupBy("doc_id", "t1").agg(F.array_sort(F.collect_set(F.struct("begin", "low"))).alias("x"))
+    hits = passages.select("passage", "node", "begin").join(shared, "passage").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("begin", "low"))).alias("x"))
     merged = F.aggregate(
         "x",
         F.array().cast("array<struct<begin:int,end:int,low:bigint>>"),
@@ -183,6 +185,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(e["begin"].alias("begin"), (e["begin"] + SPAN).alias("end"), e["low"].alias("low"))))),
     )
+    hits = hits.join(found.select("node", F.col("c_id").alias("doc_id")), "node")
     spans = hits.select("doc_id", F.explode(merged).alias("s")).select("doc_id", "s.*")
     doc, first = (F.nullif(F.col(c), F.lit(NO_ID)) for c in ("doc_id", "low"))
     return spans.select(doc.alias("doc_id"), "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), first.alias("first_doc_id"))
