@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         parts = stage(connected_components(edges), "parts")
 
     labelled = members.join(parts, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
-    labelled = stage(_mixed(labelled.where("size > 2")), "mixed")
+    labelled = stage(_mixed(labelled), "mixed")
     rest = stage(_unsettled(labelled.where(F.col("size") <= LARGE), tested), "rest")
     more = stage(_verified(rest, classes, sets, percent).unionByName(_in_blocks(labelled.where(F.col("size") > LARGE), sets, percent)), "edges")
     if more.take(1):

@@ -79,6 +79,22 @@ def test_near_duplicates_in_large_buckets(spark):
     assert len(set(comp)) < len(rows)
 
 
+def test_pairs_of_fine_buckets_of_two(spark, monkeypatch):
+    """Near copies that share only a large coarse bucket, whose least class is near none or one of them."""
+    texts = [t for s in range(3) for t in (prose(s, 200), prose(s, 200) + " end")] + [prose(s, 80) for s in range(100, 130)]
+    made, calls = minhash._buckets, []
+
+    def buckets(bands):
+        calls.append(bands)
+        if len(calls) > 1:
+            return made(bands)
+        return bands.crossJoin(bands.agg(F.min("node").alias("low"), F.count("*").alias("size"))).select(F.lit(0).cast("long").alias("bucket"), "node", "low", "size")
+
+    monkeypatch.setattr(minhash, "_buckets", buckets)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert len(calls) == 2 and got == {i: i - i % 2 if i < 6 else i for i in range(len(texts))}
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
