@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,19 @@ def test_pairs_of_fine_buckets_of_two(spark, monkeypatch):
     assert len(calls) == 2 and got == {i: i - i % 2 if i < 6 else i for i in range(len(texts))}
 
 
+def test_fine_bands_rarely_miss():
+    """Of 20000 pairs of signatures at a similarity of 0.8, all but one in 10000 share a fine band."""
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(10):
+        a = rng.integers(0, 1 << 16, (2000, minhash.POSITIONS)).astype(np.uint16)
+        b = np.where(rng.random(a.shape) < 0.8, a, a + np.uint16(1))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([x.tobytes() for x in (*a, *b)], pa.binary())], names=["node", "marks"])
+        bands = next(minhash._fine_bands(iter([batch]))).column(1).flatten().to_numpy().reshape(2, 2000, -1)
+        missed += int((bands[0] != bands[1]).all(axis=1).sum())
+    assert missed <= 2
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
