@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, langid, minhash, mixing, sharding
-from plumbline.llm.common import broadcast_if_small, stage, table
+from plumbline.llm.common import broadcast_if_small, numbered, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 8
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; rows without an id stay."""
-    return docs.join(broadcast_if_small(stage(gone.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(COLUMNS)
+    """docs, numbered, without the rows whose _row is in gone."""
+    return docs.join(broadcast_if_small(stage(gone.select("_row"), "gone")), "_row", "left_anti").select(COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near duplicates (5-word shingles, 0.8)."""
-    groups = minhash.near_duplicates(docs)
-    rest = _without(docs, groups.where("NOT kept"))
-    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rest.dropDuplicates(["doc_id"]) if again.take(1) else rest
+    """Keep one document of each group of near duplicates (5-word shingles, 0.8): the one with the least doc_id.
+
+    Rows are told apart by their places, so null and repeated ids are no copies by themselves;
+    a null id comes last in its group. Texts without a word stay.
+    """
+    docs = numbered(docs)
+    return _without(docs, minhash.near_duplicates(docs, row="_row").where("NOT chosen"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,16 @@ def unstage(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and _row: its file (a hash of the path) and place there, the same whenever the row is read.
+
+    What is not a plain scan of Parquet files is staged first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stage(docs, "numbered")
+    return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only if a count proves that df (staged, narrow) has few rows."""
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -76,11 +76,14 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     return out.reshape(len(sets), m)
 
 
+#: The name that numbered() gives a row.
+ROW = T.StructType([T.StructField("file", T.LongType()), T.StructField("at", T.LongType())])
 SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("t1", T.LongType()),
         T.StructField("t2", T.LongType()),
+        T.StructField("row", ROW),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_key", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
@@ -97,7 +100,7 @@ def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 def _signer(k: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(4).to_pylist()
             for a, b in chunks(texts):
                 sets = _sets(texts[a:b], k)
                 sig = signatures(sets, POSITIONS)
@@ -108,7 +111,7 @@ def _signer(k: int):
                 marks = mix(sig).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(a, b - a) for c in range(3)),
+                        *(batch.column(c).slice(a, b - a) for c in range(4)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([x if len(s) else None for x, s in zip(bands.view(np.int64), sets, strict=True)], pa.list_(pa.int64())),
@@ -165,7 +168,7 @@ def _buckets(bands: DataFrame) -> DataFrame:
     return found.join(sized, "bucket")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """Group documents whose sets of k-word shingles have a Jaccard similarity of percent/100 or more.
 
     docs needs doc_id (long) and text; other columns are ignored, whatever their names.
@@ -175,7 +178,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     text; a text of fewer than k words is one shingle; a null, empty or blank text has no
     shingle and stays alone. Repeated rows share a component. A null doc_id takes part in
     grouping but is never the smallest unless the whole group has none, and then kept is
-    true. An empty table gives an empty one.
+    true. An empty table gives an empty one. With row, a column of docs that names each row
+    (see numbered), the result also has that column and chosen: true for exactly one row of
+    each group, the least by doc_id (null last) and row, and for each row without a shingle.
 
     Copies (equal sets) are folded into classes first. Candidates are classes that share a
     band. Each class is verified against the smallest class of that bucket with which it
@@ -187,7 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     small_batches(docs.sparkSession)
     text = F.col("text")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"), text)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"), (F.col(row) if row else F.lit(None)).cast(ROW).alias("row"), text)
     signed = stage(src.mapInArrow(_signer(k), SIGNED), "signed")
     classes = (
         signed.where("set_key IS NOT NULL")
@@ -198,6 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             F.first("bands").alias("bands"),
             F.first("marks").alias("marks"),
             F.min(F.struct("doc_id", "t1", "t2")).alias("rep"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
@@ -231,14 +237,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # only classes with copies or links need a look-up; all others stand for themselves
     named = classes.join(parts, "node", "left").select(
-        "set_key", "low_id", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")
+        "set_key", "low_id", "first", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")
     )
-    lows = named.where("linked").groupBy("root").agg(F.min("low_id").alias("least_id"))
+    lows = named.where("linked").groupBy("root").agg(F.min("low_id").alias("least_id"), F.min("first").alias("least"))
     known = named.where("linked OR copies > 1").join(lows, "root", "left")
-    known = stage(known.select("set_key", F.coalesce("least_id", "low_id").alias("least_id"), F.lit(True).alias("known")), "known")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(broadcast_if_small(known), "set_key", "left")
+    known = known.select("set_key", F.coalesce("least_id", "low_id").alias("least_id"), F.coalesce("least", "first")["row"].alias("least"), F.lit(True).alias("known"))
+    known = stage(known, "known")
+    out = signed.select("doc_id", "row", "n_shingles", "set_key").join(broadcast_if_small(known), "set_key", "left")
     component = F.when(F.col("known"), F.col("least_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    more = [F.col("row").alias(row), F.when(F.col("known"), F.col("row") == F.col("least")).otherwise(True).alias("chosen")] if row else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
 def _candidate_sets(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -11,6 +11,7 @@ from plumbline.llm import chat, linededup, warc
 from plumbline.llm.common import stage
 from plumbline.llm.queries import HOSTILE
 from tests.llm.conftest import prose
+from tests.llm.test_text_operators import groups
 
 PAGES = "page_id long, url string, html string, sha1 string, bundle string, last long, size int, host string, lines int"
 BIG = "<p>" + prose(1, 300) + "</p>"
@@ -105,3 +106,27 @@ def test_pipeline(spark):
     for r in out:
         slots[r.shard].append(r.slot)
     assert len(out) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def awkward_documents():
+    """Null and repeated ids, copies and near copies under any of them, all rows different texts otherwise."""
+    one, near = prose(50, 150), prose(50, 150) + " more"
+    return [
+        *((None, prose(s, 80)) for s in range(60, 64)), (7, prose(64, 80)), (7, prose(65, 80)), (7, one), (3, near), (None, one), (8, prose(66, 80)), (8, prose(66, 80)),
+        (None, prose(67, 80)), (None, prose(67, 80)), (None, "two words"), (9, None), (9, None), (None, ""),
+    ]
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rows = awkward_documents()
+    # numbered in the order in which a group's rows are chosen, so that a group's least number is its row
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    comp, sets = groups([(i, t) for i, (_, t) in enumerate(order)], 5, 80)
+    want = Counter(r for i, r in enumerate(order) if not sets[i] or comp[i] == i)
+    df = documents(spark, rows)
+    for docs in (df, stage(df, "docs")):
+        assert Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, docs, "").collect()) == want
