@@ -40,8 +40,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that share no window with a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Keep documents that share no window with a benchmark item, whatever their ids."""
+    docs = numbered(docs)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), "_row")
     return _without(docs, found.where("contaminated"))
 
 

@@ -88,7 +88,7 @@ def _agreeing(a: Column, b: Column) -> Column:
     return let(same, lambda s: F.when(F.array_position(s, F.lit(False)) > 0, F.array_position(s, F.lit(False)) - 1).otherwise(F.size(s)).cast("int"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *carry: str) -> DataFrame:
     """How much of each document occurs in benchmark items, word by word.
 
     docs needs doc_id (long) and text, benchmark item_id and text; other columns are
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (words inside an occurrence of a window: SPAN consecutive words of an item, or all of
     an item that has fewer), n_items (distinct item_ids with such a window), items_sha256
     (hex digest of those ids, sorted as strings and joined by commas) and contaminated
-    (n_hit > 0). A null, empty or blank text has no words; an item without words has no
+    (n_hit > 0), and the carried columns of docs. A null, empty or blank text has no words; an item without words has no
     window; a null item_id hits but is not listed; repeated rows and ids are each answered
     or joined. With an empty benchmark every document is clean; no documents, no rows.
 
@@ -120,10 +120,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     text = F.col("text")
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"),
+        F.col("doc_id").cast("long").alias("doc_id"), *carry, F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"),
         let(words_of(text), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), _fingerprints(ws, spans).alias("prints"))).alias("w"),
     )
-    base = stage(base.select("doc_id", "t1", "t2", F.col("w.n").alias("n_words"), F.col("w.prints").alias("prints")), "prints")
+    base = stage(base.select("doc_id", *carry, "t1", "t2", F.col("w.n").alias("n_words"), F.col("w.prints").alias("prints")), "prints")
     hits = base.select("doc_id", "t1", "t2", F.explode("prints").alias("h")).join(broadcast_if_small(known), "h")
     hits = hits.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.collect_set("h").alias("wanted"))
     hits = stage(hits, "hits")
@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )["n"]
     found = found.select("t1", "t2", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("digest"))
     found = stage(found, "found")
-    out = base.select("doc_id", "n_words", "t1", "t2").join(broadcast_if_small(found), ["t1", "t2"], "left")
+    out = base.select("doc_id", *carry, "n_words", "t1", "t2").join(broadcast_if_small(found), ["t1", "t2"], "left")
     return out.select(
         "doc_id",
         "n_words",
@@ -154,4 +154,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *carry,
     )

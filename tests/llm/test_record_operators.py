@@ -11,7 +11,7 @@ from plumbline.llm import chat, linededup, warc
 from plumbline.llm.common import stage
 from plumbline.llm.queries import HOSTILE
 from tests.llm.conftest import prose
-from tests.llm.test_text_operators import groups
+from tests.llm.test_text_operators import contaminated, groups
 
 PAGES = "page_id long, url string, html string, sha1 string, bundle string, last long, size int, host string, lines int"
 BIG = "<p>" + prose(1, 300) + "</p>"
@@ -130,3 +130,13 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     df = documents(spark, rows)
     for docs in (df, stage(df, "docs")):
         assert Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, docs, "").collect()) == want
+
+
+def test_pipeline_drops_leaks_of_any_id(spark, tmp_path):
+    rows = awkward_documents()
+    items = [("a", " ".join(rows[0][1].split()[20:32])), ("b", rows[11][1]), ("c", "words two")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty = [next(iter(contaminated([r], items)))[-1] for r in rows]
+    assert sum(dirty) == 3
+    got = corpus_pipeline.leaks(spark, documents(spark, rows), str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r, x in zip(rows, dirty, strict=True) if not x)
