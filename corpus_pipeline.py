@@ -23,9 +23,11 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in some language; null texts and texts without a letter go."""
+    """Keep documents in some language; null texts and texts without a letter go, and nothing else if no label can be learned from."""
     docs = docs.select(COLUMNS)
     model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.identify(docs, model, *COLUMNS).where("lang_pred <> 'und'").select(COLUMNS)
 
 

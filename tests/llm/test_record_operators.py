@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import chat, linededup, warc
@@ -140,3 +141,10 @@ def test_pipeline_drops_leaks_of_any_id(spark, tmp_path):
     assert sum(dirty) == 3
     got = corpus_pipeline.leaks(spark, documents(spark, rows), str(tmp_path))
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r, x in zip(rows, dirty, strict=True) if not x)
+
+
+def test_pipeline_keeps_texts_without_any_label(spark):
+    rows = awkward_documents() + [(10, "12 !"), (None, "34")]
+    docs = documents(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
