@@ -4,11 +4,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import chat, linededup, warc
+from plumbline.llm import chat, linededup, mixing, warc
 from plumbline.llm.common import stage
 from plumbline.llm.queries import HOSTILE
 from tests.llm.conftest import prose
@@ -148,3 +149,14 @@ def test_pipeline_keeps_texts_without_any_label(spark):
     docs = documents(spark, rows).withColumn("lang", F.lit(None).cast("string"))
     got = corpus_pipeline.language(spark, docs, "")
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_pipeline_mixes_as_the_sql(spark):
+    rows = [(d, t, "en", f"s{i % 7 // 6}", 1) for i, (d, t) in enumerate(awkward_documents())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    want = Counter((d, s) for d, s, *_ in con.execute(mixing.ORACLE_SQL).fetchall())
+    out = corpus_pipeline.mix(spark, docs, "").collect()
+    assert want and Counter((r.doc_id, r.source) for r in out) == want and {tuple(r) for r in out} <= set(rows)
