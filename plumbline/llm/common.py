@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in local tests.
+#: Used only where spark.checkpoint.dir is unset on a local master, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
+#: A key with more rows than this, and than a ten-thousandth of all rows, is joined by broadcast.
+HOT_ROWS, HOT_SHARE = 2_000, 10_000
+
 #: Bytes of an Arrow batch, see small_batches.
 BATCH_BYTES = 8 << 20
 
@@ -18,9 +21,11 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; on a cluster it has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = DEFAULT_SHARED_DIR
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -77,6 +82,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined (how: inner or left) with keyed, which has one row for each key and in n how many of rows have it.
+
+    Keys with more than their share of rows are joined by broadcast, so no task gathers the
+    rows of one: there are at most HOT_SHARE such keys, since each has more than that part of
+    all rows. keyed is read several times and should be staged.
+    """
+    total, most = keyed.agg(F.sum(n), F.max(n)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if not most or most <= limit:
+        return rows.join(keyed, key, how)
+    hot = F.broadcast(keyed.where(F.col(n) > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(n) <= limit), key, how)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ASCII texts take the faster way."""
     slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

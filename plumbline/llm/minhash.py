@@ -8,16 +8,18 @@ fall, which for long documents is after the first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import broadcast_if_small, small_batches, stage
+from plumbline.llm.common import broadcast_if_small, join_counted, numbered, small_batches, stage
 from plumbline.llm.components import connected_components
 from plumbline.llm.textkit import chunks, mix, shingles_of, words_of
 
@@ -27,14 +29,10 @@ _GAMMA = 0x9E3779B97F4A7C15
 #: Positions of a signature, and its bands: at a similarity of 0.8 a pair is missed with
 #: probability (1 - 0.8^5)^32 = 3e-6, at 0.85 with 7e-9.
 POSITIONS, ROWS = 160, 5
-#: Bands of large buckets: subsets of FINE_ROWS positions. They overlap, so a miss is averaged over
-#: the number A of equal positions, (1 - C(A, 9) / C(160, 9))^200: 4e-6 at 0.8, 4e-7 at 0.82, 5e-9 at 0.85.
-FINE_ROWS, FINE_BANDS = 9, 200
-#: A bucket of more classes than this is dealt again by the fine bands. Both ways are exact
-#: in the same sense: every pair that shares a bucket and is not yet connected is verified.
-LARGE = 24
-#: Classes that are packed together where a large bucket is verified in blocks.
-BLOCK = 128
+#: Rounds in which classes are verified against one class of the largest component in each of their buckets.
+HUB_ROUNDS = 2
+#: Sizes of sets are told apart by this ratio in the exact search.
+SIZE_STEP = 1.01
 #: A pair whose signatures agree on less than the threshold minus this is not verified
 #: (Hoeffding at 160 positions: a miss has probability below 3e-7).
 MARGIN = 0.22
@@ -81,8 +79,6 @@ ROW = T.StructType([T.StructField("file", T.LongType()), T.StructField("at", T.L
 SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
-        T.StructField("t1", T.LongType()),
-        T.StructField("t2", T.LongType()),
         T.StructField("row", ROW),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_key", T.BinaryType()),
@@ -100,7 +96,7 @@ def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 def _signer(k: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(4).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 sets = _sets(texts[a:b], k)
                 sig = signatures(sets, POSITIONS)
@@ -111,7 +107,7 @@ def _signer(k: int):
                 marks = mix(sig).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(a, b - a) for c in range(4)),
+                        *(batch.column(c).slice(a, b - a) for c in range(2)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([x if len(s) else None for x, s in zip(bands.view(np.int64), sets, strict=True)], pa.list_(pa.int64())),
@@ -136,36 +132,18 @@ def _set_maker(k: int):
     return made
 
 
-def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands of FINE_ROWS positions each, drawn once with a fixed seed, of each class."""
-    picks = np.random.default_rng(11).permuted(np.tile(np.arange(POSITIONS), (FINE_BANDS, 1)), axis=1)[:, :FINE_ROWS]
-    for batch in batches:
-        marks = [np.frombuffer(x, dtype=np.uint16).astype(np.uint64) for x in batch.column(1).to_pylist()]
-        if not marks:
-            continue
-        m = np.stack(marks)
-        out = np.zeros((len(m), FINE_BANDS), dtype=np.uint64)
-        for r in range(FINE_ROWS):
-            out = mix(out * _U(3) + m[:, picks[:, r]])
-        out = mix(out + _U(1 << 20) + np.arange(FINE_BANDS, dtype=np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.int64()))], names=["node", "bands"])
-
-
 @F.pandas_udf(T.DoubleType())
-def _agreement(a, b):
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal positions of two signatures."""
-    import pandas as pd
-
-    return pd.Series(
-        [float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(a, b, strict=True)], dtype="float64"
-    )
+    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).mean(axis=1) if len(a) else [], dtype="float64")
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
-    """(bucket, node, low, size) of the buckets with more than one class."""
+    """(bucket, node, low, n) of the buckets with more than one class, n of them."""
     found = bands.select(F.explode("bands").alias("bucket"), "node")
-    sized = found.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return found.join(sized, "bucket")
+    sized = found.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return join_counted(found, stage(sized, "sized"), "bucket")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
@@ -184,15 +162,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | N
 
     Copies (equal sets) are folded into classes first. Candidates are classes that share a
     band. Each class is verified against the smallest class of that bucket with which it
-    shares most bands, then against one such class of each other component. Where a bucket,
-    or a bucket of the longer bands that large ones are dealt again by, still holds several
-    components, each class outside its largest component is verified against all classes of
-    the other components, so that no link between different texts is lost and no component
-    is expanded into pairs. Over large buckets that last step goes in blocks.
+    shares most bands, and then, round by round, against one class of the largest component
+    in each of its buckets. The classes whose buckets still hold a larger component than
+    theirs are searched for among all classes of such buckets, exactly (see _search), so
+    that no link between different texts is lost and no component is expanded into pairs.
     """
     small_batches(docs.sparkSession)
-    text = F.col("text")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2"), (F.col(row) if row else F.lit(None)).cast(ROW).alias("row"), text)
+    docs = docs if row else numbered(docs)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row or "_row").cast(ROW).alias("row"), "text")
     signed = stage(src.mapInArrow(_signer(k), SIGNED), "signed")
     classes = (
         signed.where("set_key IS NOT NULL")
@@ -202,38 +179,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | N
             F.count(F.lit(1)).alias("copies"),
             F.first("bands").alias("bands"),
             F.first("marks").alias("marks"),
-            F.min(F.struct("doc_id", "t1", "t2")).alias("rep"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = stage(classes, "classes")  # node numbers hold from here on
 
-    coarse = stage(_buckets(classes.select("node", "bands")), "buckets")
-    members = coarse.where(F.col("size") <= LARGE)
-    if (big := coarse.where(F.col("size") > LARGE).select("node").distinct()).take(1):
-        fine = classes.join(big, "node", "left_semi").select("node", "marks").mapInArrow(_fine_bands, "node long, bands array<long>")
-        members = stage(members.unionByName(_buckets(fine)), "members")
-
-    in_bucket = coarse.select("node").distinct()
-    sets = _candidate_sets(src, stage(classes.join(in_bucket, "node", "left_semi").select("node", "rep"), "wanted"), k)
-    stars = stage(coarse.where("node > low").groupBy(F.col("low").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "stars")
-    tested = stage(_nearest(stars, "b"), "tested")
-    edges = stage(_verified(tested, classes, sets, percent), "edges")
-    parts = stage(connected_components(edges), "parts")
-    apart = _apart(stars.join(tested, ["a", "b"], "left_anti"), parts)
-    apart = stage(_nearest(apart, "b", "root_a"), "apart")
-    if apart.take(1):  # the pairs of each class with the other components around it
-        tested = tested.unionByName(apart)
-        edges = stage(edges.unionByName(_verified(apart, classes, sets, percent)), "edges")
-        parts = stage(connected_components(edges), "parts")
-
-    labelled = members.join(parts, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
-    labelled = stage(_mixed(labelled), "mixed")
-    rest = stage(_unsettled(labelled.where(F.col("size") <= LARGE), tested), "rest")
-    more = stage(_verified(rest, classes, sets, percent).unionByName(_in_blocks(labelled.where(F.col("size") > LARGE), sets, percent)), "edges")
-    if more.take(1):
-        parts = stage(connected_components(edges.unionByName(more)), "parts")
+    buckets = stage(_buckets(classes.select("node", "bands")), "buckets")
+    in_bucket = buckets.select("node").distinct()
+    sets = _candidate_sets(src, stage(classes.join(in_bucket, "node", "left_semi").select("node", "first.row"), "wanted"), k)
+    stars = buckets.where("node > low").groupBy(F.col("low").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    parts = stage(connected_components(_verified(nearest, classes, sets, percent)), "parts")
+    mixed = buckets
+    for turn in range(HUB_ROUNDS + 1):
+        mixed = stage(_mixed(mixed.select("bucket", "node"), parts, turn), "mixed")  # a settled bucket stays settled
+        if not mixed.take(1):
+            break
+        if turn < HUB_ROUNDS:
+            pairs = mixed.where("mine < top").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        else:
+            pairs = _search(mixed, sets, percent)
+        more = stage(_verified(pairs, classes, sets, percent), "links")
+        if more.take(1):
+            parts = stage(connected_components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)), "parts")
 
     # only classes with copies or links need a look-up; all others stand for themselves
     named = classes.join(parts, "node", "left").select(
@@ -241,9 +210,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | N
     )
     lows = named.where("linked").groupBy("root").agg(F.min("low_id").alias("least_id"), F.min("first").alias("least"))
     known = named.where("linked OR copies > 1").join(lows, "root", "left")
-    known = known.select("set_key", F.coalesce("least_id", "low_id").alias("least_id"), F.coalesce("least", "first")["row"].alias("least"), F.lit(True).alias("known"))
-    known = stage(known, "known")
-    out = signed.select("doc_id", "row", "n_shingles", "set_key").join(broadcast_if_small(known), "set_key", "left")
+    known = known.select("set_key", "copies", F.coalesce("least_id", "low_id").alias("least_id"), F.coalesce("least", "first")["row"].alias("least"), F.lit(True).alias("known"))
+    out = join_counted(signed.select("doc_id", "row", "n_shingles", "set_key"), stage(known, "known"), "set_key", "copies", "left")
     component = F.when(F.col("known"), F.col("least_id")).otherwise(F.col("doc_id"))
     more = [F.col("row").alias(row), F.when(F.col("known"), F.col("row") == F.col("least")).otherwise(True).alias("chosen")] if row else []
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
@@ -251,14 +219,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | N
 
 def _candidate_sets(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, items): full shingle sets of the wanted classes, each from one of its documents."""
-    found = src.join(
-        broadcast_if_small(wanted),
-        src.doc_id.eqNullSafe(wanted.rep.doc_id) & (src.t1 == wanted.rep.t1) & (src.t2 == wanted.rep.t2),
-    ).select("node", "text")
-    found = stage(found.mapInArrow(_set_maker(k), "node long, items array<long>"), "sets")
-    if found.count() > wanted.count():  # the document's row is repeated
-        found = stage(found.groupBy("node").agg(F.first("items").alias("items")), "sets")
-    return found
+    found = src.select(F.col("row").alias("of"), "text").join(broadcast_if_small(wanted), F.col("of") == F.col("row")).select("node", "text")
+    return stage(found.mapInArrow(_set_maker(k), "node long, items array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,97 +236,50 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
 
-def _nearest(stars: DataFrame, *by: str) -> DataFrame:
-    """(a, b): of each group of stars(a, b, n) the pair with most common bands."""
-    best = stars.groupBy(*by).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    return best.select("a", "b")
-
+def _mixed(buckets: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """Members of the buckets that hold several components: (bucket, node, mine, top, hub).
 
-def _apart(stars: DataFrame, parts: DataFrame) -> DataFrame:
-    """stars(a, b, n) whose ends lie in different components, with root_a."""
-    for end in ("a", "b"):
-        known = parts.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        stars = stars.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return stars.where("root_a <> root_b")
-
-
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with the component that has most classes there (top)."""
-    held = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    return labelled.join(held.select("bucket", F.col("top.root").alias("top")), "bucket")
-
-
-def _unsettled(mixed: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of one small bucket and different components that are still to be verified.
-
-    Each has a class outside the bucket's largest component; two classes inside it are connected.
+    mine and top are struct(size, root) of the member's component and of the largest one in
+    the bucket, and hub is a class of that one there, another in each turn.
     """
-    x = mixed.where("root <> top").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = mixed.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"))
-    pairs = x.join(y, "bucket").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    sizes = stage(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    mine = join_counted(parts, sizes, "root").select("node", F.struct("n", "root").alias("mine"))
+    labelled = buckets.join(broadcast_if_small(stage(mine, "sized")), "node", "left")
+    labelled = labelled.withColumn("mine", F.coalesce("mine", F.struct(F.lit(1).cast("long").alias("n"), F.col("node").alias("root"))))
+    held = labelled.groupBy("bucket", "mine").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"), F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("bucket").agg(
+        F.max("mine").alias("top"), F.max_by("hub", "mine").alias("hub"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")
+    )
+    return join_counted(labelled, stage(held.where("components > 1"), "held"), "bucket").select("bucket", "node", "mine", "top", "hub")
 
 
-def _in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components of large buckets, (a, b).
+def _search(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that can be similar enough, b being in the smaller one.
 
-    Buckets that share classes form a family. The classes outside a family's largest
-    component are the queries; they are verified against all of the family block by block
-    on the full sets, and only links come out, so no pairs are ever listed.
+    Similar sets of n and m items share at least need = percent (n + m) / (100 + percent)
+    of them. With the items of every set in one order, the rarest first, the first shared
+    one has need - 1 shared ones behind it, so its place is at most n - need in the one set
+    and m - need in the other. Every set is therefore listed under those of its items alone
+    that can be the first one, for each size of the other set (in steps of SIZE_STEP), and
+    sets that meet under an item are the pairs. Two sets that differ too much have no item
+    in common there but their rarest ones, so near copies that fall short of the
+    similarity are not listed against each other, however many there are.
     """
-    none = mixed.sparkSession.createDataFrame([], "a long, b long")
-    if not mixed.take(1):
-        return none
-    low = mixed.groupBy("bucket").agg(F.min("node").alias("low"))
-    family = connected_components(mixed.join(low, "bucket").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    nodes = stage(mixed.select("node", "root").distinct().join(family.withColumnRenamed("root", "family"), "node"), "family")
-    held = nodes.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy("family").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    dealt = nodes.join(held.select("family", F.col("top.root").alias("top"), "size"), "family").join(sets, "node")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-
-    def packed(df: DataFrame, end: str) -> DataFrame:
-        one = F.struct("node", "root", "items")
-        out = df.groupBy("family", "block").agg(F.collect_list(one).alias("x"))
-        return out.select("family", F.col("x.node").alias(f"{end}_node"), F.col("x.root").alias(f"{end}_root"), F.col("x.items").alias(f"{end}_items"))
-
-    met = packed(dealt.where("root <> top"), "q").join(packed(dealt, "d"), "family").drop("family")
-    return met.mapInArrow(_block_links(percent), "a long, b long")
-
-
-def _block_links(percent: int):
-    """Links between the components of two blocks, without those that close a ring."""
-
-    def top(up: dict[int, int], x: int) -> int:
-        while x in up:
-            x = up[x]
-        return x
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for q_node, q_root, q_items, d_node, d_root, d_items in zip(*batch.columns, strict=True):
-                qn, qr, dn, dr = (np.array(x.values) for x in (q_node, q_root, d_node, d_root))
-                flat = d_items.values.flatten().to_numpy()
-                sizes = d_items.values.value_lengths().to_numpy()
-                begins = np.cumsum(sizes) - sizes
-                ids, at = np.unique(flat, return_inverse=True)
-                up: dict[int, int] = {}
-                for i, items in enumerate(q_items.values):
-                    own = items.values.to_numpy()
-                    place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                    here = np.zeros(len(ids), dtype=np.int32)
-                    here[place[ids[place] == own]] = 1
-                    common = np.add.reduceat(here[at], begins)
-                    hit = (100 * common >= percent * (len(own) + sizes - common)) & (dr != qr[i])
-                    for r, x in zip(*np.unique(dr[hit], return_index=True), strict=True):
-                        a, b = top(up, int(qr[i])), top(up, int(r))
-                        if a != b:
-                            up[a] = b
-                            found.append((int(qn[i]), int(dn[hit][x])))
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return linked
+    nodes = stage(mixed.groupBy("node", "mine").agg(F.max(F.col("mine") < F.col("top")).alias("asks")), "nodes")
+    held = stage(nodes.join(sets, "node").select("node", "asks", F.explode("items").alias("item")), "items")
+    # an item of one class only, or of none that asks, starts no pair, but has its place in the order
+    often = held.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asked"))
+    met = join_counted(held, stage(often, "often"), "item")
+    ranked = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "item", "asked"))).alias("x")).join(nodes, "node")
+    ranked = ranked.select("node", "mine", "asks", F.size("x").alias("size"), F.posexplode("x").alias("at", "x")).where("x.n > 1 AND x.asked")
+
+    step = math.log(SIZE_STEP)
+    size_class = lambda m: F.floor(F.log(m) / step)
+    fewest, most = F.ceil(F.col("size") * percent / 100), F.floor(F.col("size") * 100 / percent)
+    listed = ranked.withColumn("other", F.explode(F.sequence(size_class(fewest), size_class(most))))
+    least = F.greatest(F.floor(F.exp(F.col("other") * step)) - 1, fewest)  # of the sizes in that class
+    listed = listed.where((100 + percent) * (F.col("size") - F.col("at")) >= percent * (F.col("size") + least))
+    listed = stage(listed.select("node", "mine", "asks", F.col("x.item").alias("item"), size_class(F.col("size")).alias("own"), "other"), "listed")
+    q = listed.where("asks").select("item", F.col("own").alias("s"), F.col("other").alias("t"), F.col("node").alias("b"), F.col("mine").alias("less"))
+    d = listed.select("item", F.col("other").alias("s"), F.col("own").alias("t"), F.col("node").alias("a"), F.col("mine").alias("more"))
+    return q.join(d, ["item", "s", "t"]).where("less < more").select("a", "b").distinct()

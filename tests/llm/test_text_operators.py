@@ -7,11 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, minhash, mixing, quality, sharding, suffixes
+from plumbline.llm import common, components, decontaminate, langid, minhash, mixing, quality, sharding, suffixes
+from plumbline.llm.common import stage
 from tests.llm.conftest import awkward_texts, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,33 +80,64 @@ def test_near_duplicates_in_large_buckets(spark):
     assert len(set(comp)) < len(rows)
 
 
-def test_pairs_of_fine_buckets_of_two(spark, monkeypatch):
-    """Near copies that share only a large coarse bucket, whose least class is near none or one of them."""
-    texts = [t for s in range(3) for t in (prose(s, 200), prose(s, 200) + " end")] + [prose(s, 80) for s in range(100, 130)]
-    made, calls = minhash._buckets, []
-
-    def buckets(bands):
-        calls.append(bands)
-        if len(calls) > 1:
-            return made(bands)
-        return bands.crossJoin(bands.agg(F.min("node").alias("low"), F.count("*").alias("size"))).select(F.lit(0).cast("long").alias("bucket"), "node", "low", "size")
-
-    monkeypatch.setattr(minhash, "_buckets", buckets)
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
-    assert len(calls) == 2 and got == {i: i - i % 2 if i < 6 else i for i in range(len(texts))}
-
-
-def test_fine_bands_rarely_miss():
-    """Of 20000 pairs of signatures at a similarity of 0.8, all but one in 10000 share a fine band."""
-    rng = np.random.default_rng(4)
-    missed = 0
-    for _ in range(10):
-        a = rng.integers(0, 1 << 16, (2000, minhash.POSITIONS)).astype(np.uint16)
-        b = np.where(rng.random(a.shape) < 0.8, a, a + np.uint16(1))
-        batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([x.tobytes() for x in (*a, *b)], pa.binary())], names=["node", "marks"])
-        bands = next(minhash._fine_bands(iter([batch]))).column(1).flatten().to_numpy().reshape(2, 2000, -1)
-        missed += int((bands[0] != bands[1]).all(axis=1).sum())
-    assert missed <= 2
+@pytest.mark.parametrize("percent", [80, 85])
+def test_search_lists_every_similar_pair(spark, percent):
+    """All pairs of different components at or above the similarity, of sets of many sizes."""
+    rng = np.random.default_rng(percent)
+    bases = [rng.choice(10**6, n, replace=False) for n in (1, 2, 7, 20, 60, 61, 300)]
+    sets = [np.unique([*b[rng.random(len(b)) < 0.93], *rng.integers(0, 10**6, int(rng.integers(0, 2 + len(b) // 12)))]) for b in bases for _ in range(16)]
+    sets = [s if len(s) else np.array([5]) for s in sets]
+    size = Counter(i % 5 for i in range(len(sets)))  # the component of each is its number modulo 5
+    mine = [(size[i % 5], i % 5) for i in range(len(sets))]
+    mixed = spark.createDataFrame([(7, i, m, max(mine), 0) for i, m in enumerate(mine)], "bucket long, node long, mine struct<n:long,root:long>, top struct<n:long,root:long>, hub long")
+    items = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "node long, items array<long>")
+    want = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            n = len(np.intersect1d(x, y))
+            if mine[j] < mine[i] and 100 * n >= percent * (len(x) + len(y) - n):
+                want.add((i, j))
+    got = {(r.a, r.b) for r in minhash._search(mixed, items, percent).collect()}
+    assert want <= got and len(want) > 40 and len(got) < 6 * len(want)
+
+
+def test_pairs_grow_with_the_texts_only(spark, monkeypatch):
+    """Families around the threshold: the pairs that are verified stay within a multiple of the texts."""
+    verified, listed = minhash._verified, []
+
+    def counted(pairs, *more):
+        pairs = stage(pairs, "pairs")
+        listed.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    for n in (150, 600):
+        listed.clear()
+        rows = list(enumerate(family(n, 200, 16, 5)))
+        minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).count()
+        assert sum(listed) < 24 * n
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 0).when(F.col("id") < 290, F.col("id") % 30).alias("key"), "id")
+    keyed = rows.where("key IS NOT NULL AND key <> 7").groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        assert Counter(common.join_counted(rows, keyed, "key", how=how).collect()) == Counter(rows.join(keyed, "key", how).collect())
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(400 + i, 401 + i) for i in range(30)] + [(500, 500 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    root = list(range(600))
+    for _ in range(600):
+        for a, b in edges:
+            if a is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    assert got == {x: root[x] for x in linked}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_superminhash_estimates_similarity():
