@@ -7,9 +7,10 @@ probabilities under the next shorter context; below order 0 all 256 bytes are eq
 likely. A text's code length under a language is the sum of -ln p over all its bytes
 (A-Z lower-cased, preceded by three newlines); the shortest code wins.
 
-Since the counts are frozen, all code lengths are worked out once, into one row for each
-context that any language has seen, so scoring a batch is two table look-ups per byte for
-all languages together.
+Only what was seen is kept: sorted tables of the strings of one to four bytes of each
+language with their code lengths, and of its contexts with the price of an escape. A batch
+of texts is reduced to its distinct strings of four bytes, which are looked up for each
+language, longest context first.
 """
 
 from __future__ import annotations
@@ -29,103 +30,108 @@ from plumbline.llm.textkit import chunks
 
 ORDER = 3
 #: The model is fitted on at most so many labelled documents of each language (those with
-#: the smallest hashes of their ids, whole), none of more than SAMPLE_BYTES bytes.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 200_000
-#: Most cells (contexts x symbols x languages) of the model's table; rarer contexts of the
-#: highest order are left out beyond it, and their symbols coded by the shorter context.
-MAX_CELLS = 48_000_000
+#: the smallest hashes, whole), none of more than SAMPLE_BYTES bytes, and on the LANGUAGES
+#: values of lang with most documents.
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 400, 200_000, 1_000
 _PAD = b"\n" * ORDER
-_BLOCK = 1 << 18
+_BLOCK = 1 << 20
+
+
+@dataclass
+class Level:
+    """One order of one language: nats of each string seen, and of an escape from each context."""
+
+    grams: np.ndarray  # sorted; context and symbol, big-endian
+    nats: np.ndarray
+    contexts: np.ndarray  # sorted
+    escapes: np.ndarray
 
 
 @dataclass
 class LanguageModel:
-    """Frozen statistics: codes[contexts[c3, c2, c1] * A + c0] has each language's code length in nats."""
+    """Frozen statistics: the levels of each language by order."""
 
     languages: list[str]
-    classes: np.ndarray  # of each byte; 0: never seen
-    contexts: np.ndarray  # row for three classes in a row, the nearest last
-    codes: np.ndarray  # (rows * A, languages)
+    levels: list[list[Level]]
+
+    def nats(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each string of ORDER + 1 bytes after the others, by language."""
+        out = np.zeros((len(grams), len(self.languages)))
+        for i, levels in enumerate(self.levels):
+            left = np.arange(len(grams))  # what no longer context has seen
+            for order in range(ORDER, -1, -1):
+                level, g = levels[order], grams[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+                at, seen = _find(level.grams, g)
+                out[left[seen], i] += level.nats[at[seen]]
+                left, g = left[~seen], g[~seen]
+                at, seen = _find(level.contexts, g >> np.uint32(8))
+                out[left[seen], i] += level.escapes[at[seen]]
+            out[left, i] += np.log(256)
+        return out
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Nats of each whole text under each language."""
         raw = [_PAD + t.encode("utf-8", "surrogatepass").lower() for t in texts]
         ends = np.cumsum([len(r) for r in raw])
         blob = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        a = int(self.classes.max()) + 1
-        begins = np.concatenate([[0], ends[:-1]])
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         pads = (begins[:, None] + np.arange(ORDER)).ravel()  # are context only, not coded
         out = np.zeros((len(texts), len(self.languages)))
         for at in range(0, len(blob), _BLOCK):
             to = min(len(blob), at + _BLOCK)
-            c = self.classes[blob[max(0, at - ORDER) : to]].astype(np.int64)
-            c = np.concatenate([np.zeros(max(0, ORDER - at), dtype=np.int64), c])
-            row = self.contexts[(c[:-3] * a + c[1:-2]) * a + c[2:-1]].astype(np.int64)
-            code = self.codes[row * a + c[3:]]
-            code[pads[np.searchsorted(pads, at) : np.searchsorted(pads, to)] - at] = 0
+            c = np.concatenate([np.zeros(max(0, ORDER - at), dtype=np.uint8), blob[max(0, at - ORDER) : to]])
+            grams, where = np.unique(_strings(c), return_inverse=True)
+            nats = self.nats(grams)
             first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, to)
             starts = np.concatenate([[at], ends[first:last]]) - at
-            out[first : last + 1] += np.add.reduceat(code, starts, axis=0, dtype=np.float64)
+            skipped = pads[np.searchsorted(pads, at) : np.searchsorted(pads, to)] - at
+            for i in range(len(self.languages)):
+                code = nats[where, i]
+                code[skipped] = 0
+                out[first : last + 1, i] += np.add.reduceat(code, starts)
         return out
 
 
+def _strings(b: np.ndarray) -> np.ndarray:
+    """All runs of ORDER + 1 bytes as numbers."""
+    b = b.astype(np.uint32)
+    return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and which of them are there."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), dtype=bool)
+
+
 def build(counts: dict[str, dict[bytes, int]]) -> LanguageModel | None:
     """The model for counts of byte strings of ORDER + 1 bytes (context and symbol) by language."""
-    languages = sorted(counts)
     if not any(counts.values()):
         return None
-    keys = {lang: np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, ORDER + 1) for lang, x in counts.items() if x}
-    seen = np.zeros(256, dtype=bool)
-    for k in keys.values():
-        seen[k.ravel()] = True
-    classes = np.zeros(256, dtype=np.uint8 if seen.sum() < 256 else np.uint16)
-    classes[seen] = np.arange(1, seen.sum() + 1)
-    a = int(classes.max()) + 1
-    weight = np.array([256 - seen.sum(), *np.ones(a - 1)])  # bytes in each class
-    grams, numbers = {}, {}
-    for lang, k in keys.items():
-        c = classes[k].astype(np.int64)
-        grams[lang] = ((c[:, 0] * a + c[:, 1]) * a + c[:, 2]) * a + c[:, 3]
-        numbers[lang] = np.array(list(counts[lang].values()), dtype=np.float64)
-
-    # the contexts of each order that any language has seen, as numbers of their last classes
-    own = []
-    for order in range(ORDER + 1):
-        ctx, n = np.unique(np.concatenate([g // a % a**order for g in grams.values()]), return_counts=True)
-        room = max(1, MAX_CELLS // (a * len(languages)) - sum(map(len, own)))
-        if len(ctx) > room:
-            ctx = np.sort(ctx[np.argsort(-n, kind="stable")[:room]])
-        own.append(ctx)
-    first = np.cumsum([0, *map(len, own)])
-    codes = np.zeros((int(first[-1]), a, len(languages)), dtype=np.float32)
-    contexts = np.zeros(1, dtype=np.int32)  # row by the last classes, of any order so far
-    maps = []
+    languages = sorted(counts)
+    return LanguageModel(languages, [_levels(counts[lang]) for lang in languages])
+
+
+def _levels(counts: dict[bytes, int]) -> list[Level]:
+    keys = np.frombuffer(b"".join(counts), dtype=">u4").astype(np.uint32)
+    n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+    levels: list[Level] = []
     for order in range(ORDER + 1):
-        contexts = np.tile(contexts, a) if order else contexts  # a longer context starts as its shorter one
-        contexts[own[order]] = first[order] + np.arange(len(own[order]))
-        maps.append(contexts.copy())
-    for i, lang in enumerate(languages):
-        below = np.tile(1 / 256, (1, a))  # of one byte of the class
-        for order in range(ORDER + 1):
-            ctx = own[order]
-            cell = np.zeros((len(ctx), a))
-            if lang in grams:
-                g, n = grams[lang] % a ** (order + 1), numbers[lang]
-                at = np.searchsorted(ctx, g // a)
-                held = (at < len(ctx)) & (ctx[np.minimum(at, len(ctx) - 1)] == g // a)
-                np.add.at(cell, (at[held], g[held] % a), n[held])
-            if order:  # the shorter context's probabilities
-                p = below[maps[order - 1][ctx % a ** (order - 1)]]
-            else:
-                p = below
-            total, distinct = cell.sum(axis=1, keepdims=True), (cell > 0).sum(axis=1, keepdims=True)
-            spare = (p * weight * (cell == 0)).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mine = np.where(cell > 0, cell / (total + distinct), p * distinct / (total + distinct) / spare)
-            mine = np.where(total > 0, mine, p)
-            below = np.concatenate([below, mine]) if order else mine
-        codes[:, :, i] = -np.log(np.clip(below, 1e-30, 1))
-    return LanguageModel(languages, classes, contexts, codes.reshape(-1, len(languages)))
+        grams, back = np.unique(keys & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        held = np.bincount(back, weights=n, minlength=len(grams))
+        contexts, of = np.unique(grams >> np.uint32(8), return_inverse=True)
+        total, distinct = np.bincount(of, weights=held, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+        if order:  # a string was seen after every shorter context if it was after the longer one
+            shorter = levels[-1].nats[np.searchsorted(levels[-1].grams, grams & np.uint32((1 << 8 * order) - 1))]
+        else:
+            shorter = np.full(len(grams), np.log(256))
+        spare = 1 - np.bincount(of, weights=np.exp(-shorter), minlength=len(contexts))  # of the symbols not seen here
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escapes = np.where(distinct < 256, np.log(spare) - np.log(distinct / (total + distinct)), 0)
+            nats = -np.log(held / (total + distinct)[of])
+        levels.append(Level(grams, nats, contexts, escapes))
+    return levels
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -137,17 +143,20 @@ def fit(labelled: DataFrame, docs_each: int = SAMPLE_DOCS) -> LanguageModel | No
     """Fit on labelled(key, text, lang): a bounded sample of each language's rows.
 
     Rows with a null key, text or lang, empty texts and texts over SAMPLE_BYTES are not
-    learned from. The sample is thinned by a hash before it is ranked, so no language's
-    rows meet in one task. None if nothing is left.
+    learned from; rows with equal key and text count once. The sample is thinned by a hash
+    before it is ranked, so no language's rows meet in one task. Of more than LANGUAGES
+    values of lang those with fewest documents are not learned. None if nothing is left.
     """
     rows = labelled.select(F.col("key").cast("string").alias("key"), "text", F.col("lang").cast("string").alias("lang")).where(
         (F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES) & F.col("key").isNotNull() & F.col("lang").isNotNull()
     )
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(1 << 30)))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rate = sizes.select("lang", F.ceil(F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(3.0 * docs_each) / F.col("n"))).alias("below"))
-    rows = rows.join(F.broadcast(rate), "lang").where("h < below")
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "key", F.xxhash64("text"))))
+    rows = rows.select("lang", "text", F.shiftright(F.xxhash64("key", "text"), 2).alias("h"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(3.0 * docs_each) / F.col("n"))
+    rate = sizes.select("lang", ((share * 2.0 - 1.0) * float(1 << 61)).alias("below"))
+    rows = rows.join(F.broadcast(rate), "lang").where("h <= below")  # LANGUAGES rows at most
+    rows = rows.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
     grams = rows.where(F.col("rank") <= docs_each).select("lang", "text").mapInArrow(_grams, "lang string, gram int, n long")
     counts: dict[str, dict[bytes, int]] = {}
     for lang, gram, n in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas().itertuples(index=False):
@@ -163,8 +172,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in sorted(set(langs)):
             found = []
             for t in (texts[i] for i in np.flatnonzero(langs == lang)):
-                b = np.frombuffer(_PAD + t.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8).astype(np.uint32)
-                found.append((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])
+                found.append(_strings(np.frombuffer(_PAD + t.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)))
             gram, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int32)), pa.array(n, pa.int64())], names=["lang", "gram", "n"]
