@@ -53,17 +53,18 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
     ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     placed = stage(ranged.drop("_row"), "slots").select(
         *names,
-        F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"),
+        F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_part"),
+        F.regexp_extract("_metadata.file_name", r"-c(\d+)\.[^-]*$", 1).cast("long").alias("_piece"),  # a task's files, where their rows are limited
         F.col("_metadata.row_index").alias("_at"),
     )
-    held = placed.groupBy("_file", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).collect()  # a row for each file and shard that meet
+    held = placed.groupBy("_part", "_piece", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).collect()  # a row for each file and shard that meet
     before: dict[int, int] = {}
     offsets = []
-    for x in sorted(held, key=lambda x: (x["shard"], x["_file"])):
-        offsets.append((x["_file"], x["shard"], before.get(x["shard"], 0) - x["_first"]))
+    for x in sorted(held, key=lambda x: (x["shard"], x["_part"], x["_piece"])):
+        offsets.append((x["_part"], x["_piece"], x["shard"], before.get(x["shard"], 0) - x["_first"]))
         before[x["shard"]] = before.get(x["shard"], 0) + x["n"]
-    known = spark.createDataFrame(offsets, "_file long, shard int, _shift long")
-    return placed.join(F.broadcast(known), ["_file", "shard"]).select(*names, (F.col("_at") + F.col("_shift")).alias("slot"))
+    known = spark.createDataFrame(offsets, "_part long, _piece long, shard int, _shift long")
+    return placed.join(F.broadcast(known), ["_part", "_piece", "shard"]).select(*names, (F.col("_at") + F.col("_shift")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
