@@ -27,6 +27,8 @@ from plumbline.llm.common import broadcast_if_small, fresh_path, stage
 
 #: Raw bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME, BUNDLE = 1 << 20, 256 << 20
+#: Raw bytes that a task reads back.
+READ = 128 << 20
 #: Payloads below this are never revisits.
 LEAST = 1000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -178,7 +180,9 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Read every frame that the index names and describe its records (schema RECORDS).
 
-    Frames are dealt to tasks one by one and found through their bundle's seek table. The
+    Frames are dealt to tasks one by one, READ bytes or a core's share to each, and found
+    through their bundle's seek table; the list of frames is tiny beside what they hold, so
+    its own size must not decide on the number of tasks. The
     digest of a response is taken anew from its payload and must agree with its header; a
     revisit has the digest and size of its full payload in its headers.
     """
@@ -201,7 +205,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
     frames = index.groupBy("bundle", "frame").agg(F.count(F.lit(1)).alias("n"))
-    frames = frames.select("bundle", "frame").sortWithinPartitions("bundle", "frame")
+    raw = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = min(raw // FRAME + 1, max(raw // READ + 1, index.sparkSession.sparkContext.defaultParallelism))
+    frames = frames.select("bundle", "frame").repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame")
     return frames.mapInArrow(described, RECORDS)
 
 
