@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, components, decontaminate, langid, minhash, mixing, quality, sharding, suffixes
+from plumbline.llm import common, components, decontaminate, langid, minhash, mixing, quality, queries, sharding, suffixes
 from plumbline.llm.common import stage
 from tests.llm.conftest import awkward_texts, prose
 
@@ -57,6 +57,16 @@ def test_near_duplicates(spark, awkward, empty, k, percent):
     assert minhash.near_duplicates(empty, k, percent).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_of_the_documents(spark, k, percent):
+    """All links between the generated documents, by comparing all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    comp, _ = groups(rows, k, percent)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k, percent).collect()}
+    assert got == {d: c for (d, _), c in zip(rows, comp, strict=True)} and len(set(comp)) < len(rows)
+
+
 def family(n, size, changes, seed):
     """n texts that each differ from one base in some words."""
     rng = np.random.default_rng(seed)
@@ -247,6 +257,15 @@ def test_sharding(spark, awkward, empty):
         ids = [-1 if r.doc_id is None else r.doc_id for r in mine]
         assert ids == sorted(ids)
     assert sharding.shard_documents(empty).count() == 0
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")  # tasks then write several files
+    try:
+        pieces = Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.shard_documents(awkward, 8).collect())
+        placed = Counter((r.shard, r.slot) for r in sharding.shard_documents(awkward, 2).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert pieces == Counter((r.doc_id, r.text_crc32, r.shard) for r in out)
+    for s in (0, 1):
+        assert sorted(k for x, k in placed.elements() if x == s) == list(range(sum(x == s for x, _ in placed)))
     many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     grown = sharding.shard_documents(many, 8).where("shard <> grown_shard").collect()
     assert all(r.grown_shard == 8 for r in grown) and 350 < len(grown) < 780
@@ -349,6 +368,20 @@ def test_language(spark, awkward, empty):
     assert {r.lang_pred for r in langid.identify(awkward, None, "doc_id").collect()} == {"und"}
 
 
+def test_language_query_holds_a_fold_out(spark, tmp_path):
+    """crc32(doc_id) mod 4 = 2 is held out: its labels change no prediction, and are met all the same."""
+    rows = [(i, " ".join(f"{x}{'ing the' if i % 2 else 'eau les'}" for x in prose(i, 30).split()), ("fr", "en")[i % 2]) for i in range(160)] + [(500, None, "en"), (501, "12", "fr"), (None, "the going", None)]
+    held = {d for d, *_ in rows if d is not None and zlib.crc32(str(d).encode()) % 4 == 2}
+    out = []
+    for n, labels in enumerate((rows, [(d, t, "xx" if d in held else x) for d, t, x in rows])):
+        spark.createDataFrame(labels, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        out.append({r.doc_id: tuple(r) for r in queries.op10_langid(spark, f"{tmp_path}/{n}").collect()})
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    assert {d for d, x in out[0].items() if x[1]} == held and len(held) > 20
+    assert all(out[0][d][2] == x for d, _, x in rows if d in held and d < 500)
+    assert out[0][500][2] == out[0][501][2] == "und"
+
+
 def test_mixing(spark, awkward, empty):
     out = mixing.mix_sources(awkward).collect()
     assert {r.source for r in out} <= {"a", "b", "c", None}
@@ -356,13 +389,19 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix_sources(awkward.withColumn("text", F.lit(None).cast("string"))).count() == 0
 
 
-def test_mixing_meets_its_target(spark):
-    rows = [(i, prose(i, 20), "big" if i % 10 else f"s{i // 10 % 4}") for i in range(2000)]
+@pytest.mark.parametrize(("one_in", "binds"), [(10, "repeats"), (2, "entropy")])
+def test_mixing_meets_its_target(spark, one_in, binds):
+    """The four small sources are to reach the target entropy, unless they would repeat too often."""
+    rows = [(i, prose(i, 20), "big" if i % one_in else f"s{i // one_in % 4}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     p = mixing.plan(docs)
     w = {r.source: r for r in p.sources.collect()}
     h = -sum(r.weight * math.log(r.weight) for r in w.values())
-    assert h == pytest.approx(mixing.ENTROPY * math.log(5), abs=1e-4)
+    most = max(r.target / r.tokens for r in w.values())
+    if binds == "entropy":
+        assert h == pytest.approx(mixing.ENTROPY * math.log(5), abs=1e-4) and most < mixing.REPEATS
+    else:
+        assert most == pytest.approx(mixing.REPEATS, rel=1e-3) and h < mixing.ENTROPY * math.log(5)
     assert sum(r.weight for r in w.values()) == pytest.approx(1)
     got = Counter()
     for r in mixing.mixed(docs, p, "doc_id", "source").collect():
