@@ -64,12 +64,26 @@ def lint(path: Column) -> Column:
     )
 
 
+def effective_writes(write: Column, deny: Column) -> Column:
+    """The write entries that no deny_write entry takes back: the same path, or a bare name anywhere."""
+
+    def denied(entry: Column) -> Column:
+        return F.exists(deny, lambda e: (normalize(e) == normalize(entry)) | (~normalize(e).contains("/") & (normalize(e) == basename(entry))))
+
+    return F.filter(write, lambda e: ~denied(e))
+
+
 def risk_tier(write: Column, deny: Column, shell: Column, allow: Column) -> Column:
-    """The least tier that a package's permissions ask for."""
+    """The least tier that a package's permissions ask for.
+
+    An identity file counts by base name, wherever it lies; other writes count only if they
+    are effective.
+    """
     identity = F.lit(False)
     for f in IDENTITY_FILES:
-        identity = identity | write_allowed(write, deny, f)
-    writes, sends = F.size(write) > 0, F.size(allow) > 0
+        named = lambda e: basename(e) == f  # noqa: B023, E731
+        identity = identity | (F.exists(write, named) & ~F.exists(deny, named))
+    writes, sends = F.size(effective_writes(write, deny)) > 0, F.size(allow) > 0
     return F.when(identity | (shell & writes), "L3").when(shell, "L2").when(writes | sends, "L1").otherwise("L0")
 
 

@@ -19,7 +19,7 @@ SECRETS = [
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
 # --- end of fixed values ---
 
-EXCERPT, SNIPPET = 800, 120
+EXCERPT, SNIPPET, MESSAGE = 800, 120, 1000
 
 
 def collapse(text: Column) -> Column:
@@ -45,8 +45,13 @@ def redact(text: Column) -> Column:
 
 
 def excerpt(text: Column, limit: int = EXCERPT) -> Column:
-    """Redacted, then clipped; the full length of the original goes beside it."""
-    return F.struct(F.left(redact(text), F.lit(limit)).alias("excerpt"), F.char_length(text).alias("chars"))
+    """Redacted, then clipped with a note of how much is gone; the full length of the original goes beside it."""
+
+    def cut(clean: Column) -> Column:
+        gone = F.char_length(clean) - limit
+        return F.when(gone <= 0, clean).otherwise(F.concat(F.left(clean, F.lit(limit)), F.lit("… [truncated "), gone.cast("string"), F.lit(" more characters]")))
+
+    return F.struct(F.transform(F.array(redact(text)), cut)[0].alias("excerpt"), F.char_length(text).alias("chars"))
 
 
 def fold(text: Column) -> Column:
@@ -60,11 +65,13 @@ def invisible_points(text: Column) -> Column:
     return F.array_sort(F.transform(found, lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"))))
 
 
-def sarif_text(text: Column) -> Column:
-    """No control characters but tab and line feed."""
-    return F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F]", " ")
+def sarif_text(text: Column, limit: int = MESSAGE) -> Column:
+    """Blanks for control characters but tab and line feed, no bidirectional overrides, at most limit code points and a note."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F]", " "), r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]", "")
+    return F.when(F.char_length(clean) <= limit, clean).otherwise(F.concat(F.left(clean, F.lit(limit)), F.lit("… [truncated]")))
 
 
 def uri_path(path: Column) -> Column:
-    """Percent-encode every segment of a path."""
-    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))), "/")
+    """Percent-encode every segment of a path; empty segments go."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.array_join(F.transform(segments, lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))), "/")

@@ -8,8 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least lengths of a quoted span and of a verbatim window that ground evidence.
+from plumbline.functions.text import fold
+
+# --- fixed values: what grounds evidence, and the assertions that a script decides, tried in this order ---
+#: Least lengths of a quoted span and of a verbatim window.
 QUOTE, VERBATIM = 12, 24
+QUOTED = r"[\"“”'`]{1,3}([^\"“”'`]{12,})[\"“”'`]{1,3}"
+CITED = r"([\w./-]+\.\w+):(\d+)"
+FORMS = [
+    ("file_exists", r"(?:an?\s+)?output file (?:named |called )?[`\"']?([\w./-]+)[`\"']? exists"),
+    ("valid_json", r"(?:the )?output file [`\"']?([\w./-]+)[`\"']? (?:is|parses as|contains) valid JSON"),
+    ("literal_present", r"the output contains the (?:exact )?(?:string|text|literal) [`\"'](.+?)[`\"']"),
+    ("literal_absent", r"the output does not contain the (?:exact )?(?:string|text|literal) [`\"'](.+?)[`\"']"),
+    ("line_count", r"(?:the )?output file [`\"']?([\w./-]+)[`\"']? has exactly (\d+) lines?"),
+]
+# --- end of fixed values ---
 
 
 def arm_rates(results: DataFrame) -> DataFrame:
@@ -47,54 +60,81 @@ def assertion_buckets(results: DataFrame) -> DataFrame:
     )
     c = F.col
     bucket = (
-        F.when(c("w_all").isNull() | c("o_all").isNull(), "unpaired")
-        .when(c("w_all") & c("o_all"), "always-passes")
-        .when(~c("w_any") & ~c("o_any"), "always-fails")
-        .when(c("w_all") & ~c("o_any"), "skill-adds")
-        .when(~c("w_any") & c("o_all"), "skill-breaks")
-        .otherwise("mixed")
+        F.when(c("w_all").isNull() | c("o_all").isNull(), "incomplete")
+        .when((c("w_all") != c("w_any")) | (c("o_all") != c("o_any")), "mixed_across_repeats")
+        .when(c("w_all") & ~c("o_all"), "passed_with_failed_without")
+        .when(~c("w_all") & c("o_all"), "failed_with_passed_without")
+        .when(c("w_all"), "passed_in_both")
+        .otherwise("failed_in_both")
     )
     return agg.select("slug", "idx", bucket.alias("bucket"))
 
 
-def grounded(evidence: Column, output: Column) -> Column:
-    """Does the evidence quote the output: a quoted span, or a long enough window of its own words?"""
-    quotes = F.filter(F.regexp_extract_all(evidence, F.lit(r'"([^"]+)"'), 1), lambda q: F.length(q) >= QUOTE)
-    last = F.greatest(F.length(evidence) - VERBATIM + 1, F.lit(0))
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.exists(quotes, lambda q: output.contains(q)) | F.exists(starts, lambda i: output.contains(F.substr(evidence, i, F.lit(VERBATIM))))
+def line_count(body: Column) -> Column:
+    """Lines of a text; an end of line at its very end begins no other."""
+    lines = F.split(body, r"\R|[\x1C-\x1E]")
+    return F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)
+
+
+def grounded(evidence: Column, outputs: Column) -> Column:
+    """Does the evidence point at outputs (a map from path to text)?
+
+    It does with a quoted span of QUOTE characters, with any VERBATIM characters in a row
+    that an output has too, both without regard to case and white space, or with a path and
+    the number of a line that exists there.
+    """
+    quoted = F.transform(F.regexp_extract_all(evidence, F.lit(QUOTED), 1), fold)
+
+    def quotes(text: Column) -> Column:
+        return F.exists(quoted, lambda q: (F.char_length(q) >= QUOTE) & text.contains(q))
+
+    def shares(text: Column) -> Column:
+        own = fold(evidence)
+        last = F.greatest(F.char_length(own) - VERBATIM + 1, F.lit(0))
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.exists(starts, lambda i: text.contains(F.substr(own, i, F.lit(VERBATIM))))
+
+    def resolves(cited: Column) -> Column:
+        path, line = F.regexp_extract(cited, CITED, 1), F.regexp_extract(cited, CITED, 2).try_cast("long")
+        body = F.coalesce(F.try_element_at(outputs, path), F.try_element_at(outputs, F.regexp_replace(path, "^outputs/", "")))
+        return F.coalesce(line.between(F.lit(1), line_count(body)), F.lit(False))
+
+    cites = F.exists(F.regexp_extract_all(evidence, F.lit(CITED), 0), resolves)
+    whole = F.array(fold(F.array_join(F.map_values(outputs), "\n")))
+    return F.exists(whole, lambda text: (text != "") & (fold(evidence) != "") & (quotes(text) | shares(text) | cites))
 
 
 def mechanical(assertion: Column) -> Column:
-    """The scripted form of an assertion, or null: kind and argument."""
+    """The scripted form of an assertion, or null: kind, arg (a path or a literal) and count."""
 
-    def form(kind: str, pattern: str):
-        return F.when(assertion.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(assertion, pattern, 1).alias("arg")))
+    def form(kind: str, pattern: str) -> Column:
+        whole = f"(?iU)^\\s*{pattern}\\.?\\s*$"
+        count = F.regexp_extract(assertion, whole, 2).try_cast("long") if kind == "line_count" else F.lit(None).cast("long")
+        return F.when(assertion.rlike(whole), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(assertion, whole, 1).alias("arg"), count.alias("count")))
+
+    return F.coalesce(*(form(*f) for f in FORMS))
 
-    return F.coalesce(
-        form("contains", r'^(?i:the )?(?i:output|response) contains "([^"]+)"\.?$'),
-        form("absent", r'^(?i:the )?(?i:output|response) does not contain "([^"]+)"\.?$'),
-        form("matches", r"^(?i:the )?(?i:output|response) matches /([^/]+)/\.?$"),
-        form("starts", r'^(?i:the )?(?i:output|response) starts with "([^"]+)"\.?$'),
-        form("at_most", r"^(?i:the )?(?i:output|response) has at most (\d+) words\.?$"),
-    )
 
+def run_mechanical(form: Column, outputs: Column) -> Column:
+    """Verdict of a scripted assertion on outputs (a map from path to text); null for none.
 
-def run_mechanical(form: Column, output: Column) -> Column:
-    """Verdict of a scripted assertion on an output; null for none."""
+    JSON is valid if Spark can parse it; the literals NaN and Infinity are not.
+    """
     kind, arg = form["kind"], form["arg"]
+    body = F.try_element_at(outputs, arg)
+    present = F.exists(F.map_values(outputs), lambda text: text.contains(arg))
     return (
-        F.when(kind == "contains", output.contains(arg))
-        .when(kind == "absent", ~output.contains(arg))
-        .when(kind == "matches", F.regexp_like(output, arg))
-        .when(kind == "starts", output.startswith(arg))
-        .when(kind == "at_most", F.size(F.array_remove(F.split(output, r"\s+"), "")) <= F.try_to_number(arg, F.lit("999999999")))
+        F.when(kind == "file_exists", F.map_contains_key(outputs, arg))
+        .when(kind == "valid_json", F.try_parse_json(body).isNotNull())
+        .when(kind == "literal_present", present)
+        .when(kind == "literal_absent", ~present)
+        .when(kind == "line_count", F.coalesce(line_count(body) == form["count"], F.lit(False)))
     )
 
 
 def enforce_evidence(results: DataFrame) -> DataFrame:
-    """A pass without grounded evidence is a fail."""
-    ok = grounded(F.coalesce("evidence", F.lit("")), F.coalesce("output", F.lit("")))
+    """A pass without grounded evidence is a fail; results has outputs, a map from path to text."""
+    ok = grounded(F.coalesce("evidence", F.lit("")), F.col("outputs"))
     return results.withColumn("grounded", ok).withColumn("passed", F.col("passed") & ok)
 
 

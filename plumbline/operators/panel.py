@@ -16,7 +16,7 @@ FLOORS = {"D1": 17, "D2": 13, "D3": 13, "D4": 13, "D5": 13, "D6": 13, "D7": 8, "
 MAXIMA = {"D1": 20, "D2": 15, "D3": 15, "D4": 15, "D5": 15, "D6": 15, "D7": 10, "D8": 15}
 BANDS = [("A", 108.0), ("B", 96.0), ("C", 84.0), ("D", 72.0)]
 #: Signs of a judge that does not tell skills apart.
-FEW_VALUES, LOW_SPREAD, ROUND_RATE, TOP_RATE = 4, 1.0, 0.60, 0.50
+FEW_SKILLS, FEW_VALUES, LOW_SPREAD, ROUND_RATE, TOP_RATE = 2, 4, 1.0, 0.60, 0.50
 # --- end of fixed values ---
 
 
@@ -115,12 +115,19 @@ def provider_quality(judgments: DataFrame, full: float) -> DataFrame:
 
 
 def judge_verdict(q: DataFrame) -> DataFrame:
-    """Four labels, the gravest first."""
+    """Does a judge tell skills apart? Too few skills come first, then flat, then coarse or saturated judges.
+
+    q is as from provider_quality; a column max_rate (scores at their dimension's maximum)
+    counts too where q has it.
+    """
+    top = F.col("full_rate") >= TOP_RATE
+    if "max_rate" in q.columns:
+        top = top | (F.coalesce("max_rate", F.lit(0.0)) >= TOP_RATE)
     label = (
-        F.when((F.col("distinct_values") < FEW_VALUES) | ((F.col("skills") >= 2) & (F.col("skill_sd") < LOW_SPREAD)), "undiscriminating")
-        .when(F.col("full_rate") >= TOP_RATE, "saturated")
-        .when(F.col("multiple_rate") >= ROUND_RATE, "coarse")
-        .otherwise("usable")
+        F.when(F.col("skills") < FEW_SKILLS, "INSUFFICIENT-DATA")
+        .when((F.col("distinct_values") < FEW_VALUES) | (F.col("skill_sd") < LOW_SPREAD), "NON-DISCRIMINATING")
+        .when(top | (F.col("multiple_rate") >= ROUND_RATE), "COARSE")
+        .otherwise("DISCRIMINATING")
     )
     return q.withColumn("verdict", label)
 

@@ -87,6 +87,8 @@ def permission_rows() -> list[tuple]:
         ("deep", ["secrets/**"], ["~/**"], True, ["*"]),
         ("all", ["**"], ["./**"], False, []),
         ("shell", [], [], True, []),
+        ("taken", ["out/a.txt"], ["./out/a.txt"], True, []),
+        ("bare", ["out/a.txt"], ["a.txt"], False, []),
         ("nested", ["memory/SOUL.md"], ["docs/AGENTS.md"], False, []),
         ("agents", ["AGENTS.md"], [], True, ["a.example.com", "b.example.com"]),
     ]

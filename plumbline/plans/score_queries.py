@@ -111,9 +111,19 @@ def provider_quality(spark, d):
     return panel.provider_quality(_whole(spark, d), 100.0)
 
 
-@R.query(f"{_QUALITY} SELECT provider, CASE WHEN distinct_values < 4 OR (skills >= 2 AND skill_sd < 1.0) THEN 'undiscriminating' WHEN full_rate >= 0.5 THEN 'saturated' WHEN multiple_rate >= 0.6 THEN 'coarse' ELSE 'usable' END AS verdict FROM o JOIN s USING (provider)")
+_JUDGES = "CASE provider WHEN 'p1' THEN 5.0 WHEN 'p2' THEN 5 * (pos % 7) WHEN 'p3' THEN 90 + pos % 11 ELSE round(total) END"
+
+
+@R.query(
+    f"{_QUALITY.replace('round(total) AS total FROM j', f'({_JUDGES})::DOUBLE AS total FROM j WHERE provider <> {chr(39)}p4{chr(39)} OR skill = {chr(39)}view{chr(39)}')} "
+    "SELECT provider, CASE WHEN skills < 2 THEN 'INSUFFICIENT-DATA' WHEN distinct_values < 4 OR skill_sd < 1.0 THEN 'NON-DISCRIMINATING' WHEN full_rate >= 0.5 OR multiple_rate >= 0.6 THEN 'COARSE' ELSE 'DISCRIMINATING' END AS verdict FROM o JOIN s USING (provider)"
+)
 def judge_verdict(spark, d):
-    return panel.judge_verdict(panel.provider_quality(_whole(spark, d), 100.0)).select("provider", "verdict")
+    """Judges of several habits: one value, multiples of five, a narrow range, one skill alone, and as recorded."""
+    p, pos = F.col("provider"), F.col("pos")
+    total = F.when(p == "p1", 5.0).when(p == "p2", 5 * (pos % 7)).when(p == "p3", 90 + pos % 11).otherwise(F.round("total"))
+    j = judgments(spark, d).where("provider <> 'p4' OR skill = 'view'").withColumn("total", total.cast("double"))
+    return panel.judge_verdict(panel.provider_quality(j, 100.0)).select("provider", "verdict")
 
 
 _DIMS = "(VALUES " + ", ".join(f"('{k}', {panel.FLOORS[k]}, {panel.MAXIMA[k]})" for k in panel.FLOORS) + ") AS dims(dim, floor, maximum)"
@@ -150,9 +160,9 @@ def grade_band(spark, d):
 _LOO = f"{_J}, p AS (SELECT DISTINCT provider AS left_out FROM j), l AS (SELECT skill, left_out, count(*) AS n, avg(total) AS mean, stddev_samp(total) AS stdev FROM j, p WHERE provider <> left_out GROUP BY ALL), x AS (SELECT *, mean - stdev / sqrt(n) AS ci_lower FROM l)"
 
 
-@R.query(f"{_LOO} SELECT skill, left_out, n, round(mean, 6) AS mean, round(stdev, 6) AS stdev, round(ci_lower, 6) AS ci_lower FROM x")
+@R.query(f"{_LOO} SELECT skill, left_out, n, mean, stdev, ci_lower FROM x")
 def leave_one_out(spark, d):
-    return panel.leave_one_out(judgments(spark, d)).select("skill", "left_out", "n", *(F.round(c, 6).alias(c) for c in ("mean", "stdev", "ci_lower")))
+    return panel.leave_one_out(judgments(spark, d)).select("skill", "left_out", "n", "mean", "stdev", "ci_lower")
 
 
 _VERDICT = "CASE WHEN {0}.n < 4 THEN 0 WHEN {0}.mean < 49 OR {0}.ci_lower < 49 THEN 0 ELSE 1 END"
@@ -219,29 +229,45 @@ def excluded_pairs(spark, d):
     return _pairs(spark, d).where("with_rate IS NULL OR without_rate IS NULL").select("slug", F.col("with_rate").isNull().alias("no_with"))
 
 
-@R.query(f"{_A}, g AS (SELECT slug, idx, bool_and(passed) FILTER (WHERE arm = 'with') AS wa, bool_or(passed) FILTER (WHERE arm = 'with') AS wo, bool_and(passed) FILTER (WHERE arm = 'without') AS oa, bool_or(passed) FILTER (WHERE arm = 'without') AS oo FROM a GROUP BY ALL) SELECT slug, idx, CASE WHEN wa IS NULL OR oa IS NULL THEN 'unpaired' WHEN wa AND oa THEN 'always-passes' WHEN NOT wo AND NOT oo THEN 'always-fails' WHEN wa AND NOT oo THEN 'skill-adds' WHEN NOT wo AND oa THEN 'skill-breaks' ELSE 'mixed' END AS bucket FROM g")
+@R.query(f"{_A}, g AS (SELECT slug, idx, bool_and(passed) FILTER (WHERE arm = 'with') AS wa, bool_or(passed) FILTER (WHERE arm = 'with') AS wo, bool_and(passed) FILTER (WHERE arm = 'without') AS oa, bool_or(passed) FILTER (WHERE arm = 'without') AS oo FROM a GROUP BY ALL) SELECT slug, idx, CASE WHEN wa IS NULL OR oa IS NULL THEN 'incomplete' WHEN wa AND oa THEN 'passed_in_both' WHEN NOT wo AND NOT oo THEN 'failed_in_both' WHEN wa AND NOT oo THEN 'passed_with_failed_without' WHEN NOT wo AND oa THEN 'failed_with_passed_without' ELSE 'mixed_across_repeats' END AS bucket FROM g")
 def assertion_bucket(spark, d):
     return evals.assertion_buckets(arms(spark, d))
 
 
-@R.query("SELECT conv_id, turn, length(text) >= 24 OR false AS is_grounded FROM conversations WHERE turn > 0 UNION ALL SELECT conv_id, turn, false AS is_grounded FROM conversations WHERE turn = 0")
+def _outputs():
+    """A turn's text as the one file of a run."""
+    return F.create_map(F.lit("notes.md"), F.coalesce("text", F.lit("")))
+
+
+_LINES = "len(string_split(t, chr(10))) - (t = '' OR suffix(t, chr(10)))::INTEGER"
+
+
+@R.query(
+    "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN false WHEN 1 THEN length(trim(regexp_replace(left(t, 60), '\\s+', ' ', 'g'), ' ')) >= 24 "
+    f"WHEN 2 THEN trim(t, ' ') <> '' AND {_LINES} >= 2 ELSE trim(t, ' ') <> '' AND {_LINES} >= 1 END AS is_grounded FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)"
+)
 def evidence_grounded(spark, d):
-    """Evidence is a stretch of the turn's own text; for first turns, text that is not in it."""
-    c = table(spark, d, "conversations")
-    evidence = F.when(F.col("turn") > 0, F.concat(F.lit("saw: "), F.left("text", F.lit(60)))).otherwise("zzzz: not to be found in any of these texts")
-    return c.select("conv_id", "turn", evals.grounded(evidence, F.col("text")).alias("is_grounded"))
+    """By turn: words that are nowhere, a stretch of the text with wider gaps, and lines that it has or may not have."""
+    k = F.col("turn") % 4
+    wide = F.concat(F.lit("saw: "), F.replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), F.lit(" "), F.lit("  ")))
+    evidence = F.when(k == 0, "zzzz: not to be found in any of these texts").when(k == 1, wide).when(k == 2, "see notes.md:2").otherwise("see outputs/notes.md:1")
+    return table(spark, d, "conversations").select("conv_id", "turn", evals.grounded(evidence, _outputs()).alias("is_grounded"))
 
 
-_ASSERT = ['The output contains "the"', 'Output does not contain "xyzzy"', "The response matches /[0-9]/", 'Output starts with "A"', "The output has at most 40 words", "Reads well."]
+_ASSERT = [
+    'The output contains the string "the"', "the output does not contain the exact literal `xyzzy`.", "An output file named `notes.md` exists.", "Output file notes.md has exactly 1 line",
+    "The output file notes.md is valid JSON", "output file other.md exists", "Reads well.",
+]
 
 
 @R.query(
-    "WITH a(idx, assertion) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_ASSERT)) + ") SELECT conv_id, turn, idx, CASE idx WHEN 0 THEN contains(text, 'the') WHEN 1 THEN NOT contains(text, 'xyzzy') WHEN 2 THEN regexp_matches(text, '[0-9]') WHEN 3 THEN starts_with(text, 'A') WHEN 4 THEN len(regexp_extract_all(text, '\\S+')) <= 40 END AS passed FROM conversations, a"
+    "WITH a(idx) AS (SELECT unnest(range(7))::INTEGER) SELECT conv_id, turn, idx, CASE idx WHEN 0 THEN contains(t, 'the') WHEN 1 THEN NOT contains(t, 'xyzzy') WHEN 2 THEN true "
+    f"WHEN 3 THEN {_LINES} = 1 WHEN 4 THEN json_valid(t) WHEN 5 THEN false END AS passed FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), a"
 )
 def mechanical_assertions(spark, d):
     a = spark.createDataFrame(list(enumerate(_ASSERT)), "idx int, assertion string")
     c = table(spark, d, "conversations").crossJoin(F.broadcast(a))
-    return c.select("conv_id", "turn", "idx", evals.run_mechanical(evals.mechanical(F.col("assertion")), F.col("text")).alias("passed"))
+    return c.select("conv_id", "turn", "idx", evals.run_mechanical(evals.mechanical(F.col("assertion")), _outputs()).alias("passed"))
 
 
 _PHRASES = [("R1", ["étion", "tion"]), ("R2", ["the"]), ("R3", ["en", "au"])]

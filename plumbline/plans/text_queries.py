@@ -27,7 +27,7 @@ def hits(spark, d):
 
 
 _HITS_SQL = "WITH f AS (" + PACKAGES_SQL + "), h AS (" + " UNION ALL ".join(
-    f"SELECT pkg_id, path, {i} AS rule_ix, '{n}' AS rule, strpos(text, regexp_extract(text, '{p}', 0)) AS \"offset\", regexp_extract(text, '{p}', 0) AS excerpt FROM f WHERE regexp_matches(text, '{p}')" for i, (n, p) in enumerate(RULES)
+    f"SELECT pkg_id, path, {i} AS rule_ix, '{n}' AS rule, strpos(text, regexp_extract(text, '{p}', 0)) AS \"offset\", len(string_split(left(text, strpos(text, regexp_extract(text, '{p}', 0)) - 1), chr(10))) AS line, regexp_extract(text, '{p}', 0) AS excerpt FROM f WHERE regexp_matches(text, '{p}')" for i, (n, p) in enumerate(RULES)
 ) + ")"
 
 
@@ -70,7 +70,7 @@ def coverage_ledger(spark, d):
 
 
 @R.query(
-    f"{_HITS_SQL} SELECT coalesce(rule, 'TOTAL') AS rule, coalesce(pkg_id, 'TOTAL') AS pkg_id, count(*) AS n FROM h GROUP BY ROLLUP (rule, pkg_id)"
+    f"{_HITS_SQL} SELECT CASE WHEN grouping(rule) = 1 THEN 'TOTAL' ELSE rule END AS rule, CASE WHEN grouping(pkg_id) = 1 THEN 'TOTAL' ELSE pkg_id END AS pkg_id, count(*) AS n FROM h GROUP BY ROLLUP (rule, pkg_id)"
 )
 def coverage_rollup(spark, d):
     return findings.rollup_counts(hits(spark, d), "rule", "pkg_id")
@@ -86,8 +86,9 @@ def waiver_apply(spark, d):
 
 
 @R.query(
-    f"{_HITS_SQL}, w(skill, scenario, ordinal) AS (VALUES ('src0', 'encoded-blob', 0), ('src1', 'license-line', 1), ('src2', 'shouting', 2), ('srcX', 'shouting', 3)) "
-    "SELECT skill, scenario, ordinal FROM w ANTI JOIN (SELECT DISTINCT pkg_id AS skill, rule AS scenario FROM h) USING (skill, scenario)"
+    f"{_HITS_SQL}, e AS (SELECT pkg_id, rule AS scenario, min(path || ': ' || excerpt) AS evidence FROM h GROUP BY ALL), "
+    "w(skill, scenario, evidence_contains, ordinal) AS (VALUES ('src0', 'encoded-blob', 'docs/', 0), ('src1', 'license-line', 'License', 1), ('src2', 'shouting', 'no such text', 2), ('srcX', 'shouting', '', 3)) "
+    "SELECT skill, scenario, ordinal FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.pkg_id = w.skill AND e.scenario = w.scenario AND contains(e.evidence, w.evidence_contains))"
 )
 def stale_waivers(spark, d):
     more = spark.createDataFrame([("srcX", "shouting", "", "", 3)], _waivers(spark).schema)
@@ -104,17 +105,27 @@ def _evidence(spark, d):
     return h.agg(F.min(F.concat("path", F.lit(": "), "excerpt")).alias("evidence"))
 
 
-_SARIF_LEVEL = "CASE WHEN NOT detected THEN 'none' WHEN covers = 'full' THEN 'error' ELSE 'warning' END"
+_DECLARED = [("X1-S01", "agent-judgable"), ("X1-S02", "out-of-artifact"), ("X1-S03", "static-detectable")]
 
 
 @R.query(
-    f"{_HITS_SQL}, m(rule, covers) AS (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in COVERS.items())}) "
-    "SELECT pkg_id, rule AS rule_id, 'fail' AS kind, CASE WHEN covers = 'full' THEN 'error' ELSE 'warning' END AS level, path AS uri, \"offset\"::INTEGER AS start_line FROM h JOIN m USING (rule)"
+    f"{_HITS_SQL}, m(rule, covers) AS (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in COVERS.items())}), p AS (SELECT DISTINCT pkg_id FROM f), "
+    "u(id, kind, why) AS (VALUES ('X1-S01', 'open', 'agent-judgable: decidable from this package, but not by a static check'), ('X1-S02', 'notApplicable', 'out-of-artifact: the defining condition is not in this package at any depth')) "
+    "SELECT pkg_id, rule AS rule_id, 'fail' AS kind, CASE WHEN covers = 'full' THEN 'error' ELSE 'warning' END AS level, "
+    "CASE WHEN length(path || excerpt || line) + 3 <= 1000 THEN path || ':' || line || ': ' || excerpt ELSE left(path || ':' || line || ': ' || excerpt, 1000) || '… [truncated]' END AS message, path AS uri, line::INTEGER AS start_line FROM h JOIN m USING (rule) "
+    "UNION ALL SELECT pkg_id, rule, 'pass', 'none', rule || ': ran and cleared', NULL, NULL FROM p, m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pkg_id = p.pkg_id AND h.rule = m.rule) "
+    "UNION ALL SELECT pkg_id, id || '-undecided', kind, 'none', id || ': declared ' || why || '. This run makes no claim about it.', NULL, NULL FROM p, u"
 )
 def sarif_results(spark, d):
+    """A row for every hit, every check of a package that cleared, and every declared scenario that no check decides."""
     covers = spark.createDataFrame(list(COVERS.items()), "check_id string, covers string")
-    h = hits(spark, d).select("pkg_id", F.col("rule").alias("check_id"), F.lit(True).alias("detected"), F.concat_ws(":", "path", "offset", "excerpt").alias("evidence"))
-    return findings.sarif_results(h.join(F.broadcast(covers), "check_id")).select("pkg_id", "rule_id", "kind", "level", "uri", "start_line")
+    evidence = F.concat(F.concat_ws(":", "path", "line"), F.lit(": "), F.col("excerpt"))
+    fired = hits(spark, d).select("pkg_id", F.col("rule").alias("check_id"), F.lit(True).alias("detected"), evidence.alias("evidence"))
+    packages = files(spark, d).select("pkg_id").distinct()
+    cleared = packages.crossJoin(covers.select("check_id")).join(fired.select("pkg_id", "check_id").distinct(), ["pkg_id", "check_id"], "left_anti")
+    ran = fired.unionByName(cleared.withColumns({"detected": F.lit(False), "evidence": F.lit(None).cast("string")})).join(covers, "check_id")
+    declared = spark.createDataFrame(_DECLARED, "scenario_id string, tier string")
+    return findings.sarif_results(ran).unionByName(findings.sarif_undecided(packages, declared))
 
 
 @R.query("SELECT source AS pkg_id, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, max(strlen(text))::BIGINT AS largest, count(*) FILTER (WHERE strlen(text) > 8192) AS oversize FROM documents GROUP BY 1")
@@ -165,7 +176,9 @@ def secret_redact(spark, d):
     return table(spark, d, "documents").select("doc_id", t.redact(F.col("text")).alias("redacted"))
 
 
-@R.query(f"SELECT doc_id, left({_redact_sql('text')}, 800) AS excerpt, length(text)::INTEGER AS chars FROM documents")
+@R.query(
+    f"SELECT doc_id, CASE WHEN length(r) <= 800 THEN r ELSE left(r, 800) || '… [truncated ' || (length(r) - 800) || ' more characters]' END AS excerpt, chars FROM (SELECT doc_id, {_redact_sql('text')} AS r, length(text)::INTEGER AS chars FROM documents)"
+)
 def excerpt_clip(spark, d):
     return table(spark, d, "documents").select("doc_id", t.excerpt(F.col("text")).alias("x")).select("doc_id", "x.*")
 
@@ -280,16 +293,22 @@ def _permissions(spark):
     return spark.createDataFrame(permission_rows(), "name string, w array<string>, d array<string>, shell boolean, allow array<string>")
 
 
-_ANY_ID = " OR ".join(f"({_ALLOWED.format(f=f)})" for f in paths.IDENTITY_FILES)
+_NAMED = "SELECT name, regexp_replace(e, '^\\./', '') AS path, regexp_replace(regexp_replace(e, '^\\./', ''), '.*/', '') AS base FROM (SELECT name, unnest({0}) AS e FROM p)"
+_TIERS = (
+    f"{_PERM}, wr AS ({_NAMED.format('w')}), dn AS ({_NAMED.format('d')}), "
+    "eff AS (SELECT name FROM wr WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.name = wr.name AND (dn.path = wr.path OR (NOT contains(dn.path, '/') AND dn.path = wr.base)))), "
+    "own AS (SELECT name FROM wr WHERE base IN ('SOUL.md', 'MEMORY.md', 'AGENTS.md') AND NOT EXISTS (SELECT 1 FROM dn WHERE dn.name = wr.name AND dn.base = wr.base)), "
+    "t AS (SELECT name, CASE WHEN name IN (FROM own) OR (shell AND name IN (FROM eff)) THEN 3 WHEN shell THEN 2 WHEN name IN (FROM eff) OR len(allow) > 0 THEN 1 ELSE 0 END AS derived FROM p)"
+)
 
 
-@R.query(f"{_PERM} SELECT name, CASE WHEN {_ANY_ID} OR (shell AND len(w) > 0) THEN 'L3' WHEN shell THEN 'L2' WHEN len(w) > 0 OR len(allow) > 0 THEN 'L1' ELSE 'L0' END AS tier FROM p")
+@R.query(f"{_TIERS} SELECT name, 'L' || derived AS tier FROM t")
 def risk_tier_derive(spark, d):
     return _permissions(spark).select("name", paths.risk_tier(F.col("w"), F.col("d"), F.col("shell"), F.col("allow")).alias("tier"))
 
 
 @R.query(
-    f"{_PERM}, t AS (SELECT name, CASE WHEN {_ANY_ID} OR (shell AND len(w) > 0) THEN 3 WHEN shell THEN 2 WHEN len(w) > 0 OR len(allow) > 0 THEN 1 ELSE 0 END AS derived FROM p), c AS (SELECT name, derived, x AS declared FROM t, (VALUES ('L0'), ('L1'), ('L9')) v(x)) "
+    f"{_TIERS}, c AS (SELECT name, derived, x AS declared FROM t, (VALUES ('L0'), ('L1'), ('L9')) v(x)) "
     "SELECT name, declared, CASE WHEN regexp_matches(declared, '^L[0-3]$') THEN right(declared, 1)::INTEGER < derived ELSE false END AS spoofed FROM c"
 )
 def tier_spoof(spark, d):
