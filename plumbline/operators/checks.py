@@ -7,14 +7,17 @@ package's allowlist where a check needs that, and are reduced to the first by pa
 
 from __future__ import annotations
 
+import importlib.util
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from plumbline.functions import digests, hosts, paths
 from plumbline.functions import text as t
 from plumbline.sources.manifests import frontmatter
+from plumbline.sources.packages import SURFACE, surface
 
 # --- fixed values: what each check claims, and the words, paths and patterns that it looks for ---
 COVERS = {
@@ -41,6 +44,7 @@ COVERS = {
     "AST06-unrestricted-shell-exec": "category-precondition",
     "AST06-unscoped-shared-state-write": "artifact-signal-only",
     "AST06-missing-sandbox-declaration": "artifact-signal-only",
+    "AST08-S08": "full",
 }
 OPEN_POLICIES = ["allow-all", "allow_all", "allowall", "all", "any", "*", "unrestricted", "open"]
 CLOSED_POLICIES = ["deny-all", "deny_all", "denyall", "none", "off", "allow-list", "allow_list"]
@@ -270,8 +274,12 @@ def _granted(packages: DataFrame) -> DataFrame:
 
 
 def text_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings of the checks of file text, one row for each package and check; evidence is of the first hit by path."""
-    hits = undeclared(file_hits(files), packages).unionByName(_granted(packages))
+    """Findings of the checks of file text, one row for each package and check; evidence is of the first hit by path.
+
+    Checks of the first category look at the shipped surface alone, the others at all files.
+    """
+    seen = file_hits(files).where(~F.col("check_id").startswith("AST01") | F.col("path").rlike(SURFACE))
+    hits = undeclared(seen, packages).unionByName(_granted(packages))
     first = hits.groupBy("pkg_id", "check_id").agg(F.min(F.struct("path", "detail")).alias("x"))
     place = F.when(F.col("x.path").isin("", "\U0010ffff"), F.col("x.detail")).otherwise(F.concat("x.path", F.lit(": "), "x.detail"))
     ids = F.array(*(F.lit(c) for c in TEXT_CHECKS))
@@ -296,12 +304,50 @@ def hash_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("pkg_id", F.lit(check).alias("check_id"), differs.alias("detected"), F.when(differs, F.concat(F.lit("declared "), F.col("content_hash"), F.lit(", actual "), actual)).alias("evidence"))
 
 
-def run_all(packages: DataFrame, files: DataFrame, hashed: DataFrame) -> DataFrame:
+@F.pandas_udf(BinaryType())
+def _source_hash(sources: pd.Series) -> pd.Series:
+    """The hash of a source file as this interpreter writes it into bytecode."""
+    return sources.map(lambda b: None if b is None else importlib.util.source_hash(bytes(b)))
+
+
+def bytecode_findings(packages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Does the bytecode of packages belong to the source beside it? Only its 16-byte header is read.
+
+    entries has pkg_id, path, n_bytes and content of all files, cache folders included.
+    Detected are bytecode without source, with a header too short or not read (content null),
+    with a hash that nothing checks, with another source's hash (told only for this
+    interpreter's magic number), and with another source's size.
+    """
+    check, path = "AST08-S08", F.col("path")
+    cached = F.regexp_replace(path, r"(^|/)__pycache__/([^/.]*)[^/]*$", "$1$2.py")
+    source = F.when(path.rlike(r"(^|/)__pycache__/[^/]+$"), cached).otherwise(F.regexp_replace(path, r"\.[^./]*$", ".py"))
+    head = F.hex(F.substring("content", 1, 16))
+    compiled = entries.where(path.endswith(".pyc")).select("pkg_id", "path", source.alias("source"), head.alias("head"))
+    text = entries.where(path.endswith(".py")).select("pkg_id", path.alias("source"), F.col("n_bytes").alias("size"), F.col("content").alias("body"))
+    number = lambda *at: F.conv(F.concat(*(F.substring("head", i, 2) for i in at)), 16, 10).cast("long")
+    flags, ours = number(9), F.substring("head", 1, 8) == importlib.util.MAGIC_NUMBER.hex().upper()
+    both = compiled.join(text, ["pkg_id", "source"], "left").withColumns({"flags": flags, "stated": number(31, 29, 27, 25)})
+    hashed, checked = F.col("flags").bitwiseAND(1) == 1, F.col("flags").bitwiseAND(2) == 2
+    both = both.withColumn("of", F.hex(_source_hash(F.when(hashed & checked & ours, F.col("body")))))
+    detail = (
+        F.when(F.coalesce(F.length("head"), F.lit(0)) < 32, "INCOMPLETE: no whole header")
+        .when(F.col("size").isNull(), F.concat(F.lit("bytecode without "), F.col("source")))
+        .when(hashed & ~checked, F.concat(F.lit("nothing checks its hash against "), F.col("source")))
+        .when(hashed & (F.col("of") != F.substring("head", 17, 16)), F.concat(F.lit("hash of another source than "), F.col("source")))
+        .when(~hashed & (F.col("stated") != F.col("size")), F.concat(F.lit("size of another source than "), F.col("source")))
+    )
+    first = both.withColumn("detail", detail).where("detail IS NOT NULL").groupBy("pkg_id").agg(F.min(F.struct("path", "detail")).alias("x"))
+    out = packages.select("pkg_id").join(first, "pkg_id", "left")
+    return out.select("pkg_id", F.lit(check).alias("check_id"), F.col("x").isNotNull().alias("detected"), F.concat("x.path", F.lit(": "), "x.detail").alias("evidence"))
+
+
+def run_all(packages: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
     """Findings of every check for packages (of manifests.declared): pkg_id, check_id, detected, evidence, covers.
 
-    files is what the text checks read, hashed the files that a content hash covers, both
-    with pkg_id, path and text. Evidence is null where nothing was detected.
+    files is what sources.packages.scan makes of entries. Evidence is null where nothing was
+    detected.
     """
-    found = declared_findings(packages).unionByName(text_findings(packages, files)).unionByName(hash_findings(packages, hashed))
+    found = declared_findings(packages).unionByName(text_findings(packages, files)).unionByName(hash_findings(packages, surface(files)))
+    found = found.unionByName(bytecode_findings(packages, entries))
     covers = F.coalesce(*(F.when(F.col("check_id") == c, F.lit(v)) for c, v in COVERS.items()))
     return found.withColumn("covers", covers)

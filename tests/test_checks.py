@@ -1,6 +1,7 @@
 """Package folders, manifests and checks against results that are written down."""
 
 import hashlib
+import importlib.util
 import json
 
 import pytest
@@ -46,7 +47,7 @@ PACKAGES = {
 
 
 @pytest.fixture(scope="module")
-def scanned(spark, tmp_path_factory):
+def entries(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("packages")
     for name, files in PACKAGES.items():
         for path, body in files.items():
@@ -54,7 +55,12 @@ def scanned(spark, tmp_path_factory):
             full.parent.mkdir(parents=True, exist_ok=True)
             full.write_bytes(body if isinstance(body, bytes) else body.encode())
     (root / "closed" / "big.md").write_bytes(b"x" * (packages.MAX_FILE_BYTES + 1))
-    return packages.scan(packages.read_packages(spark, str(root), slices=3)).cache()
+    return packages.read_packages(spark, str(root), slices=3).cache()
+
+
+@pytest.fixture(scope="module")
+def scanned(entries):
+    return packages.scan(entries).cache()
 
 
 def test_scan_tells_why_a_file_is_skipped(scanned):
@@ -126,9 +132,8 @@ EXPECTED = {
 }
 
 
-def test_findings(scanned):
-    files = scanned.where("text IS NOT NULL")
-    found = checks.run_all(manifests.declared(manifests.read_manifests(scanned)), files, packages.surface(scanned)).collect()
+def test_findings(scanned, entries):
+    found = checks.run_all(manifests.declared(manifests.read_manifests(scanned)), scanned, entries).collect()
     assert len(found) == len(PACKAGES) * len(checks.COVERS) and {r.check_id for r in found} == set(checks.COVERS)
     got = {p: {r.check_id for r in found if r.pkg_id == p and r.detected} for p in PACKAGES}
     assert got == EXPECTED
@@ -142,18 +147,43 @@ def test_findings(scanned):
     assert said["native", "AST01-content-hash-mismatch"].endswith(hashlib.sha256(body).hexdigest())
 
 
-def test_empty_tables(scanned):
+def test_empty_tables(scanned, entries):
     none = scanned.limit(0)
     declared = manifests.declared(manifests.read_manifests(none))
-    assert checks.run_all(declared, none, none).count() == 0
+    assert checks.run_all(declared, none, entries.limit(0)).count() == 0
+
+
+def pyc(flags, tail):
+    return bytearray(importlib.util.MAGIC_NUMBER + flags.to_bytes(4, "little") + tail + b"code")
+
+
+def test_bytecode_belongs_to_its_source(spark):
+    src = b"x = 1\n"
+    right, wrong = importlib.util.source_hash(src), bytes(8)
+    sized = lambda n: bytes(4) + n.to_bytes(4, "little")
+    cases = {
+        "fits": (pyc(0, sized(6)), src), "size": (pyc(0, sized(7)), src), "unchecked": (pyc(1, right), src), "checked": (pyc(3, right), src), "other": (pyc(3, wrong), src),
+        "foreign": (bytearray(b"\0\0\r\n") + pyc(3, wrong)[4:], src), "alone": (pyc(0, sized(6)), None), "short": (bytearray(b"abc"), src), "unread": (None, src),
+    }
+    rows = [(n, "lib/__pycache__/m.cpython-313.pyc", 20, c) for n, (c, _) in cases.items()]
+    rows += [(n, "lib/m.py", len(s), bytearray(s)) for n, (_, s) in cases.items() if s]
+    rows += [("beside", "m.pyc", 20, pyc(0, sized(6))), ("beside", "m.py", 6, bytearray(src)), ("none", "m.py", 6, bytearray(src))]
+    df = spark.createDataFrame(rows, packages.SCHEMA)
+    got = {r.pkg_id: r.evidence for r in checks.bytecode_findings(df.select("pkg_id").distinct(), df).where("detected").collect()}
+    where = "lib/__pycache__/m.cpython-313.pyc: "
+    assert got == {
+        "size": where + "size of another source than lib/m.py", "unchecked": where + "nothing checks its hash against lib/m.py",
+        "other": where + "hash of another source than lib/m.py", "alone": where + "bytecode without lib/m.py",
+        "short": where + "INCOMPLETE: no whole header", "unread": where + "INCOMPLETE: no whole header",
+    }
 
 
 def test_bounded_allowlist_is_contradicted(spark):
     perms = {"permissions": {"files": {"deny_write": []}, "network": {"allow": ["api.example.com"]}}}
     pkg = manifests.declared(spark.createDataFrame([("p", json.dumps(perms))], "pkg_id string, j string").select("pkg_id", F.parse_json("j").alias("manifest")))
-    rows = [("p", path, body) for path, body in PACKAGES["listed"].items()] + [("p", "n.md", None)]
+    rows = [("p", path, body) for path, body in PACKAGES["listed"].items()] + [("p", "n.md", None), ("p", "scripts/d.py", "u = 'wss://evil.example.com/x'")]
     found = checks.text_findings(pkg, spark.createDataFrame(rows, "pkg_id string, path string, text string")).where("detected").collect()
     assert {r.check_id: r.evidence.split(": ")[0] for r in found} == {
-        "AST01-social-engineering-prerequisites": "SKILL.md", "AST01-websocket-c2": "scripts/b.js", "AST01-identity-clone-exfiltration": "scripts/c.py",
+        "AST01-social-engineering-prerequisites": "SKILL.md", "AST01-websocket-c2": "scripts/d.py", "AST01-identity-clone-exfiltration": "scripts/c.py",
         "AST04-permission-understating": "scripts/a.sh", "AST04-toml-injection": "conf/a.toml",
     }
