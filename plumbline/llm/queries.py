@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, langid, linededup, minhash, mixing, quality, sharding, suffixes, warc
+from plumbline.llm import chat, decontaminate, langid, linededup, merkle, minhash, mixing, quality, sharding, simhash, spelling, suffixes, warc
 from plumbline.llm.common import stage, table
 
 
@@ -68,6 +68,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", langid.is_held_out(docs.doc_id).alias("held_out"), "text"), model, "doc_id", "held_out")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 4-word SimHash fingerprints are within 4 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, distance=4)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by source, and which rows it finds tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the commoner words that they are variants of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_suffixes": op2_suffixes,
@@ -79,6 +94,9 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_chat": op8_chat,
     "op9_minhash": op9_minhash,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +104,6 @@ ORACLES: dict[str, str] = {
     "op3_linededup": linededup.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
