@@ -15,6 +15,8 @@ from plumbline.llm.components import connected_components
 
 #: Bits of a fingerprint, and the seed of the shingles' XXH64.
 BITS, SEED = 64, 42
+#: Rounds in which members of unsettled buckets are verified against one member of the largest component there.
+HUB_ROUNDS = 2
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 17
 
@@ -87,12 +89,23 @@ def _linked(a: Column, b: Column, bit: Column, distance: int) -> Column:
     return (F.bit_count(differ) <= distance) & here
 
 
+def _members(rows: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """rows(key, bit, print) of the buckets with several components: also root, top (the root of most members there) and hub (one of those, another in each bucket and turn)."""
+    rooted = rows.join(parts, F.col("print") == F.col("node"), "left").select("key", "bit", "print", F.coalesce("root", "print").alias("root"))
+    rooted = stage(rooted, "rooted")
+    held = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("print", F.xxhash64("print", "key", F.lit(turn))).alias("hub"))
+    top = held.groupBy("key").agg(F.max(F.struct("n", "root", "hub")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+    top = stage(top.where("roots > 1").select("key", "n", F.col("top.root").alias("top"), F.col("top.hub").alias("hub")), "tops")
+    return stage(join_counted(rooted, top, "key").select("key", "bit", "print", "root", "top", "hub"), "members")
+
+
 def links(prints: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) that join all of prints(print) that are joined by chains of at most distance differing bits.
 
     A bucket holds the fingerprints with one key. In each bucket all are verified against the
-    smallest one first; where a bucket then still holds several components, the members
-    outside the one of the smallest root are verified against all others of other
+    smallest one, which settles a bucket of two. Where a bucket of more then holds several
+    components, the members outside the one with most members are verified against some
+    of its members, one in each of HUB_ROUNDS rounds, and at last against all members of other
     components. So every link between components is found, and a family of very many
     fingerprints close to each other is not listed pair by pair. Verification is part of
     the join's condition: what the joins hand on are links.
@@ -100,18 +113,34 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     rows = _variants(prints, distance)
     hubs = stage(rows.groupBy("key").agg(F.min("print").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     near = join_counted(rows, hubs, "key").where((F.col("print") != F.col("hub")) & _linked(F.col("print"), F.col("hub"), F.col("bit"), distance))
-    near = stage(near.select(F.col("hub").alias("a"), F.col("print").alias("b")), "near")
-    parts = stage(connected_components(near), "parts")
+    found = stage(near.select(F.col("hub").alias("a"), F.col("print").alias("b")), "near")
+    parts = stage(connected_components(found), "parts")
 
-    # a key of two is settled by its hub
-    rooted = prints.join(parts, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"))
-    rows = _variants(stage(rooted, "rooted"), distance)
+    rooted = stage(prints.join(parts, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root")), "rooted")
+    rows = _variants(rooted, distance)
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 2 AND low < high")
-    held = stage(join_counted(rows, stage(mixed.select("key", "low", "n"), "mixed"), "key").select("key", "bit", "print", "root", "low"), "held")
-    asks = held.where("root > low").select("key", "bit", F.col("print").alias("a"), F.col("root").alias("root_a"))
-    others = held.select("key", F.col("print").alias("b"), F.col("root").alias("root_b"))
-    more = asks.join(others, "key").where((F.col("root_b") < F.col("root_a")) & _linked(F.col("a"), F.col("b"), F.col("bit"), distance))
-    return near.unionByName(stage(more.select("a", "b"), "more"))
+    held = stage(join_counted(rows, stage(mixed.select("key", "n"), "mixed"), "key").select("key", "bit", "print"), "held")
+    for turn in range(HUB_ROUNDS + 1):
+        held = _members(held.select("key", "bit", "print"), parts, turn)
+        if not held.take(1):
+            break
+        asks = held.where("root <> top")
+        if turn < HUB_ROUNDS:
+            near = asks.where(F.bit_count(F.col("print").bitwiseXOR(F.col("hub"))) <= distance)  # one link to each component will do
+            more = near.groupBy("print", "top").agg(F.min("hub").alias("a")).select("a", F.col("print").alias("b"))
+        else:
+            asks = asks.select("key", "bit", F.col("print").alias("b"), F.col("root").alias("less"))
+            # of two components beside the top one, the smaller root asks the larger
+            others = held.select("key", F.col("print").alias("a"), F.col("root").alias("more"), (F.col("root") == F.col("top")).alias("is_top"))
+            met = asks.join(others, "key").where((F.col("is_top") | (F.col("less") < F.col("more"))) & _linked(F.col("a"), F.col("b"), F.col("bit"), distance))
+            more = met.select("a", "b")
+        more = stage(more.distinct(), "more")
+        if more.take(1):
+            found = stage(found.unionByName(more), "near")
+            if turn < HUB_ROUNDS:
+                known = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
+                parts = stage(connected_components(known.unionByName(more)), "parts")
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4) -> DataFrame:
