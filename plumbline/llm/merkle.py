@@ -41,60 +41,68 @@ def _text(raw: Column) -> Column:
 
 
 def with_siblings(nodes: DataFrame, fanout: int) -> DataFrame:
-    """nodes(tree, at, n, digest) with before and after: the digests of the others of its run, in order.
+    """nodes(tree, at, n, digest and more) with before and after: the digests of the others of its run, in order.
 
     A run is fanout consecutive places of a tree, or what is left of it. A node at slot s
-    asks for the slots s, s + 1, ... around its run, each by an equijoin on the tree and the
-    place; a node is asked for by fanout others at most, so no key is hot.
+    asks for the slots s + 1, s + 2, ... around its run, each by an equijoin on the tree and
+    the place; a node is asked for by fanout others at most, so no key is hot.
     """
     slot = F.col("at") % fanout
     size = F.least(F.lit(fanout).cast("long"), F.col("n") - (F.col("at") - slot))
-    shift = F.explode(F.sequence(F.lit(0).cast("long"), size - 1))
-    asks = nodes.select("tree", "at", "n", shift.alias("shift"), slot.alias("slot"), size.alias("size"))
-    asks = asks.select("tree", "at", "n", (F.col("at") - F.col("slot") + (F.col("slot") + F.col("shift")) % F.col("size")).alias("sibling"))
-    there = nodes.select("tree", F.col("at").alias("sibling"), "digest")
-    run = asks.join(there, ["tree", "sibling"]).groupBy("tree", "at", "n").agg(F.array_sort(F.collect_list(F.struct("sibling", "digest"))).alias("run"))
+    shift = F.explode(F.sequence(F.lit(1).cast("long"), F.col("size") - 1))
+    asks = nodes.select("tree", "at", slot.alias("slot"), size.alias("size")).where("size > 1").select("*", shift.alias("shift"))
+    asks = asks.select("tree", "at", (F.col("at") - F.col("slot") + (F.col("slot") + F.col("shift")) % F.col("size")).alias("sibling"))
+    there = nodes.select("tree", F.col("at").alias("sibling"), F.col("digest").alias("other"))
+    run = asks.join(there, ["tree", "sibling"]).groupBy("tree", "at").agg(F.array_sort(F.collect_list(F.struct("sibling", "other"))).alias("run"))
 
     def bytes_of(these: Column) -> Column:
-        return F.aggregate(these, F.lit(b""), lambda acc, x: F.concat(acc, x["digest"]))
+        return F.coalesce(F.aggregate(these, F.lit(b""), lambda acc, x: F.concat(acc, x["other"])), F.lit(b""))
 
-    return run.select(
-        "tree", "at", "n",
-        F.filter("run", lambda x: x["sibling"] == F.col("at"))[0]["digest"].alias("digest"),
-        bytes_of(F.filter("run", lambda x: x["sibling"] < F.col("at"))).alias("before"),
-        bytes_of(F.filter("run", lambda x: x["sibling"] > F.col("at"))).alias("after"),
-    )
+    before, after = (bytes_of(F.filter("run", f)) for f in (lambda x: x["sibling"] < F.col("at"), lambda x: x["sibling"] > F.col("at")))
+    return nodes.join(run, ["tree", "at"], "left").select(*nodes.columns, before.alias("before"), after.alias("after"))
 
 
-def build(leaves: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """Trees over leaves(tree, at, n, digest): places from 0 to n - 1 in each tree, digests as binary.
+def climb(leaves: DataFrame, fanout: int = FANOUT) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """Build the trees over leaves(tree, at, n, digest and more): places from 0 to n - 1 in each tree, digests as binary.
 
-    Returns (tree, root) and (tree, at, path), path being the siblings level by level from
-    the leaf up. A tree of one leaf has that leaf as its root and an empty path. The number
-    of levels is the logarithm of the largest tree; each level is staged.
+    Returns for each level, from the leaves up, its nodes with their siblings and the nodes
+    that are roots; then the roots left at the end. A tree of one leaf has that leaf as its
+    root. The number of levels is the logarithm of the largest tree; each level is staged.
     """
     most = leaves.agg(F.max("n")).first()[0] or 0
-    levels, ended, nodes = [], [], leaves
+    levels, nodes = [], leaves
     while most > 1:
-        ended.append(nodes.where("n = 1"))
         level = stage(with_siblings(nodes.where("n > 1"), fanout), "level")
-        levels.append(level)
-        run = F.concat(_text(F.col("digest")), _text(F.col("after")))
+        levels.append((level, nodes.where("n = 1")))
         above = level.where(F.col("at") % fanout == 0)  # slot zero emits the parent
-        n = F.ceil(F.col("n") / fanout)
+        run, n = F.concat(_text(F.col("digest")), _text(F.col("after"))), F.ceil(F.col("n") / fanout)
         nodes = stage(above.select("tree", (F.col("at") / fanout).cast("long").alias("at"), n.alias("n"), F.unhex(F.sha2(run, 256)).alias("digest")), "nodes")
         most = -(-most // fanout)
-    tops = [x.select("tree", "at", "digest") for x in [*ended, nodes]]
-    roots = reduce(DataFrame.unionByName, tops).select("tree", _text(F.col("digest")).alias("root"))
+    return levels, nodes
+
+
+def roots_of(levels: list[tuple[DataFrame, DataFrame]], last: DataFrame) -> DataFrame:
+    """(tree, root) of climbed trees, root as binary."""
+    tops = [x.select("tree", F.col("digest").alias("root")) for x in [*(ended for _, ended in levels), last]]
+    return reduce(DataFrame.unionByName, tops)
 
-    none = F.array().cast(PATH)
-    paths = nodes.select("tree", "at", none.alias("path"))
-    for level, done in zip(reversed(levels), reversed(ended), strict=True):
-        up = paths.select("tree", F.col("at").alias("up"), "path")
-        here = level.select("tree", "at", (F.col("at") / fanout).cast("long").alias("up"), F.array(F.struct("before", "after")).alias("own"))
-        here = here.join(up, ["tree", "up"]).select("tree", "at", F.concat("own", "path").alias("path"))
-        paths = here.unionByName(done.select("tree", "at", none.alias("path")))
-    return roots, paths
+
+def descend(levels: list[tuple[DataFrame, DataFrame]], last: DataFrame, tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """The leaves of climbed trees, with path and the other columns of tops(tree, path and more).
+
+    path: the siblings level by level from the leaf up, then those that tops has for the
+    tree. Each node takes over its parent's path by an equijoin, so only the last one, of
+    the leaves, handles as many rows as there are leaves, and its result is not shuffled.
+    """
+    more = [c for c in tops.columns if c != "tree"]
+    found = last.join(tops, "tree")
+    for level, ended in reversed(levels):
+        kept = [c for c in level.columns if c not in ("before", "after")]
+        up = found.select("tree", F.col("at").alias("up"), *more)
+        here = level.withColumn("up", (F.col("at") / fanout).cast("long")).join(up, ["tree", "up"])
+        path = F.concat(F.array(F.struct("before", "after")), "path")
+        found = here.withColumn("path", path).select(*kept, *more).unionByName(ended.join(tops, "tree").select(*kept, *more))
+    return found
 
 
 def folded(leaf: Column, path: Column) -> Column:
@@ -127,19 +135,18 @@ def manifest(docs: DataFrame, given: Column, fanout: int = FANOUT) -> DataFrame:
     trees = stage(rows.groupBy("key").agg(F.min("slot").alias("first"), F.count(F.lit(1)).alias("n"), F.lit(0).alias("shard")), "trees")
     trees = stage(with_slots(trees, ["key"]).select("key", "first", "n", F.col("slot").alias("tree")), "trees")
     placed = join_counted(rows, trees, "key").select("doc_id", "leaf", "given", "tree", "n", (F.col("slot") - F.col("first")).alias("at"))
-    placed = stage(placed, "placed")
-    subroots, paths = build(placed.select("tree", "at", "n", F.col("leaf").alias("digest")), fanout)
-
-    sources = trees.count()
-    tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(sources).cast("long").alias("n"), F.unhex("root").alias("digest"))
-    tops = stage(tops, "tops")
-    root, over = build(tops, fanout)
-    over = over.select(F.col("at").alias("tree"), F.col("path").alias("over"))
-    over = over.join(subroots.withColumnRenamed("root", "subroot"), "tree").join(trees.select("tree", "n"), "tree").crossJoin(F.broadcast(root.select("root")))  # of one row
-
-    path = F.concat("path", "over")
-    out = join_counted(placed.drop("n").join(paths, ["tree", "at"]), stage(over, "over"), "tree")
-    leaf = _text(F.col("leaf"))
+    placed = stage(placed.withColumnRenamed("leaf", "digest"), "placed")
+    levels, last = climb(placed, fanout)
+    subroots = stage(roots_of(levels, last), "subroots")
+
+    sources = F.lit(trees.count()).cast("long")
+    over = climb(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), sources.alias("n"), F.col("root").alias("digest")), fanout)
+    none = F.array().cast(PATH)
+    root = roots_of(*over).select("tree", none.alias("path"), _text(F.col("root")).alias("root"))  # of one row
+    tops = descend(*over, root, fanout).select(F.col("at").alias("tree"), "path", "root", _text(F.col("digest")).alias("subroot"))
+
+    out = descend(levels, last, stage(tops, "tops"), fanout)
+    leaf, path = _text(F.col("digest")), F.col("path")
     out = out.select("doc_id", leaf.alias("leaf"), "subroot", "root", proof(path).alias("proof_sha256"), folded(_text(F.col("given")), path).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
