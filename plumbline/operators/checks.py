@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 from plumbline.functions import digests, hosts, paths
 from plumbline.functions import text as t
 from plumbline.sources.manifests import frontmatter
-from plumbline.sources.packages import SURFACE, surface
+from plumbline.sources.packages import SURFACE, regular
 
 # --- fixed values: what each check claims, and the words, paths and patterns that it looks for ---
 COVERS = {
@@ -28,6 +28,10 @@ COVERS = {
     "AST01-memory-poisoning": "full",
     "AST01-identity-clone-exfiltration": "full",
     "AST01-websocket-c2": "full",
+    "AST01-undeclared-egress": "full",
+    "AST01-hidden-output-injection": "full",
+    "AST01-obfuscated-payload-exec": "full",
+    "AST02-config-file-hijacking": "full",
     "AST03-identity-file-write-grant": "full",
     "AST03-unbounded-write-scope": "category-precondition",
     "AST03-shell-network-privilege-combo": "artifact-signal-only",
@@ -38,13 +42,21 @@ COVERS = {
     "AST04-json-injection": "full",
     "AST04-toml-injection": "full",
     "AST04-invisible-unicode-smuggling": "category-precondition",
+    "AST05-fetched-content-instruction-sink": "artifact-signal-only",
+    "AST05-remote-response-executed": "artifact-signal-only",
+    "AST05-absent-instruction-boundary": "artifact-signal-only",
     "AST05-unrestricted-network-fetch": "artifact-signal-only",
     "AST05-wildcard-domain-allowlist": "artifact-signal-only",
+    "AST06-host-persistence-write": "full",
     "AST06-root-write-scope": "full",
     "AST06-unrestricted-shell-exec": "category-precondition",
     "AST06-unscoped-shared-state-write": "artifact-signal-only",
     "AST06-missing-sandbox-declaration": "artifact-signal-only",
+    "AST08-S02": "full",
+    "AST08-S04": "full",
+    "AST08-S07": "full",
     "AST08-S08": "full",
+    "AST10-S06": "full",
 }
 OPEN_POLICIES = ["allow-all", "allow_all", "allowall", "all", "any", "*", "unrestricted", "open"]
 CLOSED_POLICIES = ["deny-all", "deny_all", "denyall", "none", "off", "allow-list", "allow_list"]
@@ -126,11 +138,11 @@ EGRESS_URL = r"https?://([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)(?::\d+)?"
 LINE_END = r"\R|[\x1c-\x1e]"
 
 
-def _first_label(entry: Column, table: list[tuple[str, str]]) -> Column:
+def first_label(entry: Column, table: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(entry.rlike(p), F.lit(label)) for p, label in table))
 
 
-def _listed(items: Column) -> Column:
+def listed(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
@@ -146,11 +158,11 @@ def declared_findings(packages: DataFrame) -> DataFrame:
     )
 
     def root(entry: Column) -> Column:
-        outside = F.when(entry.rlike(HOST_COMMANDS) | entry.rlike(OUTSIDE), _first_label(entry, PERSISTENCE))
+        outside = F.when(entry.rlike(HOST_COMMANDS) | entry.rlike(OUTSIDE), first_label(entry, PERSISTENCE))
         return F.when(entry.isin(ROOT_SCOPES), F.concat(entry, F.lit(" reaches the root"))).otherwise(F.concat(entry, F.lit(" is a "), outside))
 
     def shared(entry: Column) -> Column:
-        return F.when(~entry.rlike(AGENT_SCOPED), F.concat(entry, F.lit(" is a "), _first_label(entry, SHARED_STATE)))
+        return F.when(~entry.rlike(AGENT_SCOPED), F.concat(entry, F.lit(" is a "), first_label(entry, SHARED_STATE)))
 
     broad = F.filter(allow, lambda e: (e == "*") | (e.startswith("*.") & ~F.substring(e, 3, 1 << 20).contains(".")))
     tools = F.array_sort(F.array_intersect("tools", F.array(*map(F.lit, FETCH_TOOLS))))
@@ -162,13 +174,13 @@ def declared_findings(packages: DataFrame) -> DataFrame:
     floor = F.when(F.col("has_perms"), "permissions without deny_write").otherwise("no permissions")
     checks = [
         ("AST01-content-hash-missing", F.col("content_hash").isNull(), F.lit("no content hash is declared")),
-        ("AST03-identity-file-write-grant", F.size(reached) > 0, F.concat(F.lit("write reaches "), _listed(reached))),
+        ("AST03-identity-file-write-grant", F.size(reached) > 0, F.concat(F.lit("write reaches "), listed(reached))),
         ("AST03-unbounded-write-scope", ~F.col("declares_deny"), floor),
-        ("AST03-shell-network-privilege-combo", F.col("shell") & unbounded, F.concat(F.lit("shell, and egress to "), _listed(allow))),
-        ("AST03-wildcard-network-egress", unbounded, F.concat(F.lit("egress to "), _listed(allow), F.lit(", policy "), F.coalesce("policy", F.lit("none")))),
+        ("AST03-shell-network-privilege-combo", F.col("shell") & unbounded, F.concat(F.lit("shell, and egress to "), listed(allow))),
+        ("AST03-wildcard-network-egress", unbounded, F.concat(F.lit("egress to "), listed(allow), F.lit(", policy "), F.coalesce("policy", F.lit("none")))),
         ("AST04-risk-tier-spoofing", spoofed, F.concat(F.lit("declared "), F.col("risk_tier"), F.lit(", derived "), derived)),
-        ("AST05-unrestricted-network-fetch", fetch, F.concat(F.lit("no host bounds egress; policy "), F.coalesce("policy", F.lit("none")), F.lit(", tools "), _listed(tools))),
-        ("AST05-wildcard-domain-allowlist", F.col("net_map") & (F.size(broad) > 0), F.concat(F.lit("broad entries "), _listed(broad))),
+        ("AST05-unrestricted-network-fetch", fetch, F.concat(F.lit("no host bounds egress; policy "), F.coalesce("policy", F.lit("none")), F.lit(", tools "), listed(tools))),
+        ("AST05-wildcard-domain-allowlist", F.col("net_map") & (F.size(broad) > 0), F.concat(F.lit("broad entries "), listed(broad))),
         ("AST06-root-write-scope", F.size(roots) > 0, F.get(roots, F.lit(0))),
         ("AST06-unrestricted-shell-exec", F.col("shell_open"), F.lit("no literal command bounds the shell")),
         ("AST06-unscoped-shared-state-write", F.size(states) > 0, F.get(states, F.lit(0))),
@@ -219,7 +231,7 @@ def file_hits(files: DataFrame) -> DataFrame:
     extra = F.array_except("toml_keys", F.array(*map(F.lit, TOML_KEYS)))
     toml = F.when(
         low.endswith(".toml"),
-        F.when(F.size(twice) > 0, F.concat(F.lit("tables defined again "), _listed(twice))).when(F.size(extra) > 0, F.concat(F.lit("unexpected keys "), _listed(extra))),
+        F.when(F.size(twice) > 0, F.concat(F.lit("tables defined again "), listed(twice))).when(F.size(extra) > 0, F.concat(F.lit("unexpected keys "), listed(extra))),
     )
     points = t.invisible_points(text)
     piped = F.flatten(F.array(*(F.when(low.rlike(r"\.(?:md|markdown)$"), F.regexp_extract_all(text, F.lit(p), 0)).otherwise(F.array().cast("array<string>")) for p, _ in PIPE_TO_SHELL)))
@@ -237,7 +249,7 @@ def file_hits(files: DataFrame) -> DataFrame:
         ("AST04-yaml-injection", F.coalesce(tagged, loads), none),
         ("AST04-json-injection", polluted, none),
         ("AST04-toml-injection", toml, none),
-        ("AST04-invisible-unicode-smuggling", F.when(text.rlike(t.INVISIBLE), _listed(points)), none),
+        ("AST04-invisible-unicode-smuggling", F.when(text.rlike(t.INVISIBLE), listed(points)), none),
     ]
     own = ~path.contains("/") & low.endswith(".toml") & ~low.isin(FOREIGN_TOML)
     one = lambda c, d, h: F.when(d.isNotNull(), F.struct(F.lit(c).alias("check_id"), d.alias("detail"), h.alias("hosts")))
@@ -254,11 +266,11 @@ def undeclared(hits: DataFrame, packages: DataFrame) -> DataFrame:
     """
     bound = packages.select("pkg_id", "allow", (F.col("net_any") | (F.col("net_map") & hosts.unbounded(F.col("allow"), F.col("policy")))).alias("_open"))
     bare = F.col("check_id") == "AST04-permission-understating"
-    listed = F.transform(F.coalesce("allow", F.array().cast("array<string>")), F.lower)
+    named = F.transform(F.coalesce("allow", F.array().cast("array<string>")), F.lower)
     routable = F.filter(F.transform("hosts", hosts.normalize), lambda h: (h != "") & (hosts.host_class(h) == "routable"))
-    away = F.when(bare, F.when(~F.array_contains(listed, "*"), F.array_except("hosts", listed))).when(~F.coalesce("_open", F.lit(False)), F.array_except(routable, listed))
+    away = F.when(bare, F.when(~F.array_contains(named, "*"), F.array_except("hosts", named))).when(~F.coalesce("_open", F.lit(False)), F.array_except(routable, named))
     sites = hits.where(F.col("hosts").isNotNull()).join(bound, "pkg_id", "left").withColumn("_away", away).where(F.size("_away") > 0)
-    found = sites.select("pkg_id", "check_id", "path", F.concat("detail", F.lit(" to undeclared host(s) "), _listed(F.col("_away"))).alias("detail"))
+    found = sites.select("pkg_id", "check_id", "path", F.concat("detail", F.lit(" to undeclared host(s) "), listed(F.col("_away"))).alias("detail"))
     return hits.where(F.col("hosts").isNull()).drop("hosts").unionByName(found)
 
 
@@ -267,7 +279,7 @@ def _granted(packages: DataFrame) -> DataFrame:
     grant = lambda name, check: F.when(paths.write_allowed(F.col("write"), F.col("deny"), name), F.struct(F.lit(check).alias("check_id"), F.lit("").alias("path"), F.lit(f"manifest grants write to {name}").alias("detail")))
     seen = F.when(
         F.col("description").rlike(t.INVISIBLE),
-        F.struct(F.lit("AST04-invisible-unicode-smuggling").alias("check_id"), F.lit("\U0010ffff").alias("path"), F.concat(F.lit("description "), _listed(t.invisible_points(F.col("description")))).alias("detail")),
+        F.struct(F.lit("AST04-invisible-unicode-smuggling").alias("check_id"), F.lit("\U0010ffff").alias("path"), F.concat(F.lit("description "), listed(t.invisible_points(F.col("description")))).alias("detail")),
     )
     rows = F.array_compact(F.array(grant("SOUL.md", "AST01-soul-md-persistence"), grant("MEMORY.md", "AST01-memory-poisoning"), seen))
     return packages.select("pkg_id", F.explode(rows).alias("x")).select("pkg_id", "x.*")
@@ -313,12 +325,13 @@ def _source_hash(sources: pd.Series) -> pd.Series:
 def bytecode_findings(packages: DataFrame, entries: DataFrame) -> DataFrame:
     """Does the bytecode of packages belong to the source beside it? Only its 16-byte header is read.
 
-    entries has pkg_id, path, n_bytes and content of all files, cache folders included.
+    entries has pkg_id, path, n_bytes and content of all entries, cache folders included.
     Detected are bytecode without source, with a header too short or not read (content null),
     with a hash that nothing checks, with another source's hash (told only for this
     interpreter's magic number), and with another source's size.
     """
     check, path = "AST08-S08", F.col("path")
+    entries = regular(entries)
     cached = F.regexp_replace(path, r"(^|/)__pycache__/([^/.]*)[^/]*$", "$1$2.py")
     source = F.when(path.rlike(r"(^|/)__pycache__/[^/]+$"), cached).otherwise(F.regexp_replace(path, r"\.[^./]*$", ".py"))
     head = F.hex(F.substring("content", 1, 16))
@@ -339,15 +352,3 @@ def bytecode_findings(packages: DataFrame, entries: DataFrame) -> DataFrame:
     first = both.withColumn("detail", detail).where("detail IS NOT NULL").groupBy("pkg_id").agg(F.min(F.struct("path", "detail")).alias("x"))
     out = packages.select("pkg_id").join(first, "pkg_id", "left")
     return out.select("pkg_id", F.lit(check).alias("check_id"), F.col("x").isNotNull().alias("detected"), F.concat("x.path", F.lit(": "), "x.detail").alias("evidence"))
-
-
-def run_all(packages: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
-    """Findings of every check for packages (of manifests.declared): pkg_id, check_id, detected, evidence, covers.
-
-    files is what sources.packages.scan makes of entries. Evidence is null where nothing was
-    detected.
-    """
-    found = declared_findings(packages).unionByName(text_findings(packages, files)).unionByName(hash_findings(packages, surface(files)))
-    found = found.unionByName(bytecode_findings(packages, entries))
-    covers = F.coalesce(*(F.when(F.col("check_id") == c, F.lit(v)) for c, v in COVERS.items()))
-    return found.withColumn("covers", covers)

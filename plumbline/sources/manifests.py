@@ -103,8 +103,8 @@ def declared(packages: DataFrame) -> DataFrame:
 
     A block with a top-level deny_write, a shell mapping or a network policy is taken as it
     is; any other is read in the nested spelling: scopes below files, shell as a flag, an
-    allowlist evaluated default-deny, a bare network flag as everything or nothing. Columns:
-    has_perms, native, read, write, deny, declares_deny, shell (granted in any spelling),
+    allowlist evaluated default-deny, a bare network flag as everything or nothing. Columns
+    beside pkg_id and manifest: has_perms, native, read, write, deny, declares_deny, shell (granted in any spelling),
     shell_open (granted, and no literal command bounds it), net_any (a bare true), net_map,
     has_network, policy, has_allow, allow, tools, risk_tier, content_hash, description.
     A null manifest declares nothing.
@@ -133,7 +133,7 @@ def declared(packages: DataFrame) -> DataFrame:
     any_shell = _truthy(shell)
     hash_text = F.when(_is_map("$.content_hash"), _text("$.content_hash.value")).otherwise(F.regexp_extract(_text("$.content_hash"), r"(?s)^[^:]+:(.+)$", 1))
     return out.select(
-        "pkg_id", "has_perms", "native",
+        "pkg_id", "manifest", "has_perms", "native",
         scope("read").alias("read"), scope("write").alias("write"), scope("deny_write").alias("deny"),
         (F.col("has_perms") & (~nat | F.when(F.col("nested"), _has(f"{files}.deny_write")).otherwise(_has(f"{p}.deny_write")))).alias("declares_deny"),
         F.when(nat, F.when(sk.startswith("OBJECT"), _truthy(f"{shell}.allowed")).otherwise(F.coalesce(granted, any_shell))).otherwise(any_shell).alias("shell"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import stat
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,11 @@ MAX_FILE_BYTES = 512 * 1024
 SURFACE = r"^(?:SKILL\.md|references/[^/]*\.md|scripts/[^/]*\.py|evals/evals\.json)$"
 # --- end of fixed values ---
 
-SCHEMA = "pkg_id string, path string, n_bytes long, content binary"
+SCHEMA = "pkg_id string, path string, n_bytes long, content binary, type string, target string, escapes boolean"
+#: Files beyond this are listed without their content.
+MAX_READ_BYTES = 2 << 20
+#: What an entry that is no folder, file or link may be, by the type bits of its mode.
+_KINDS = {stat.S_IFIFO: "fifo", stat.S_IFSOCK: "socket", stat.S_IFCHR: "character-device", stat.S_IFBLK: "block-device"}
 
 
 class _Slice(InputPartition):
@@ -34,27 +39,40 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with os.scandir(self.root) as entries:
-            names = sorted(e.name for e in entries if e.is_dir())
+            names = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
         for name in names:
             if zlib.crc32(os.fsencode(name)) % self.slices == partition.value:
                 yield from self._package(name)
 
     def _package(self, name: str) -> Iterator[tuple]:
+        """Every entry below a package; links are recorded, never followed, and nothing but regular files is opened."""
         top = os.path.join(self.root, name)
-        for folder, _, files in os.walk(top):
-            for file in files:
-                full = os.path.join(folder, file)
-                if os.path.isfile(full):
-                    size = os.path.getsize(full)
-                    content = None
-                    if size <= self.max_bytes:
-                        with open(full, "rb") as f:
-                            content = f.read()
-                    yield name, os.path.relpath(full, top).replace(os.sep, "/"), size, content
+        inside = os.path.realpath(top)
+        waiting = [""]
+        while waiting:
+            below = waiting.pop()
+            with os.scandir(os.path.join(top, below)) as entries:
+                for e in entries:
+                    path = f"{below}/{e.name}" if below else e.name
+                    kind = stat.S_IFMT(e.stat(follow_symlinks=False).st_mode)
+                    size = content = target = escapes = None
+                    if kind == stat.S_IFLNK:
+                        target = os.readlink(e.path)
+                        leads = os.path.realpath(os.path.join(os.path.dirname(e.path), target))
+                        escapes = leads != inside and not leads.startswith(inside + os.sep)
+                    elif kind == stat.S_IFDIR:
+                        waiting.append(path)
+                    elif kind == stat.S_IFREG:
+                        size = e.stat(follow_symlinks=False).st_size
+                        if size <= self.max_bytes:
+                            with open(e.path, "rb") as f:
+                                content = f.read()
+                    word = {stat.S_IFLNK: "symlink", stat.S_IFDIR: "dir", stat.S_IFREG: "file"}.get(kind) or _KINDS.get(kind, "unknown")
+                    yield name, path, size, content, word, target, escapes
 
 
 class PackageFiles(DataSource):
-    """All files of the packages (the folders) below a root, hidden ones too, as they lie on a mounted file system.
+    """All entries of the packages (the folders) below a root, hidden ones too, as they lie on a mounted file system.
 
     Options: path; slices, the number of tasks; maxBytes, beyond which content is null.
     Tasks list the root themselves and take packages by name, so nothing is listed on the driver.
@@ -68,11 +86,15 @@ class PackageFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("slices", 64)), int(self.options.get("maxBytes", MAX_FILE_BYTES)))
+        return _Reader(self.options["path"], int(self.options.get("slices", 64)), int(self.options.get("maxBytes", MAX_READ_BYTES)))
 
 
 def read_packages(spark: SparkSession, root: str, slices: int = 64) -> DataFrame:
-    """Files of all packages below root: pkg_id, path, n_bytes, content (null beyond 512 KiB)."""
+    """Entries of all packages below root: pkg_id, path, n_bytes, content (null beyond 2 MiB), type, and for links target and escapes.
+
+    type is file, dir, symlink, or that of a special file; escapes tells of a link that leads
+    out of its package. Only files have n_bytes and content.
+    """
     spark.dataSource.register(PackageFiles)
     return spark.read.format("package_files").option("slices", slices).load(root)
 
@@ -82,12 +104,18 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.substring_index(path, "/", -1), r"(?s)^\.*[^.].*?(\.[^.]+)$", 1))
 
 
+def regular(entries: DataFrame) -> DataFrame:
+    """The files among entries; a table without types has only files."""
+    return entries.where("type = 'file'") if "type" in entries.columns else entries
+
+
 def scan(files: DataFrame) -> DataFrame:
-    """Text files and skipped ones of files(pkg_id, path, n_bytes, content): pkg_id, path, text, skip_reason.
+    """Text files and skipped ones of files(pkg_id, path, n_bytes, content, and type if it has one): pkg_id, path, text, skip_reason.
 
     One of text and skip_reason is null. Files below (or named as) a skipped folder have no
     row. Line ends become line feeds. A null path has no row; null content counts as too large.
     """
+    files = regular(files)
     text = F.col("content").cast("string")
     reason = (
         F.when(~suffix(F.col("path")).isin(TEXT_SUFFIXES), "non-text suffix")

@@ -2,12 +2,15 @@
 
 import hashlib
 import importlib.util
+import io
 import json
+import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks
+from plumbline.operators import audit, checks, hazard_checks
 from plumbline.sources import manifests, packages
 
 USF = "name: x\npermissions:\n"
@@ -119,10 +122,11 @@ EXPECTED = {
     "open": {
         "AST01-content-hash-missing", "AST01-memory-poisoning", "AST03-identity-file-write-grant", "AST03-shell-network-privilege-combo", "AST03-wildcard-network-egress",
         "AST04-risk-tier-spoofing", "AST04-yaml-injection", "AST04-json-injection", "AST04-toml-injection", "AST04-invisible-unicode-smuggling",
-        "AST05-wildcard-domain-allowlist", "AST06-root-write-scope", "AST06-unrestricted-shell-exec", "AST06-unscoped-shared-state-write",
+        "AST05-wildcard-domain-allowlist", "AST05-absent-instruction-boundary", "AST06-root-write-scope", "AST06-unrestricted-shell-exec", "AST06-unscoped-shared-state-write",
     },
     "listed": {
         "AST01-content-hash-mismatch", "AST01-identity-clone-exfiltration", "AST03-wildcard-network-egress", "AST04-toml-injection", "AST04-permission-understating", "AST05-wildcard-domain-allowlist",
+        "AST05-absent-instruction-boundary",
     },
     "native": {
         "AST01-content-hash-mismatch", "AST03-identity-file-write-grant", "AST05-unrestricted-network-fetch", "AST06-root-write-scope",
@@ -133,8 +137,8 @@ EXPECTED = {
 
 
 def test_findings(scanned, entries):
-    found = checks.run_all(manifests.declared(manifests.read_manifests(scanned)), scanned, entries).collect()
-    assert len(found) == len(PACKAGES) * len(checks.COVERS) and {r.check_id for r in found} == set(checks.COVERS)
+    found = audit.run_all(manifests.declared(manifests.read_manifests(scanned)), scanned, entries).collect()
+    assert len(checks.COVERS) == 36 and len(found) == len(PACKAGES) * 36 and {r.check_id for r in found} == set(checks.COVERS)
     got = {p: {r.check_id for r in found if r.pkg_id == p and r.detected} for p in PACKAGES}
     assert got == EXPECTED
     assert all((r.evidence is not None) == r.detected and r.covers for r in found)
@@ -150,7 +154,7 @@ def test_findings(scanned, entries):
 def test_empty_tables(scanned, entries):
     none = scanned.limit(0)
     declared = manifests.declared(manifests.read_manifests(none))
-    assert checks.run_all(declared, none, entries.limit(0)).count() == 0
+    assert audit.run_all(declared, none, entries.limit(0)).count() == 0
 
 
 def pyc(flags, tail):
@@ -168,7 +172,7 @@ def test_bytecode_belongs_to_its_source(spark):
     rows = [(n, "lib/__pycache__/m.cpython-313.pyc", 20, c) for n, (c, _) in cases.items()]
     rows += [(n, "lib/m.py", len(s), bytearray(s)) for n, (_, s) in cases.items() if s]
     rows += [("beside", "m.pyc", 20, pyc(0, sized(6))), ("beside", "m.py", 6, bytearray(src)), ("none", "m.py", 6, bytearray(src))]
-    df = spark.createDataFrame(rows, packages.SCHEMA)
+    df = spark.createDataFrame(rows, "pkg_id string, path string, n_bytes long, content binary")
     got = {r.pkg_id: r.evidence for r in checks.bytecode_findings(df.select("pkg_id").distinct(), df).where("detected").collect()}
     where = "lib/__pycache__/m.cpython-313.pyc: "
     assert got == {
@@ -187,3 +191,60 @@ def test_bounded_allowlist_is_contradicted(spark):
         "AST01-social-engineering-prerequisites": "SKILL.md", "AST01-websocket-c2": "scripts/d.py", "AST01-identity-clone-exfiltration": "scripts/c.py",
         "AST04-permission-understating": "scripts/a.sh", "AST04-toml-injection": "conf/a.toml",
     }
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members:
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def test_entries_and_hazards(spark, tmp_path):
+    """Links are recorded and never followed, special files are not opened, and archives are not unpacked."""
+    (tmp_path / "secret").write_text("outside")
+    (tmp_path / "root").mkdir()
+    root = tmp_path / "root"
+    files = {
+        "clean": {"SKILL.md": b"x", "a/b.zip": zipped([("a.txt", b"abc")]), "PKI.md": b"PKI notes"},
+        "ratio": {"a.bin": zipped([("a.txt", b"0" * 200_000)])},
+        "nested": {"a.docx": zipped([("in/b.ZIP", b"x")])},
+        "traversal": {"a.zip": zipped([("../b.txt", b"x"), ("/c", b"x")])},
+        "members": {"a.zip": zipped([(str(i), b"") for i in range(1001)])},
+        "broken": {"a.whl": b"PK\x03\x04 no archive"},
+        "padded": {"a.md": b"x" + b" \n" * 500 + b"y"},
+        "nearly": {"a.md": b"x" + b" " * 999 + b"y"},
+        "large": {"a.bin": b"x" * ((2 << 20) + 1)},
+        "many": {f"{i}.md": b"" for i in range(501)},
+        "links": {"a.md": b"x"},
+        "inner": {"d/a.md": b"x"},
+        "fifo": {"a.md": b"x"},
+    }
+    for name, held in files.items():
+        for path, body in held.items():
+            (root / name / path).parent.mkdir(parents=True, exist_ok=True)
+            (root / name / path).write_bytes(body)
+    (root / "links" / "z.md").symlink_to(tmp_path / "secret")
+    (root / "inner" / "z.md").symlink_to("d/a.md")
+    (root / "inner" / "d" / "up").symlink_to("..")
+    os.mkfifo(root / "fifo" / "pipe.md")
+    (root / "linked").symlink_to(root / "clean")
+    entries = packages.read_packages(spark, str(root), slices=3).cache()
+    at = {(r.pkg_id, r.path): r for r in entries.collect()}
+    assert {p for p, _ in at} == set(files)
+    link = at["links", "z.md"]
+    assert (link.type, link.escapes, link.content, link.n_bytes) == ("symlink", True, None, None) and link.target.endswith("secret")
+    assert (at["inner", "z.md"].escapes, at["inner", "d/up"].escapes, at["inner", "d"].type, at["fifo", "pipe.md"].type) == (False, False, "dir", "fifo")
+    assert at["large", "a.bin"].content is None
+    assert {(r.pkg_id, r.path) for r in packages.scan(entries).where("pkg_id IN ('links', 'inner', 'fifo')").collect()} == {("links", "a.md"), ("inner", "d/a.md"), ("fifo", "a.md")}
+    names = spark.createDataFrame([(n,) for n in files], "pkg_id string")
+    got = {r.pkg_id: r.evidence for r in hazard_checks.hazard_findings(names, entries).collect() if r.detected}
+    assert got == {
+        "ratio": got["ratio"], "nested": "1 hazard(s), first: a.docx: member in/b.ZIP is an archive itself", "traversal": "2 hazard(s), first: a.zip: member ../b.txt leads out of the archive",
+        "members": "1 hazard(s), first: a.zip: 1001 members, more than 1000", "broken": "1 hazard(s), first: a.whl: INCOMPLETE: the archive's directory cannot be read (BadZipFile)",
+        "padded": "1 hazard(s), first: a.md: 1000 blanks from character 1 on, 1000 or more", "large": "1 hazard(s), first: a.bin: 2097153 bytes, more than 2097152",
+        "many": "1 hazard(s), first: 501 entries, more than 500", "links": f"1 hazard(s), first: z.md: a link that leads out of the package, to {tmp_path}/secret",
+        "fifo": "1 hazard(s), first: pipe.md: no regular file but a fifo",
+    }
+    assert got["ratio"].startswith("1 hazard(s), first: a.bin: member a.txt unpacks to 200000 bytes from ")
