@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import join_counted, small_batches, stage
@@ -15,8 +16,8 @@ from plumbline.llm.components import connected_components
 
 #: Bits of a fingerprint, and the seed of the shingles' XXH64.
 BITS, SEED = 64, 42
-#: Rounds in which members of unsettled buckets are verified against one member of the largest component there.
-HUB_ROUNDS = 2
+#: Rounds in which members of a bucket are verified against some of it alone, the smallest and so many others.
+HUB_ROUNDS, HUBS = 2, 2
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 17
 
@@ -89,58 +90,48 @@ def _linked(a: Column, b: Column, bit: Column, distance: int) -> Column:
     return (F.bit_count(differ) <= distance) & here
 
 
-def _members(rows: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
-    """rows(key, bit, print) of the buckets with several components: also root, top (the root of most members there) and hub (one of those, another in each bucket and turn)."""
-    rooted = rows.join(parts, F.col("print") == F.col("node"), "left").select("key", "bit", "print", F.coalesce("root", "print").alias("root"))
-    rooted = stage(rooted, "rooted")
-    held = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("print", F.xxhash64("print", "key", F.lit(turn))).alias("hub"))
-    top = held.groupBy("key").agg(F.max(F.struct("n", "root", "hub")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
-    top = stage(top.where("roots > 1").select("key", "n", F.col("top.root").alias("top"), F.col("top.hub").alias("hub")), "tops")
-    return stage(join_counted(rooted, top, "key").select("key", "bit", "print", "root", "top", "hub"), "members")
+def _bucketed(prints: DataFrame, distance: int, turn: int) -> DataFrame:
+    """A row for each key of prints(print, root): key, bit, print, root, low and high (the bucket's least and largest root) and hubs.
 
-
-def links(prints: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) that join all of prints(print) that are joined by chains of at most distance differing bits.
-
-    A bucket holds the fingerprints with one key. In each bucket all are verified against the
-    smallest one, which settles a bucket of two. Where a bucket of more then holds several
-    components, the members outside the one with most members are verified against some
-    of its members, one in each of HUB_ROUNDS rounds, and at last against all members of other
-    components. So every link between components is found, and a family of very many
-    fingerprints close to each other is not listed pair by pair. Verification is part of
-    the join's condition: what the joins hand on are links.
+    hubs are some members of the bucket, each with its root: the smallest one, and HUBS others, other ones in each bucket and turn.
+    """
+    bucket = W.partitionBy("key")
+    drawn = [F.min(F.struct(F.xxhash64("print", "key", F.lit(turn * HUBS + i)), "print", "root")).over(bucket) for i in range(HUBS)]
+    hubs = [F.min(F.struct("print", "root")).over(bucket), *(F.struct(d["print"].alias("print"), d["root"].alias("root")) for d in drawn)]
+    return _variants(prints, distance).select(
+        "key", "bit", "print", "root", F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high"), F.array(*hubs).alias("hubs")
+    )
+
+
+def roots(prints: DataFrame, distance: int) -> DataFrame:
+    """(print, root) of distinct prints(print): the smallest fingerprint reached by links of at most distance differing bits.
+
+    A bucket holds the fingerprints with one key. In HUB_ROUNDS rounds all members of a bucket
+    that holds several components are verified against a few of its members, and linked
+    to the smallest and the largest of those that are close. At last the members of buckets that
+    still hold several components are verified against all members of other components, in
+    the condition of the equijoin on the key. So every link between components is found, and
+    a family of very many fingerprints close to each other is not listed pair by pair.
     """
-    rows = _variants(prints, distance)
-    hubs = stage(rows.groupBy("key").agg(F.min("print").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    near = join_counted(rows, hubs, "key").where((F.col("print") != F.col("hub")) & _linked(F.col("print"), F.col("hub"), F.col("bit"), distance))
-    found = stage(near.select(F.col("hub").alias("a"), F.col("print").alias("b")), "near")
-    parts = stage(connected_components(found), "parts")
-
-    rooted = stage(prints.join(parts, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root")), "rooted")
-    rows = _variants(rooted, distance)
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 2 AND low < high")
-    held = stage(join_counted(rows, stage(mixed.select("key", "n"), "mixed"), "key").select("key", "bit", "print"), "held")
+    rooted = prints.select("print", F.col("print").alias("root"))
     for turn in range(HUB_ROUNDS + 1):
-        held = _members(held.select("key", "bit", "print"), parts, turn)
-        if not held.take(1):
-            break
-        asks = held.where("root <> top")
+        mixed = _bucketed(rooted, distance, turn).where("low < high")
         if turn < HUB_ROUNDS:
-            near = asks.where(F.bit_count(F.col("print").bitwiseXOR(F.col("hub"))) <= distance)  # one link to each component will do
-            more = near.groupBy("print", "top").agg(F.min("hub").alias("a")).select("a", F.col("print").alias("b"))
+            close = F.filter("hubs", lambda h: (h["root"] != F.col("root")) & (F.bit_count(F.col("print").bitwiseXOR(h["print"])) <= distance))
+            close = mixed.select("root", F.transform(close, lambda h: h["root"]).alias("to")).where("size(to) > 0")
+            ends = close.groupBy("root").agg(F.min(F.array_min("to")).alias("low"), F.max(F.array_max("to")).alias("high"))
+            links = ends.select(F.col("root").alias("a"), F.explode(F.array("low", "high")).alias("b"))
         else:
-            asks = asks.select("key", "bit", F.col("print").alias("b"), F.col("root").alias("less"))
-            # of two components beside the top one, the smaller root asks the larger
-            others = held.select("key", F.col("print").alias("a"), F.col("root").alias("more"), (F.col("root") == F.col("top")).alias("is_top"))
-            met = asks.join(others, "key").where((F.col("is_top") | (F.col("less") < F.col("more"))) & _linked(F.col("a"), F.col("b"), F.col("bit"), distance))
-            more = met.select("a", "b")
-        more = stage(more.distinct(), "more")
-        if more.take(1):
-            found = stage(found.unionByName(more), "near")
-            if turn < HUB_ROUNDS:
-                known = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
-                parts = stage(connected_components(known.unionByName(more)), "parts")
-    return found
+            a = mixed.select("key", "bit", F.col("print").alias("a"), F.col("root").alias("root_a"))
+            b = mixed.select("key", F.col("print").alias("b"), F.col("root").alias("root_b"))
+            met = a.join(b, "key").where((F.col("root_a") > F.col("root_b")) & _linked(F.col("a"), F.col("b"), F.col("bit"), distance))
+            links = met.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        links = stage(links.distinct(), "links")
+        if links.take(1):
+            parts = stage(connected_components(links), "parts")
+            old = rooted.withColumnRenamed("root", "node")
+            rooted = stage(old.join(parts, "node", "left").select("print", F.coalesce("root", "node").alias("root")), "rooted")
+    return rooted
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4) -> DataFrame:
@@ -157,9 +148,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4) -> DataFrame
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(src.mapInArrow(_signer(k), "doc_id long, print long"), "printed")
     prints = stage(signed.groupBy("print").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies")), "prints")
-    parts = stage(connected_components(links(prints.select("print"), distance)), "parts")
-    lows = prints.join(parts, F.col("print") == F.col("node"), "left").select("print", "copies", "low_id", F.coalesce("root", "print").alias("root"))
-    lows = stage(lows, "lows")
+    lows = stage(prints.join(roots(prints.select("print"), distance), "print"), "lows")
     least = stage(lows.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
     known = stage(join_counted(lows, least, "root").select("print", "copies", "component_id"), "known")
     out = join_counted(signed, known, "print", "copies")

@@ -70,8 +70,12 @@ def test_simhash_in_blocks(monkeypatch):
     assert simhash.fingerprint(text, 4) == whole == simhash_of(text)
 
 
-@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5])
-def test_links_join_what_all_pairs_join(spark, distance):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("distance", [1, 2, 4, 5])
+def test_roots_are_those_of_all_pairs(spark, distance):
     """Families around one fingerprint, chains of small steps, and strangers."""
     rng = np.random.default_rng(distance)
 
@@ -88,29 +92,31 @@ def test_links_join_what_all_pairs_join(spark, distance):
     for _ in range(30):
         prints.add(step := flipped(step, distance))
     prints |= {int(x) for x in rng.integers(0, 1 << 62, 100)}
-    prints = sorted(prints)
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "print long")
-    got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, distance).collect()]
-    assert all(0 < (a ^ b).bit_count() <= distance for a, b in got)
-    at = {x: i for i, x in enumerate(prints)}
-    root = list(range(len(prints)))
-    for a, b in [*got] * 40:  # labels run along the links until they settle
-        root[at[a]] = root[at[b]] = min(root[at[a]], root[at[b]])
-    assert root == roots_of(prints, distance)
+    prints = sorted(map(signed, prints))
+    want = {p: prints[r] for p, r in zip(prints, roots_of([p % (1 << 64) for p in prints], distance), strict=True)}
+    got = spark.createDataFrame([(x,) for x in prints], "print long")
+    assert {r.print: r.root for r in simhash.roots(got, distance).collect()} == want
 
 
-def test_links_of_a_family_are_not_all_its_pairs(spark):
+def test_links_of_a_family_are_not_all_its_pairs(spark, monkeypatch):
     """Fingerprints around one centre, most within the distance of most others: a few links for each."""
     rng = np.random.default_rng(1)
-    prints = set()
+    prints, staged = set(), simhash.stage
     while len(prints) < 1500:
         x = 0x0123456789ABCDEF
         for b in rng.choice(62, int(rng.integers(0, 4)), replace=False):
             x ^= 1 << int(b)
-        prints.add(x)
-    df = spark.createDataFrame([(x,) for x in prints], "print long")
-    found = simhash.links(df, 4).collect()
-    assert len(found) <= 8 * len(prints) and len({x for r in found for x in r}) == len(prints)
+        prints.add(signed(x))
+    found = []
+
+    def counted(df, label):
+        out = staged(df, label)
+        found.append(out.count() if label == "links" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    got = simhash.roots(spark.createDataFrame([(x,) for x in prints], "print long"), 4).collect()
+    assert {r.root for r in got} == {min(prints)} and sum(found) <= 3 * len(prints)
 
 
 def sha(*parts):
