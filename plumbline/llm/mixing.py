@@ -20,10 +20,12 @@ from plumbline.llm.common import broadcast_if_small, stage
 #: Target entropy as a share of the most possible, most passes over a source, budget as a
 #: multiple of all tokens.
 ENTROPY, REPEATS, BUDGET = 0.95, 4.0, 1.0
-#: Tokens of a block, and most blocks of a source (which then grow with it).
-BLOCK, MOST_BLOCKS = 100_000, 65_536
+#: Tokens of a block.
+BLOCK = 100_000
 SEED = "mix"
 _SECTIONS, _ROUNDS = 64, 5
+#: A source's permutation of blocks is cut into 2 to this power of pieces.
+_PIECE_BITS = 12
 
 
 def _hash(*parts: Column) -> Column:
@@ -32,11 +34,12 @@ def _hash(*parts: Column) -> Column:
 
 
 def _block(source_blocks: Column) -> Column:
-    return F.pmod(_hash(F.lit(f"{SEED}:block"), _key()), source_blocks)
+    return F.pmod(_hash(F.lit(f"{SEED}:block"), F.col("key")), source_blocks)
 
 
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    """What a document is told by: its id and its text, so that rows of one id, or of none, go their own ways."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
 
 
 def _source() -> Column:
@@ -87,28 +90,27 @@ class MixingPlan:
 def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float = BUDGET) -> MixingPlan:
     """Work out the mix of docs(doc_id, text, source). Tokens are runs without white space."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = stage(docs.select("doc_id", _source().alias("source"), tokens.alias("n")), "tokens")
+    rows = stage(docs.select(_key().alias("key"), _source().alias("source"), tokens.alias("n")), "tokens")
     sums = stage(rows.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0"), "sources")
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     shares = sums.select("source", "tokens", (F.col("tokens").cast("double") / float(total or 1)).alias("p"))
     t = temperature(shares, entropy, repeats, budget)
     z = shares.agg(F.sum(F.pow("p", F.lit(t)))).first()[0] or 1.0
     weight = F.pow("p", F.lit(t)) / F.lit(z)
-    blocks = F.least(F.ceil(F.col("tokens") / BLOCK), F.lit(MOST_BLOCKS)).cast("long")
+    blocks = F.ceil(F.col("tokens") / BLOCK).cast("long")
     sources = shares.select("source", "tokens", weight.alias("weight"), F.floor(weight * (total * budget)).alias("target"), blocks.alias("blocks"))
     sources = stage(sources, "mix")
 
     dealt = rows.join(broadcast_if_small(sources), "source").withColumn("block", _block(F.col("blocks")))
     held = stage(dealt.groupBy("source", "block", "tokens", "target").agg(F.sum("n").alias("n")), "blocks")
-    # epochs 0 to target / tokens, the last one broken off; a source has MOST_BLOCKS blocks at most
+    # epochs 0 to target / tokens, the last one broken off
     epochs = held.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("target") / F.col("tokens")))))
-    in_turn = W.partitionBy("source", "epoch").orderBy(_hash(F.lit(f"{SEED}:turn"), F.col("source"), F.col("epoch"), F.col("block")), "block")
-    ranked = epochs.withColumn("block_rank", F.row_number().over(in_turn).cast("long") - 1).withColumn("upto", F.sum("n").over(in_turn.rowsBetween(W.unboundedPreceding, 0)))
+    ranked = _in_turn(epochs)
     left = F.col("target") - F.col("epoch") * F.col("tokens") - (F.col("upto") - F.col("n"))
     ranked = stage(ranked.withColumn("left", left).where("left > 0").select("source", "block", "epoch", "block_rank", "n", "left"), "ranked")
     # of each source at most one block is broken off
     broken = ranked.where("n > left").select("source", "block", "epoch", "left")
-    inside = dealt.select("source", "block", "doc_id", "n").join(broadcast_if_small(broken), ["source", "block"]).withColumn("h", _order())
+    inside = dealt.select("source", "block", "key", "n").join(broadcast_if_small(broken), ["source", "block"]).withColumn("h", _order())
     so_far = F.sum("n").over(W.partitionBy("source", "block", "epoch").orderBy("h").rangeBetween(W.unboundedPreceding, 0))
     cut = inside.withColumn("so_far", so_far).where("so_far <= left").groupBy("source", "block", "epoch").agg(F.max("h").alias("most"))
     passes = ranked.join(broadcast_if_small(stage(cut, "cut")), ["source", "block", "epoch"], "left")
@@ -116,17 +118,35 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
     return MixingPlan(sources, stage(passes, "passes"))
 
 
+def _in_turn(epochs: DataFrame) -> DataFrame:
+    """epochs(source, epoch, block, n and more) with block_rank, the block's place in its permutation, and upto, the tokens up to its end.
+
+    A permutation is cut into pieces by the blocks' hashes. Running sums are taken within the
+    pieces and over the pieces' sums, so no task orders all blocks of a source.
+    """
+    turn = _hash(F.lit(f"{SEED}:turn"), F.col("source"), F.col("epoch"), F.col("block"))
+    cut = stage(epochs.withColumn("turn", turn).withColumn("piece", F.shiftright("turn", 60 - _PIECE_BITS)), "turns")
+    before = W.partitionBy("source", "epoch").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut.groupBy("source", "epoch", "piece").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    sums = sums.select("source", "epoch", "piece", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_rows")))
+    piece = W.partitionBy("source", "epoch", "piece").orderBy("turn", "block")
+    out = cut.join(broadcast_if_small(stage(sums, "pieces")), ["source", "epoch", "piece"])
+    rank = F.row_number().over(piece).cast("long") - 1 + F.col("_rows")
+    upto = F.sum("n").over(piece.rowsBetween(W.unboundedPreceding, 0)) + F.col("_n")
+    return out.select(*epochs.columns, rank.alias("block_rank"), upto.alias("upto"))
+
+
 def _order() -> Column:
     """A document's place in its block in a broken-off pass."""
-    return _hash(F.lit(f"{SEED}:doc"), F.col("epoch"), _key())
+    return _hash(F.lit(f"{SEED}:doc"), F.col("epoch"), F.col("key"))
 
 
 def mixed(docs: DataFrame, p: MixingPlan, *carry: str) -> DataFrame:
     """A row for each pass over each document: the carried columns of docs, and epoch, block and block_rank.
 
-    docs needs doc_id and source; a plan of the same documents gives the budgeted tokens.
+    docs needs doc_id, text and source; a plan of the same documents gives the budgeted tokens.
     """
-    rows = docs.select(F.struct(*carry).alias("_row"), "doc_id", _source().alias("source"))
+    rows = docs.select(F.struct(*carry).alias("_row"), _key().alias("key"), _source().alias("source"))
     rows = rows.join(broadcast_if_small(p.sources.select("source", "blocks")), "source").withColumn("block", _block(F.col("blocks")))
     rows = rows.join(broadcast_if_small(p.passes), ["source", "block"])
     return rows.where(F.col("most").isNull() | (_order() <= F.col("most"))).select("_row.*", "epoch", "block", "block_rank")
@@ -140,11 +160,12 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     epoch, block_rank within a source, its tokens add up to the source's budget, less than
     one document short. A null source is the source '', and comes back as it was. A source
     without tokens has no weight and no rows; a document without tokens goes with its
-    block. Rows with the same doc_id (nulls count as '') share their block and place;
-    repeated rows are documents of their own. An empty table gives an empty one.
+    block. Rows with the same doc_id (nulls count as '') and the same text share their block and
+    place, so of a broken-off pass all of them are there or none; other rows of one id, or of
+    none, are dealt on their own. An empty table gives an empty one.
     """
     p = plan(docs)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     return mixed(src, p, "doc_id", "source")
 
 
@@ -167,9 +188,9 @@ def _sql_search(name: str, ok: str) -> str:
     return ",\n".join(out)
 
 
-ORACLE_SQL = f"""
+_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(source, '') AS src, coalesce(doc_id::VARCHAR, '') AS key,
+  SELECT doc_id, {{source}} AS source, coalesce({{source}}, '') AS src, concat_ws(':', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, ''))) AS key,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n FROM documents),
 tot AS (SELECT src, sum(n)::BIGINT AS tokens FROM d GROUP BY src HAVING sum(n) > 0),
 p AS (SELECT src, tokens, tokens::DOUBLE / (SELECT sum(tokens) FROM tot)::DOUBLE AS p FROM tot),
@@ -177,9 +198,9 @@ p AS (SELECT src, tokens, tokens::DOUBLE / (SELECT sum(tokens) FROM tot)::DOUBLE
 {_sql_search("o", f"most / z * {BUDGET!r}::DOUBLE > {REPEATS!r}::DOUBLE")},
 temp AS (
   SELECT CASE WHEN (SELECT count(*) FROM p) < 2 THEN 1.0::DOUBLE
-    ELSE greatest(coalesce((SELECT low FROM e{_ROUNDS - 1}), 0), coalesce((SELECT least(1.0, low + {float(_SECTIONS) ** -_ROUNDS!r}::DOUBLE) FROM o{_ROUNDS - 1}), 0)) END AS t),
+    ELSE greatest(coalesce((SELECT low FROM e{_ROUNDS - 1}), 0), (SELECT CASE WHEN low IS NULL THEN 0 ELSE least(1.0, low + {float(_SECTIONS) ** -_ROUNDS!r}::DOUBLE) END FROM o{_ROUNDS - 1})) END AS t),
 w AS (
-  SELECT src, tokens, least(ceil(tokens / {BLOCK}), {MOST_BLOCKS})::BIGINT AS blocks,
+  SELECT src, tokens, ceil(tokens / {BLOCK})::BIGINT AS blocks,
          floor(pow(p, t) / (SELECT sum(pow(p, t)) FROM p, temp) * ((SELECT sum(tokens) FROM tot) * {BUDGET!r}::DOUBLE))::BIGINT AS target FROM p, temp),
 x AS (SELECT d.*, tokens, target, {_sql_hash(f"'{SEED}:block'", "key")} % blocks AS block FROM d JOIN w USING (src)),
 b AS (SELECT src, block, tokens, target, sum(n)::BIGINT AS n FROM x GROUP BY ALL),
@@ -193,3 +214,8 @@ y AS (
   FROM x JOIN r ON x.src = r.src AND x.block = r.block WHERE r.left_over > 0)
 SELECT doc_id, source, epoch, block, block_rank FROM y WHERE NOT broken OR so_far <= left_over
 """
+
+
+def oracle_sql(source: str = "source") -> str:
+    """SQL of the mix of documents by one of its columns."""
+    return _SQL.format(source=source)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import chat, linededup, mixing, warc
+from plumbline.llm import chat, linededup, mixing, queries, warc
 from plumbline.llm.common import stage
 from plumbline.llm.queries import HOSTILE
 from tests.llm.conftest import prose
@@ -151,12 +151,42 @@ def test_pipeline_keeps_texts_without_any_label(spark):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
 
 
-def test_pipeline_mixes_as_the_sql(spark):
-    rows = [(d, t, "en", f"s{i % 7 // 6}", 1) for i, (d, t) in enumerate(awkward_documents())]
+@pytest.mark.parametrize("sources", ["aaaaaabaaaaaabaaa", "aaaaaaaaabbbbbbcc", "a" * 17, "abababababababaca"])
+def test_pipeline_mixes_as_the_sql(spark, sources):
+    """Fixtures in which the entropy binds, or the repetition, or neither; the second once showed a twin without the former."""
+    rows = [(d, t, "en", s, 1) for (d, t), s in zip(awkward_documents(), sources, strict=True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
-    want = Counter((d, s) for d, s, *_ in con.execute(mixing.ORACLE_SQL).fetchall())
+    want = Counter((d, s) for d, s, *_ in con.execute(mixing.oracle_sql()).fetchall())
     out = corpus_pipeline.mix(spark, docs, "").collect()
     assert want and Counter((r.doc_id, r.source) for r in out) == want and {tuple(r) for r in out} <= set(rows)
+
+
+def test_mixing_by_language_binds_and_agrees_with_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = Counter(con.execute(queries.ORACLES["op1_mixing"]).fetchall())
+    assert Counter(tuple(r) for r in queries.op1_mixing(spark, sf).collect()) == want
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sum(want.values()) != docs.count()  # at an exponent of 1 every row would be there once
+
+
+def test_mixing_in_pieces_and_by_row(spark, monkeypatch):
+    """Blocks of a few tokens: their permutation and running sums are those of one sort; rows of one id go their own ways."""
+    monkeypatch.setattr(mixing, "BLOCK", 40)
+    rows = [(None if i % 3 else i % 7, prose(i, 5 + i % 9), "big" if i % 10 else "small") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = mixing.plan(docs)
+    ranks = defaultdict(list)
+    for r in p.passes.collect():
+        ranks[r.source, r.epoch].append(r.block_rank)
+    assert all(sorted(v) == list(range(len(v))) for v in ranks.values()) and max(map(len, ranks.values())) > 60
+    held = Counter()
+    for r in mixing.mixed(docs, p, "text", "source").collect():
+        held[r.source] += len(r.text.split())
+    longest = max(len(t.split()) for _, t, _ in rows)
+    for r in p.sources.collect():
+        assert r.target - longest < held[r.source] <= r.target
