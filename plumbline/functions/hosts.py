@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import let
 
+# --- fixed values ---
+HOSTNAME = r"^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*$"
+# --- end of fixed values ---
 IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 MAPPED = "::ffff:"
 
@@ -58,10 +61,10 @@ def declared(allow: Column, host: Column) -> Column:
 def lint(entry: Column) -> Column:
     """The first thing wrong with an allowlist entry, or null."""
     return (
-        F.when(entry.rlike(r"[*?]"), "wildcard")
+        F.when(entry.contains("*"), "wildcard")
         .when(entry.contains("://"), "scheme")
         .when(entry.contains("/"), "path")
         .when(entry.contains(":"), "port")
         .when(entry != F.lower(entry), "case")
-        .when(~entry.rlike(r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$"), "form")
+        .when(~entry.rlike(HOSTNAME), "form")
     )

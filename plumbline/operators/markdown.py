@@ -21,3 +21,12 @@ def pipe_tables(texts: DataFrame) -> DataFrame:
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = tables.withColumn("cells", cells).where(~F.forall("cells", lambda c: c.rlike(r"^[-: ]+$")))
     return rows.select("doc", "table_ix", (F.row_number().over(W.partitionBy("doc", "table_ix").orderBy("line_no")) - 1).alias("row_ix"), "cells")
+
+
+def tables_with(texts: DataFrame, *headers: str) -> DataFrame:
+    """Body rows (doc, table_ix, row_ix, cells) of every table of texts(doc, text) whose header begins with these cells, in any case."""
+    rows = pipe_tables(texts)
+    wanted = F.array(*(F.lit(h.lower()) for h in headers))
+    head = F.transform(F.slice("cells", 1, len(headers)), F.lower)
+    named = rows.where((F.col("row_ix") == 0) & (head == wanted)).select("doc", "table_ix")
+    return rows.where("row_ix > 0").join(named, ["doc", "table_ix"], "left_semi")

@@ -15,6 +15,11 @@ TARGET, K, LEAST = 108.0, 1.0, 4
 FLOORS = {"D1": 17, "D2": 13, "D3": 13, "D4": 13, "D5": 13, "D6": 13, "D7": 8, "D8": 13}
 MAXIMA = {"D1": 20, "D2": 15, "D3": 15, "D4": 15, "D5": 15, "D6": 15, "D7": 10, "D8": 15}
 BANDS = [("A", 108.0), ("B", 96.0), ("C", 84.0), ("D", 72.0)]
+METHOD, RUBRIC = "multi-round-independent-pooled", "3027f20f3181758385a1bb8c022d4041dfb4de84"
+#: Figures that every stored aggregate has; the two that came later are held to only where they are stored.
+STORED, LATER = ["n", "mean", "median", "min", "max", "range", "stdev", "lower_bound"], ["sem", "ci_lower"]
+INDEPENDENT = ["live-subagent-skill-judge", "live-independent-dual-judge-min", "live-independent-dual-judge-min-pinned-rubric"]
+ITERATION = r"^iter-(\d+)-live$"
 #: Signs of a judge that does not tell skills apart.
 FEW_SKILLS, FEW_VALUES, LOW_SPREAD, ROUND_RATE, TOP_RATE = 2, 4, 1.0, 0.60, 0.50
 # --- end of fixed values ---
@@ -83,6 +88,99 @@ def ship_gate(stats: DataFrame, target: float = TARGET, least: int = LEAST) -> D
     return stats.withColumn("verdict_reason", reason).withColumn("ships", reason == "ships")
 
 
+def _figures(totals: Column) -> dict[str, Column]:
+    """The published figures of an array of totals, each rounded from its rounded predecessors; of many, not of few."""
+
+    def r(c: Column, d: int) -> Column:
+        return round_as_published(c.cast("double"), F.lit(d))
+
+    n = F.size(totals)
+    total = F.aggregate(totals, F.lit(0.0), lambda a, x: a + x)
+    mean = F.try_divide(total, n)
+    squares = F.aggregate(totals, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    ordered = F.array_sort(totals)
+    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    raw = {"mean": mean, "median": middle, "stdev": F.sqrt(F.try_divide(squares, n - 1))}
+    return {
+        "n": n.cast("double"), "mean": r(raw["mean"], 1), "median": r(raw["median"], 1), "stdev": r(raw["stdev"], 2), "min": F.array_min(totals), "max": F.array_max(totals),
+        "range": F.array_max(totals) - F.array_min(totals),
+    }
+
+
+def card_figures(cards: DataFrame) -> DataFrame:
+    """cards(totals and more) with the published figures of their totals, in columns of their names."""
+    out = cards.withColumns(_figures(F.col("totals")))
+    out = out.withColumn("sem", round_as_published(F.try_divide(F.col("stdev"), F.sqrt("n")), F.lit(2)))
+    return out.withColumns({"lower_bound": round_as_published(F.col("mean") - F.col("stdev"), F.lit(1)), "ci_lower": round_as_published(F.col("mean") - K * F.col("sem"), F.lit(1))})
+
+
+def ship_verdict(cards: DataFrame, target: float = TARGET, least: int = LEAST) -> DataFrame:
+    """The verdict on each of cards(method, rubric_sha, totals, stored, dim_means and more), worked out from its totals.
+
+    Adds ships, clause (the first that blocks: method, rubric, rounds, missing-statistics,
+    drift, floors, mean, bound; null where it ships), detail (the figures or dimensions that
+    the clause names) and the figures recomputed from totals. A stored figure that differs
+    from the recomputed one is drift, whichever it is; a dimension without a mean has 0.
+    """
+    out = card_figures(cards).withColumnsRenamed({k: f"_{k}" for k in (*STORED, *LATER)})
+    stored = F.coalesce("stored", F.create_map().cast("map<string, double>"))
+    among = lambda names, wrong: F.array_compact(F.array(*(F.when(wrong(k), F.lit(k)) for k in names)))
+    missing = among(STORED, lambda k: ~F.map_contains_key(stored, F.lit(k)))
+    drift = among([*STORED, *LATER], lambda k: F.map_contains_key(stored, F.lit(k)) & ~F.try_element_at(stored, F.lit(k)).eqNullSafe(F.col(f"_{k}")))
+    dims = F.coalesce("dim_means", F.create_map().cast("map<string, double>"))
+    low = among(FLOORS, lambda k: F.coalesce(F.try_element_at(dims, F.lit(k)), F.lit(0.0)) < FLOORS[k])
+    joined = lambda names: F.array_join(names, ", ")
+    clauses = [
+        ("method", ~F.col("method").eqNullSafe(METHOD), F.coalesce("method", F.lit("none"))),
+        ("rubric", ~F.col("rubric_sha").eqNullSafe(RUBRIC), F.coalesce("rubric_sha", F.lit("none"))),
+        ("rounds", F.size("totals") < least, F.size("totals").cast("string")),
+        ("missing-statistics", F.size(missing) > 0, joined(missing)),
+        ("drift", F.size(drift) > 0, joined(drift)),
+        ("floors", F.size(low) > 0, joined(low)),
+        ("mean", F.col("_mean") < target, F.col("_mean").cast("string")),
+        ("bound", F.col("_ci_lower") < target, F.col("_ci_lower").cast("string")),
+    ]
+    first = lambda what: F.coalesce(*(F.when(blocked, what(c, d)) for c, blocked, d in clauses))
+    out = out.withColumns({"clause": first(lambda c, _: F.lit(c)), "detail": first(lambda _, d: d)})
+    names = {k: F.col(f"_{k}").alias(k) for k in ("n", "mean", "stdev", "sem", "ci_lower")}
+    return out.select(*cards.columns, F.col("clause").isNull().alias("ships"), "clause", "detail", *names.values())
+
+
+def audit_cards(cards: DataFrame) -> DataFrame:
+    """Cards whose stored verdict (SHIP or BLOCKED) is not the one that their totals give: file, skill, verdict, recomputed, clause."""
+    said = ship_verdict(cards).withColumn("recomputed", F.when(F.col("ships"), "SHIP").otherwise("BLOCKED"))
+    return said.where(F.col("verdict").isNotNull() & (F.col("verdict") != F.col("recomputed"))).select("file", "skill", "verdict", "recomputed", "clause")
+
+
+def block_verdict(blocks: DataFrame, target: float = TARGET) -> DataFrame:
+    """The verdict on single blocks(method, total, dims map and more): adds ships and clause (method, sum, floors, total)."""
+    dims = F.coalesce("dims", F.create_map().cast("map<string, double>"))
+    total = F.aggregate(F.map_values(dims), F.lit(0.0), lambda a, x: a + x)
+    low = F.lit(False)
+    for k, floor in FLOORS.items():
+        low = low | (F.coalesce(F.try_element_at(dims, F.lit(k)), F.lit(0.0)) < floor)
+    clause = (
+        F.when(~F.coalesce(F.col("method").isin(INDEPENDENT), F.lit(False)), "method").when(~F.col("total").eqNullSafe(total), "sum")
+        .when(low, "floors").when(F.col("total") < target, "total")
+    )
+    return blocks.withColumns({"ships": clause.isNull(), "clause": clause})
+
+
+def binding_block(blocks: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The block that binds each skill of blocks(skill, key, total, content_sha256, invalidated, invalidated_reason and more).
+
+    Live blocks (iter-N-live) of the content that the skill has now (hashes: skill,
+    content_sha256) count; of them the least total binds, a missing one as 0, then the least
+    N. An invalidated block does not count, but ends the query if it gives no reason.
+    """
+    bad = F.coalesce(F.col("invalidated"), F.lit(False))
+    silent = bad & (F.trim(F.coalesce("invalidated_reason", F.lit(""))) == "")
+    checked = blocks.withColumn("key", F.when(silent, F.raise_error(F.concat(F.lit("invalidated without a reason: "), "skill", F.lit(" "), "key"))).otherwise(F.col("key")))
+    live = checked.where(F.col("key").rlike(ITERATION) & ~bad).join(hashes, ["skill", "content_sha256"])
+    order = F.struct(F.coalesce("total", F.lit(0.0)), F.regexp_extract("key", ITERATION, 1).cast("int"))
+    return live.groupBy("skill").agg(F.min_by(F.struct(*blocks.columns), order).alias("x")).select("x.*")
+
+
 def grade(value: Column) -> Column:
     out = F.when(value >= BANDS[0][1], BANDS[0][0])
     for name, at in BANDS[1:]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.plans import package_queries, score_queries, text_queries
+from plumbline.plans import audit_queries, package_queries, score_queries, text_queries
 
 QUERIES, ORACLES = {}, {}
-for _part in (text_queries.R, score_queries.R, package_queries.R):
+for _part in (text_queries.R, score_queries.R, package_queries.R, audit_queries.R):
     QUERIES.update(_part.queries)
     ORACLES.update(_part.oracles)
 

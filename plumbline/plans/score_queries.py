@@ -129,13 +129,45 @@ def judge_verdict(spark, d):
 _DIMS = "(VALUES " + ", ".join(f"('{k}', {panel.FLOORS[k]}, {panel.MAXIMA[k]})" for k in panel.FLOORS) + ") AS dims(dim, floor, maximum)"
 
 
+_AGG = (
+    f"{_J}, c AS (SELECT skill || '-' || (pos % 25) AS card, any_value(skill) AS skill, any_value(pos % 25) AS k, list(90 + floor(total) ORDER BY pos)[:12] AS t FROM j GROUP BY 1), "
+    "s AS (SELECT *, CASE WHEN k = 3 THEN t[:3] WHEN k IN (6, 9) THEN [112.0, 113.0, 112.0, 112.0] ELSE t END AS totals FROM c), "
+    "f AS (SELECT *, len(totals) AS n, round_even(list_avg(totals), 1) AS mean, round_even(list_stddev_samp(totals), 2) AS stdev FROM s), "
+    "g AS (SELECT *, round_even(stdev / sqrt(n), 2) AS sem FROM f), h AS (SELECT *, round_even(mean - sem, 1) AS ci FROM g)"
+)
+_CLAUSE = (
+    "CASE WHEN k = 1 THEN 'method' WHEN k = 2 THEN 'rubric' WHEN n < 4 THEN 'rounds' WHEN k = 4 THEN 'missing-statistics' WHEN k = 5 THEN 'drift' "
+    "WHEN k = 6 THEN 'floors' WHEN mean < 108 THEN 'mean' WHEN ci < 108 THEN 'bound' END"
+)
+
+
+@R.query(f"{_AGG} SELECT card, {_CLAUSE} AS clause, {_CLAUSE} IS NULL AS ships, n::DOUBLE AS n FROM h".replace("round_even", "round"))
+def ship_verdict(spark, d):
+    """Cards of a skill's judgments, each held against all clauses of the gate in order; some cards have something wrong with them."""
+    k = (F.col("pos") % 25).alias("k")
+    drawn = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda x: 90 + F.floor(x["total"]).cast("double")), 1, 12)
+    c = judgments(spark, d).groupBy(F.concat_ws("-", "skill", F.col("pos") % 25).alias("card"), k).agg(drawn.alias("totals"))
+    good = F.array(*map(F.lit, (112.0, 113.0, 112.0, 112.0)))
+    c = c.withColumn("totals", F.when(F.col("k") == 3, F.slice("totals", 1, 3)).when(F.col("k").isin(6, 9), good).otherwise(F.col("totals")))
+    none = F.lit(None).cast("map<string,double>")
+    cards = c.select("card", "k", "totals", F.when(F.col("k") == 1, "other").otherwise(panel.METHOD).alias("method"), F.when(F.col("k") == 2, "0").otherwise(panel.RUBRIC).alias("rubric_sha"), none.alias("stored"), none.alias("dim_means"))
+    figures = panel.card_figures(cards)
+    stored = F.create_map(*(x for n in (*panel.STORED, *panel.LATER) for x in (F.lit(n), F.col(n))))
+    stored = F.when(F.col("k") == 4, F.map_filter(stored, lambda n, _: n != "median")).when(F.col("k") == 5, F.map_concat(F.map_filter(stored, lambda n, _: n != "max"), F.create_map(F.lit("max"), F.lit(0.0)))).otherwise(stored)
+    dims = F.create_map(*(x for n, m in panel.MAXIMA.items() for x in (F.lit(n), F.lit(float(m)))))
+    dims = F.when(F.col("k") == 6, F.map_filter(dims, lambda n, _: n != "D3")).otherwise(dims)
+    return panel.ship_verdict(figures.select("card", "k", "totals", "method", "rubric_sha", stored.alias("stored"), dims.alias("dim_means"))).select("card", "clause", "ships", "n")
+
+
 def _dims(spark):
     return spark.createDataFrame([(k, panel.FLOORS[k], panel.MAXIMA[k]) for k in panel.FLOORS], "dim string, floor int, maximum int")
 
 
-@R.query(f"SELECT dim, (maximum // 5 + 1)::DOUBLE / (maximum + 1) AS rate FROM {_DIMS}")
+@R.query(f"{_J}, m AS (SELECT provider, 'D' || (pos % 8 + 1) AS dim, max(floor(total))::INTEGER AS maximum FROM j GROUP BY ALL) SELECT provider, avg((maximum // 5 + 1)::DOUBLE / (maximum + 1)) AS rate FROM m GROUP BY 1")
 def chance_rate(spark, d):
-    return _dims(spark).select("dim", panel.chance_rate(F.col("maximum")).alias("rate"))
+    """How often each judge would meet a multiple of five by chance, over the ranges that its dimensions have."""
+    most = judgments(spark, d).groupBy("provider", F.concat(F.lit("D"), F.col("pos") % 8 + 1).alias("dim")).agg(F.max(F.floor("total")).cast("int").alias("maximum"))
+    return most.groupBy("provider").agg(F.avg(panel.chance_rate(F.col("maximum"))).alias("rate"))
 
 
 @R.query(f"{_J}, x AS (SELECT skill, 'D' || (pos % 8 + 1) AS dim, avg(total) AS mean FROM j GROUP BY ALL), g AS (SELECT skill, dim, mean - floor AS gap FROM x JOIN {_DIMS} USING (dim)) SELECT skill, arg_min(dim, gap) AS dim, min(gap) AS gap FROM g GROUP BY 1")
@@ -165,7 +197,7 @@ def leave_one_out(spark, d):
     return panel.leave_one_out(judgments(spark, d)).select("skill", "left_out", "n", "mean", "stdev", "ci_lower")
 
 
-_VERDICT = "CASE WHEN {0}.n < 4 THEN 0 WHEN {0}.mean < 49 OR {0}.ci_lower < 49 THEN 0 ELSE 1 END"
+_VERDICT = "CASE WHEN {0}.n < 4 THEN 0 WHEN {0}.mean < 48.25 OR {0}.ci_lower < 48.25 THEN 0 ELSE 1 END"
 
 
 @R.query(
@@ -174,7 +206,7 @@ _VERDICT = "CASE WHEN {0}.n < 4 THEN 0 WHEN {0}.mean < 49 OR {0}.ci_lower < 49 T
 )
 def newly_blocked(spark, d):
     j = judgments(spark, d)
-    return panel.newly_blocked(panel.ship_gate(panel.pooled(j, "skill"), 49.0), panel.ship_gate(panel.leave_one_out(j), 49.0))
+    return panel.newly_blocked(panel.ship_gate(panel.pooled(j, "skill"), 48.25), panel.ship_gate(panel.leave_one_out(j), 48.25))
 
 
 _SPARSE = "s AS (SELECT * FROM r WHERE round_index < 20 AND pos % 7 <> 0)"
@@ -270,22 +302,36 @@ def mechanical_assertions(spark, d):
     return c.select("conv_id", "turn", "idx", evals.run_mechanical(evals.mechanical(F.col("assertion")), _outputs()).alias("passed"))
 
 
-_PHRASES = [("R1", ["étion", "tion"]), ("R2", ["the"]), ("R3", ["en", "au"])]
+#: One turn in five says nothing that a rule knows; the others end with one phrase or, far apart in the table, two.
+_SAID = [p for _, phrases in routing.RULES for p in phrases]
 
 
 def _routed(spark, d):
-    return routing.route(table(spark, d, "conversations"), _PHRASES)
-
-
-_M = ["(contains(t, 'étion') OR contains(t, 'tion'))", "contains(t, 'the')", "(contains(t, 'en') OR contains(t, 'au'))"]
+    said, n = F.array(*map(F.lit, _SAID)), len(_SAID)
+    k = F.col("conv_id") * 7 + F.col("turn")
+    phrase = lambda i: F.get(said, (i % n).cast("int"))
+    tail = F.when(k % 5 == 0, "").when(k % 3 == 0, F.concat(phrase(k), F.lit("; "), phrase(k * 11 + 5))).otherwise(F.upper(phrase(k)))
+    turns = table(spark, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), tail))
+    return routing.route(turns)
+
+
+_ROUTES = ", ".join(f"({i}, '{rule}', '{p}')" for i, (rule, phrases) in enumerate(routing.RULES) for p in phrases)
+_SAID_SQL = "[" + ", ".join(f"'{p}'" for p in _SAID) + "]"
+_ROUTED = (
+    f"WITH c AS (SELECT *, conv_id * 7 + turn AS k, {_SAID_SQL} AS said FROM conversations), t AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || CASE WHEN k % 5 = 0 THEN '' "
+    f"WHEN k % 3 = 0 THEN said[k % {len(_SAID)} + 1] || '; ' || said[(k * 11 + 5) % {len(_SAID)} + 1] ELSE said[k % {len(_SAID)} + 1] END) AS t FROM c), "
+    f"m AS (SELECT DISTINCT conv_id, turn, ix, rule FROM t, (VALUES {_ROUTES}) v(ix, rule, phrase) WHERE contains(t.t, phrase)), "
+    "r AS (SELECT conv_id, turn, list(rule ORDER BY ix) AS rules FROM m GROUP BY 1, 2), x AS (SELECT t.conv_id, t.turn, rules FROM t LEFT JOIN r USING (conv_id, turn))"
+)
 
 
-@R.query(f"SELECT conv_id, turn, CASE WHEN {_M[0]} THEN 'R1' WHEN {_M[1]} THEN 'R2' WHEN {_M[2]} THEN 'R3' END AS ast_id, NOT ({' OR '.join(_M)}) AS escalate FROM (SELECT *, lower(text) AS t FROM conversations)")
+@R.query(f"{_ROUTED} SELECT conv_id, turn, rules[1] AS ast_id, rules IS NULL AS escalate FROM x")
 def route_finding(spark, d):
+    """The category that decides each turn, by the table of rules in its order."""
     return _routed(spark, d).select("conv_id", "turn", "ast_id", "escalate")
 
 
-@R.query(f"SELECT conv_id, turn, list_slice(list_filter([CASE WHEN {_M[0]} THEN 'R1' END, CASE WHEN {_M[1]} THEN 'R2' END, CASE WHEN {_M[2]} THEN 'R3' END], lambda x: x IS NOT NULL), 2, 99) AS contributing FROM (SELECT *, lower(text) AS t FROM conversations)")
+@R.query(f"{_ROUTED} SELECT conv_id, turn, coalesce(rules[2:], []) AS contributing FROM x")
 def route_contributing(spark, d):
     return _routed(spark, d).select("conv_id", "turn", "contributing")
 
@@ -305,10 +351,18 @@ def before_after_delta(spark, d):
     return _deltas(spark, d)
 
 
-@R.query(f"{_DELTA} SELECT check_id FROM x WHERE before = 0 AND after = 0")
+_EVERY = "SELECT unnest(['always', CASE WHEN p_partkey % 9 > 0 THEN 'often' END, CASE WHEN p_size < 40 THEN 'later' END, CASE WHEN p_size > 50 THEN 'never' END]) AS check_id FROM part"
+
+
+@R.query(f"WITH f AS ({_EVERY}) SELECT check_id FROM f WHERE check_id IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM part)")
 def universal_checks(spark, d):
-    """Checks with the same full count in both states; here those that never fire."""
-    return studies.universal(_deltas(spark, d), 0).select("check_id")
+    """Checks that fire on every package in both states; parts are the packages, and one of four checks is such."""
+    p = table(spark, d, "part")
+    named = F.array(F.lit("always"), F.when(F.col("p_partkey") % 9 > 0, "often"), F.when(F.col("p_size") < 40, "later"), F.when(F.col("p_size") > 50, "never"))
+    after = p.select(F.explode(F.array_compact(named)).alias("check_id"))
+    roster = spark.createDataFrame([(c,) for c in ("always", "often", "later", "never")], "check_id string")
+    before = after.unionByName(p.where("p_size >= 40").select(F.lit("later").alias("check_id")))
+    return studies.universal(studies.before_after(roster, before, after), p.count()).select("check_id")
 
 
 @R.query(f"{_DELTA}, f AS (SELECT count(*) AS checks, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after FROM x WHERE covers = 'full') SELECT checks, checks * 1000 AS runs, before, after, after::DOUBLE / (checks * 1000) AS rate FROM f")

@@ -258,7 +258,7 @@ def undeclared_hosts(spark, d):
     return found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
 
 
-_LINT_SQL = "CASE WHEN regexp_matches(e, '[*?]') THEN 'wildcard' WHEN contains(e, '://') THEN 'scheme' WHEN contains(e, '/') THEN 'path' WHEN contains(e, ':') THEN 'port' WHEN e <> lower(e) THEN 'case' WHEN NOT regexp_matches(e, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$') THEN 'form' END"
+_LINT_SQL = "CASE WHEN contains(e, '*') THEN 'wildcard' WHEN contains(e, '://') THEN 'scheme' WHEN contains(e, '/') THEN 'path' WHEN contains(e, ':') THEN 'port' WHEN e <> lower(e) THEN 'case' WHEN NOT regexp_matches(e, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*$') THEN 'form' END"
 
 
 @R.query(f"SELECT page_id, e AS entry, {_LINT_SQL} AS fault FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '*.' || raw WHEN 1 THEN 'https://' || raw WHEN 2 THEN raw || '/v1' WHEN 3 THEN raw || ':443' WHEN 4 THEN upper(raw) ELSE raw END AS e FROM ({_HOST_SQL}))")
@@ -279,18 +279,26 @@ def wildcard_allow(spark, d):
     return e.select("entry", hosts.unbounded(F.array("entry")).alias("wildcard"))
 
 
-_PERM = "WITH p(name, w, d, shell, allow) AS (VALUES " + ", ".join(f"('{n}', {w}::VARCHAR[], {x}::VARCHAR[], {s}, {a}::VARCHAR[])" for n, w, x, s, a in permission_rows()) + ")"
+_GRANTS = ", ".join(f"({i}, '{n}', {w}::VARCHAR[], {x}::VARCHAR[], {s}, {a}::VARCHAR[])" for i, (n, w, x, s, a) in enumerate(permission_rows()))
+_PERM = (
+    f"WITH p AS (SELECT v.name || '-' || s_suppkey AS name, w, d, shell, allow FROM supplier JOIN (VALUES {_GRANTS}) v(ix, name, w, d, shell, allow) "
+    f"ON s_suppkey % {len(permission_rows())} = ix)"
+)
 _ALLOWED = "NOT list_bool_or(list_transform(list_concat(d, ['~none~']), lambda e: regexp_replace(e, '^\\./', '') = '{f}')) AND list_bool_or(list_transform(list_concat(w, ['~none~']), lambda e: regexp_replace(e, '^\\./', '') = '{f}'))"
 
 
 @R.query(_PERM + " SELECT name, " + ", ".join(f"({_ALLOWED.format(f=f)}) AS \"{f[:-3].lower()}\"" for f in paths.IDENTITY_FILES) + " FROM p")
 def write_allowed(spark, d):
-    p = _permissions(spark)
+    p = _permissions(spark, d)
     return p.select("name", *(paths.write_allowed(F.col("w"), F.col("d"), f).alias(f[:-3].lower()) for f in paths.IDENTITY_FILES))
 
 
-def _permissions(spark):
-    return spark.createDataFrame(permission_rows(), "name string, w array<string>, d array<string>, shell boolean, allow array<string>")
+def _permissions(spark, d):
+    """Suppliers as packages, each with one of the sets of permissions."""
+    rows = permission_rows()
+    sets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ix long, name string, w array<string>, d array<string>, shell boolean, allow array<string>")
+    named = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(rows)).alias("ix")).join(F.broadcast(sets), "ix")  # a row for each set
+    return named.select(F.concat_ws("-", "name", "s_suppkey").alias("name"), "w", "d", "shell", "allow")
 
 
 _NAMED = "SELECT name, regexp_replace(e, '^\\./', '') AS path, regexp_replace(regexp_replace(e, '^\\./', ''), '.*/', '') AS base FROM (SELECT name, unnest({0}) AS e FROM p)"
@@ -304,7 +312,7 @@ _TIERS = (
 
 @R.query(f"{_TIERS} SELECT name, 'L' || derived AS tier FROM t")
 def risk_tier_derive(spark, d):
-    return _permissions(spark).select("name", paths.risk_tier(F.col("w"), F.col("d"), F.col("shell"), F.col("allow")).alias("tier"))
+    return _permissions(spark, d).select("name", paths.risk_tier(F.col("w"), F.col("d"), F.col("shell"), F.col("allow")).alias("tier"))
 
 
 @R.query(
@@ -312,7 +320,7 @@ def risk_tier_derive(spark, d):
     "SELECT name, declared, CASE WHEN regexp_matches(declared, '^L[0-3]$') THEN right(declared, 1)::INTEGER < derived ELSE false END AS spoofed FROM c"
 )
 def tier_spoof(spark, d):
-    t_ = _permissions(spark).select("name", paths.tier_rank(paths.risk_tier(F.col("w"), F.col("d"), F.col("shell"), F.col("allow"))).alias("derived"))
+    t_ = _permissions(spark, d).select("name", paths.tier_rank(paths.risk_tier(F.col("w"), F.col("d"), F.col("shell"), F.col("allow"))).alias("derived"))
     c = t_.crossJoin(F.broadcast(spark.createDataFrame([("L0",), ("L1",), ("L9",)], "declared string")))
     return c.select("name", "declared", F.coalesce(paths.tier_rank(F.col("declared")) < F.col("derived"), F.lit(False)).alias("spoofed"))
 
@@ -322,13 +330,13 @@ _BASE_SQL = "regexp_replace(regexp_replace(e, '^\\./', ''), '.*/', '')"
 
 @R.query(f"{_PERM}, e AS (SELECT name, unnest(d) AS e FROM p) SELECT name, bool_or({_BASE_SQL} = 'SOUL.md' OR e IN ('**', './**', '~/**', '/**')) AS shadowed FROM e GROUP BY 1")
 def deny_shadow(spark, d):
-    e = _permissions(spark).select("name", F.explode("d").alias("e"))
+    e = _permissions(spark, d).select("name", F.explode("d").alias("e"))
     return e.groupBy("name").agg(F.bool_or(paths.shadows(F.col("e"), "SOUL.md")).alias("shadowed"))
 
 
 @R.query(f"{_PERM}, e AS (SELECT name, unnest(w) AS e FROM p) SELECT name, bool_or({_BASE_SQL} = 'SOUL.md' OR e IN ('**', './**', '~/**', '/**', '*.md', 'SOUL.*', '*')) AS reached FROM e GROUP BY 1")
 def glob_reach(spark, d):
-    e = _permissions(spark).select("name", F.explode("w").alias("e"))
+    e = _permissions(spark, d).select("name", F.explode("w").alias("e"))
     return e.groupBy("name").agg(F.bool_or(paths.reaches(F.col("e"), "SOUL.md")).alias("reached"))
 
 

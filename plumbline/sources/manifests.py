@@ -59,42 +59,42 @@ def read_manifests(scanned: DataFrame) -> DataFrame:
     return out.select("pkg_id", F.try_parse_json(F.coalesce("u", "m")).alias("manifest"), source.alias("source"), problem.alias("problem"))
 
 
-def _at(path: str, kind: str = "variant") -> Column:
+def at(path: str, kind: str = "variant") -> Column:
     return F.try_variant_get("manifest", path, kind)
 
 
-def _kind(value: Column) -> Column:
+def kind(value: Column) -> Column:
     """BOOLEAN, STRING, OBJECT<..>, ARRAY<..>, a number type, VOID; an empty string where nothing is."""
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
-def _is_map(path: str) -> Column:
-    return _kind(_at(path)).startswith("OBJECT")
+def is_map(path: str) -> Column:
+    return kind(at(path)).startswith("OBJECT")
 
 
-def _has(path: str) -> Column:
-    return _kind(_at(path)) != ""
+def has(path: str) -> Column:
+    return kind(at(path)) != ""
 
 
-def _strings(path: str) -> Column:
+def strings(path: str) -> Column:
     """The strings of a list; an empty array where there is no list."""
-    items = F.coalesce(_at(path, "array<variant>"), F.array().cast("array<variant>"))
+    items = F.coalesce(at(path, "array<variant>"), F.array().cast("array<variant>"))
     return F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def _text(path: str) -> Column:
-    return F.when(_kind(_at(path)) == "STRING", _at(path, "string"))
+    return F.when(kind(at(path)) == "STRING", at(path, "string"))
 
 
 def _truthy(path: str) -> Column:
     """Is a value anything but absent, null, false, zero and empty?"""
-    k = _kind(_at(path))
+    k = kind(at(path))
     return (
-        F.when(k.isin("", "VOID", "OBJECT<>", "ARRAY<VOID>"), F.coalesce(F.size(_at(path, "array<variant>")) > 0, F.lit(False)))
-        .when(k == "BOOLEAN", _at(path, "boolean"))
-        .when(k == "STRING", _at(path, "string") != "")
+        F.when(k.isin("", "VOID", "OBJECT<>", "ARRAY<VOID>"), F.coalesce(F.size(at(path, "array<variant>")) > 0, F.lit(False)))
+        .when(k == "BOOLEAN", at(path, "boolean"))
+        .when(k == "STRING", at(path, "string") != "")
         .when(k.startswith("OBJECT") | k.startswith("ARRAY"), True)
-        .otherwise(_at(path, "double") != 0)
+        .otherwise(at(path, "double") != 0)
     )
 
 
@@ -110,39 +110,39 @@ def declared(packages: DataFrame) -> DataFrame:
     A null manifest declares nothing.
     """
     p, files, shell, net = "$.permissions", "$.permissions.files", "$.permissions.shell", "$.permissions.network"
-    native = _has(f"{p}.deny_write") | _is_map(shell) | (_is_map(net) & _has(f"{net}.policy"))
+    native = has(f"{p}.deny_write") | is_map(shell) | (is_map(net) & has(f"{net}.policy"))
     out = packages.select(
-        "pkg_id", "manifest", (_is_map(p) & (_kind(_at(p)) != "OBJECT<>")).alias("has_perms"), native.alias("native"), _is_map(files).alias("nested"),
-        _kind(_at(shell)).alias("sk"), _kind(_at(net)).alias("nk"),
+        "pkg_id", "manifest", (is_map(p) & (kind(at(p)) != "OBJECT<>")).alias("has_perms"), native.alias("native"), is_map(files).alias("nested"),
+        kind(at(shell)).alias("sk"), kind(at(net)).alias("nk"),
     )
     nat, nk, sk = F.col("native"), F.col("nk"), F.col("sk")
     empty = F.array().cast("array<string>")
 
     def scope(key: str) -> Column:
-        return F.when(F.col("nested"), _strings(f"{files}.{key}")).when(nat, _strings(f"{p}.{key}")).otherwise(empty)
+        return F.when(F.col("nested"), strings(f"{files}.{key}")).when(nat, strings(f"{p}.{key}")).otherwise(empty)
 
     flag = nk == "BOOLEAN"
-    on = F.coalesce(_at(net, "boolean"), F.lit(False))
-    allow = F.when(flag, F.when(on, F.array(F.lit("*"))).otherwise(empty)).otherwise(_strings(f"{net}.allow"))
-    said = F.lower(F.trim(_at(shell, "string")))
+    on = F.coalesce(at(net, "boolean"), F.lit(False))
+    allow = F.when(flag, F.when(on, F.array(F.lit("*"))).otherwise(empty)).otherwise(strings(f"{net}.allow"))
+    said = F.lower(F.trim(at(shell, "string")))
     # fixed values: words for a closed shell; the second reader knows fewer of them
     granted = F.when(sk == "STRING", ~said.isin("", "none", "false", "no", "off", "denied"))
-    opened = F.when(sk == "STRING", ~said.isin("", "none", "false", "no", "off") & F.trim(_at(shell, "string")).isin("*", "all"))
-    commands = F.filter(_strings(f"{shell}.commands"), lambda c: (F.trim(c) != "") & ~c.contains("*"))
-    globbed = F.when(sk == "STRING", ~said.isin("", "none", "false", "no", "off") & _at(shell, "string").contains("*"))
+    opened = F.when(sk == "STRING", ~said.isin("", "none", "false", "no", "off") & F.trim(at(shell, "string")).isin("*", "all"))
+    commands = F.filter(strings(f"{shell}.commands"), lambda c: (F.trim(c) != "") & ~c.contains("*"))
+    globbed = F.when(sk == "STRING", ~said.isin("", "none", "false", "no", "off") & at(shell, "string").contains("*"))
     any_shell = _truthy(shell)
-    hash_text = F.when(_is_map("$.content_hash"), _text("$.content_hash.value")).otherwise(F.regexp_extract(_text("$.content_hash"), r"(?s)^[^:]+:(.+)$", 1))
+    hash_text = F.when(is_map("$.content_hash"), _text("$.content_hash.value")).otherwise(F.regexp_extract(_text("$.content_hash"), r"(?s)^[^:]+:(.+)$", 1))
     return out.select(
         "pkg_id", "manifest", "has_perms", "native",
         scope("read").alias("read"), scope("write").alias("write"), scope("deny_write").alias("deny"),
-        (F.col("has_perms") & (~nat | F.when(F.col("nested"), _has(f"{files}.deny_write")).otherwise(_has(f"{p}.deny_write")))).alias("declares_deny"),
+        (F.col("has_perms") & (~nat | F.when(F.col("nested"), has(f"{files}.deny_write")).otherwise(has(f"{p}.deny_write")))).alias("declares_deny"),
         F.when(nat, F.when(sk.startswith("OBJECT"), _truthy(f"{shell}.allowed")).otherwise(F.coalesce(granted, any_shell))).otherwise(any_shell).alias("shell"),
         F.when(~nat, any_shell).when(sk.startswith("OBJECT"), _truthy(f"{shell}.allowed") & (F.size(commands) == 0))
-        .when(sk == "BOOLEAN", _at(shell, "boolean")).otherwise(F.coalesce(opened | globbed, F.lit(False))).alias("shell_open"),
+        .when(sk == "BOOLEAN", at(shell, "boolean")).otherwise(F.coalesce(opened | globbed, F.lit(False))).alias("shell_open"),
         (nat & flag & on).alias("net_any"),
         (F.col("has_perms") & (~nat | nk.startswith("OBJECT"))).alias("net_map"),
         (F.col("has_perms") & (~nat | (nk != ""))).alias("has_network"),
         F.when(nat, _text(f"{net}.policy")).when(F.size(allow) > 0, "allow-list").otherwise("deny-all").alias("policy"),
-        (~nat | _has(f"{net}.allow")).alias("has_allow"), allow.alias("allow"), _strings(f"{p}.tools").alias("tools"),
-        _text("$.risk_tier").alias("risk_tier"), F.when(F.trim(hash_text) != "", hash_text).alias("content_hash"), _at("$.description", "string").alias("description"),
+        (~nat | has(f"{net}.allow")).alias("has_allow"), allow.alias("allow"), strings(f"{p}.tools").alias("tools"),
+        _text("$.risk_tier").alias("risk_tier"), F.when(F.trim(hash_text) != "", hash_text).alias("content_hash"), at("$.description", "string").alias("description"),
     )

@@ -151,6 +151,28 @@ def test_findings(scanned, entries):
     assert said["native", "AST01-content-hash-mismatch"].endswith(hashlib.sha256(body).hexdigest())
 
 
+def test_payload_and_staleness(spark, scanned, entries):
+    read = manifests.read_manifests(scanned)
+    declared = manifests.declared(read)
+    found = audit.run_all(declared, scanned, entries).cache()
+    out = audit.payload(declared, scanned, found, read).cache()
+    got = {r.pkg_id: json.loads(r.payload) for r in out.collect()}
+    assert set(got) == set(PACKAGES)
+    one = got["listed"]
+    assert [c["category"] for c in one["categories"]] == audit.CATEGORIES
+    assert {c["category"] for c in one["categories"] if c["status"] == "no-static-detectors"} == {"AST07", "AST09"} and one["totals"]["categories_without_detectors"] == 2
+    fired = EXPECTED["listed"]
+    assert {f["check_id"] for c in one["categories"] for f in c["findings"] if f["detected"]} == fired
+    modes = {m: sum(checks.COVERS[c] == m for c in fired) for m in audit.MODES} | {"undeclared": 0}
+    assert (one["totals"]["checks_run"], one["totals"]["detected"], one["totals"]["detected_by_coverage"]) == (36, len(fired), modes)
+    assert one["declaration"] == {"source": "skill.usf.yaml", "manifest_found": True, "declares_permissions": True, "declares_content_hash": True}
+    assert got["broken"]["declaration"]["manifest_found"] is False and got["bare"]["manifest_source"] == "none"
+    assert one["surface_files"] == ["SKILL.md", "scripts/c.py"] and got["closed"]["skipped_files"][0] == {"path": ".env", "reason": "non-text suffix"}
+    older = out.where("pkg_id <> 'bare'").withColumn("payload", F.when(F.col("pkg_id") == "open", "{}").otherwise(F.col("payload")))
+    older = older.unionByName(spark.createDataFrame([("lost", "{}")], "pkg_id string, payload string"))
+    assert {tuple(r) for r in audit.stale(older, out).collect()} == {("open", "changed"), ("bare", "new"), ("lost", "gone")}
+
+
 def test_empty_tables(scanned, entries):
     none = scanned.limit(0)
     declared = manifests.declared(manifests.read_manifests(none))
