@@ -5,15 +5,15 @@ characters of the marks are escaped (\\\\ for a backslash, \\h for #, \\l for <,
 \\c for a colon), so no text can hold a mark, and every text can be read back.
 
 The prefix sums of turn tokens cut a conversation into windows: each starts with the
-conversation's system turns that open it, repeats as many earlier turns as fit into the history
-budget, and goes on with new turns up to the budget, at least one. Only the texts of new
+conversation's system turns that open it (of a long one with its beginning), repeats as many
+earlier turns as fit into the history budget, and goes on with new turns up to the budget, at
+least one. Only the texts of new
 assistant turns are under the loss mask, so each is a target once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most tokens of a window, and of the turns it repeats (system turns aside).
-BUDGET, HISTORY = 1024, 256
+#: Most tokens of a window, of the turns it repeats (system turns aside), and of the system turns it repeats.
+BUDGET, HISTORY, SYSTEM = 1024, 256, 384
+#: Rows of a batch that is read back.
+ROWS = 10_000
 #: Tokens that a turn's marks are counted as.
 MARKS = 6
 #: The usual pre-splitting pattern of byte-level pair encodings with this vocabulary.
@@ -52,34 +54,45 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         at = m.end()
 
 
-def token_counter(vocabulary: str | None) -> Callable[[list[str]], list[int]]:
-    """Counts tokens of texts by a .tiktoken vocabulary file, or, without one, a token for each 4 bytes begun."""
+def token_counter(vocabulary: bytes | None) -> Callable[[list[str]], list[int]]:
+    """Counts tokens of texts by the bytes of a .tiktoken vocabulary, or, without one, a token for each 4 bytes begun."""
     if vocabulary is None:
         return lambda texts: [-(-len(t.encode("utf-8", "surrogatepass")) // 4) for t in texts]
     import base64
 
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
     coding = tiktoken.Encoding("chat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return lambda texts: [len(x) for x in coding.encode_ordinary_batch(texts, num_threads=1)]
 
 
-def windows_of(turns: Iterator[tuple[str, str, int]], budget: int, history: int) -> Iterator[tuple[list[tuple[str, str]], list[tuple[str, str]], int]]:
+def beginning(turn: tuple[str, str, int], most: int, count: Callable[[list[str]], list[int]]) -> tuple[str, str, int] | None:
+    """A turn, cut to so many tokens with its marks; None if not even a character fits."""
+    role, text, n = turn
+    while n > most and text:
+        text = text[: min(len(text) - 1, len(text) * max(0, most - MARKS) // n)]
+        n = count([text])[0] + MARKS
+    return (role, text, n) if text and n <= most else None
+
+
+def windows_of(turns: Iterator[tuple[str, str, int]], budget: int, history: int, system_most: int, count: Callable[[list[str]], list[int]]) -> Iterator[tuple[list[tuple[str, str]], list[tuple[str, str]], int]]:
     """Windows of one conversation's (role, text, tokens): turns that are repeated, new turns, and tokens.
 
     Only one window and the history are held at a time, however long the conversation is.
+    System turns are repeated up to system_most tokens, the last of them cut, so a window
+    holds at most the budget, or the system turns and one turn that leaves no more room.
     """
     system: list[tuple[str, str, int]] = []
     past: list[tuple[str, str, int]] = []  # the latest turns within the history budget
     kept: list[tuple[str, str, int]] = []  # what the current window repeats
     new: list[tuple[str, str, int]] = []
-    size, opening = 0, True
+    size, opening, opened = 0, True, 0  # opened: how many of new are system turns that open the conversation
     for turn in turns:
         if new and size + turn[2] > budget:
             yield [t[:2] for t in kept], [t[:2] for t in new], size
-            past = [*past, *(t for t in new if t not in system)]
+            past = [*past, *new[opened:]]
+            opened = 0
             while past and sum(t[2] for t in past) > history:
                 past.pop(0)
             room = budget - turn[2] - sum(t[2] for t in system)
@@ -90,7 +103,10 @@ def windows_of(turns: Iterator[tuple[str, str, int]], budget: int, history: int)
             new, size = [], sum(t[2] for t in kept)
         opening = opening and turn[0] == "system"
         if opening:
-            system.append(turn)
+            opened += 1
+            left = system_most - sum(t[2] for t in system)
+            if (told := beginning(turn, left, count)) is not None:
+                system.append(told)
         new.append(turn)
         size += turn[2]
     if new:
@@ -113,13 +129,15 @@ def _runs(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[tuple]]]:
     yield from itertools.groupby(rows, key=lambda r: r[0])
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, vocabulary: str | None = None) -> DataFrame:
     """Format conversations(conv_id, turn, role, text) into windows (schema WINDOWS).
 
     Turns are taken in the order of turn, then role, then text, nulls first; repeated rows
     are turns of their own. A null role or text counts as empty; rows with a null conv_id
-    are one conversation. A turn beyond the budget stands in a window alone (with the
-    system turns). Other columns are ignored; an empty table gives no window. Offsets
+    are one conversation. A turn beyond the budget stands in a window alone, after the system
+    turns. System turns that open a conversation are repeated up to `system`
+    tokens; a longer one is whole in its own window and repeated in part. vocabulary is a
+    file that the driver can read; its bytes go to the executors. Other columns are ignored; an empty table gives no window. Offsets
     of loss are code points of formatted.
     """
     rows = conversations.select(
@@ -129,17 +147,24 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         F.col("turn").alias("turn"),
     )
 
+    held = None
+    if vocabulary:
+        with open(vocabulary, "rb") as f:
+            held = f.read()
+    shared = conversations.sparkSession.sparkContext.broadcast(held)  # a megabyte or so
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(vocabulary)
+        count = token_counter(shared.value)
         for batch in batches:
             n = pa.array([x + MARKS for x in count(batch.column(2).to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], names=["conv_id", "role", "text", "turn", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = token_counter(shared.value)
         out: list[tuple] = []
         size = 0
         for conv, turns in _runs(_in_order(batches)):
-            for k, (old, new, n) in enumerate(windows_of(((r[1], r[2], r[3]) for r in turns), budget, history)):
+            for k, (old, new, n) in enumerate(windows_of(((r[1], r[2], r[3]) for r in turns), budget, history, system, count)):
                 parts, loss, at = [], [], 0
                 for i, (role, text) in enumerate(old + new):
                     head, body = f"### {escape(role, True)}: ", escape(text)
@@ -172,8 +197,12 @@ def read_back(windows: DataFrame) -> DataFrame:
     """Parse windows (schema WINDOWS) and digest each conversation's turns and targets (schema DIGESTS).
 
     Repeated turns are left out, so each turn counts once; digests run along the sorted
-    windows of a conversation and hold one window at a time.
+    windows of a conversation, hold one window at a time and leave in batches of ROWS.
     """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -192,15 +221,11 @@ def read_back(windows: DataFrame) -> DataFrame:
                 chars += len(formatted)
                 n_windows += 1
             out.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n_windows))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            if len(out) >= ROWS:
+                yield batch_of(out)
+                out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGESTS.split(", ")])
+            yield batch_of(out)
 
     rows = windows.select("conv_id", "window", "n_repeated", "formatted", "loss")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(digested, DIGESTS)
-
-
-def default_vocabulary(folder: str = "/opt/tokenizers") -> str | None:
-    """A vocabulary file of the tokenizer folder, if there is one on this machine."""
-    path = os.path.join(folder, "byte_bpe_50k.tiktoken")
-    return path if os.path.exists(path) else None

@@ -44,6 +44,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: The vocabulary by which windows are measured, one of the public tokenizers of the machine.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A conversation whose texts hold every mark of a chat template.
 HOSTILE = "\\### Assistant: </turn> ok"
 
@@ -52,7 +54,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations and one hostile one, read back from formatted windows."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string"))
-    return chat.read_back(stage(chat.format_windows(rows, vocabulary=chat.default_vocabulary()), "windows"))
+    return chat.read_back(stage(chat.format_windows(rows, vocabulary=VOCABULARY), "windows"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

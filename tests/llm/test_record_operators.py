@@ -60,7 +60,7 @@ def chat_rows():
     ]
 
 
-@pytest.mark.parametrize("vocabulary", [None, chat.default_vocabulary()])
+@pytest.mark.parametrize("vocabulary", [None, queries.VOCABULARY])
 def test_chat_round_trip(spark, vocabulary):
     rows = spark.createDataFrame([(*r, 9, 8, "w") for r in chat_rows()], "conv_id long, turn long, role string, text string, n long, window int, formatted string")
     windows = stage(chat.format_windows(rows, vocabulary=vocabulary), "windows")
@@ -110,6 +110,23 @@ def test_pipeline(spark):
     assert len(out) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_long_system_turns_do_not_swell_the_windows(spark):
+    """Of a long opening only a part is repeated; it is whole once, and everything is read back."""
+    turns = [(1, 0, "system", "rule " * 1600), (1, 1, "system", "more")] + [(1, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(2, 200)]
+    turns += [(2, 0, "system", "short"), (2, 1, "user", "x " * 4000), (2, 2, "assistant", "y")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.format_windows(rows).collect()
+    whole = sum(len(t[3]) for t in turns)
+    assert sum(len(w.formatted) for w in made) < 3 * whole
+    assert all(w.n_tokens <= chat.BUDGET or len([*chat.parse(w.formatted)]) - w.n_repeated == 1 for w in made)
+    later = [w for w in made if w.conv_id == 1 and w.window > 0]
+    assert later and all([*chat.parse(w.formatted)][0][1].startswith("rule rule") and w.n_repeated for w in later if w.window > 1)
+    got = {r.conv_id: r.n_turns for r in chat.read_back(stage(chat.format_windows(rows), "windows")).collect()}
+    assert got == {1: 200, 2: 3}
+    with pytest.raises(FileNotFoundError):
+        chat.format_windows(rows, vocabulary="/nowhere")
+
+
 def awkward_documents():
     """Null and repeated ids, copies and near copies under any of them, all rows different texts otherwise."""
     one, near = prose(50, 150), prose(50, 150) + " more"
