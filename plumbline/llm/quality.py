@@ -1,10 +1,13 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-Each rule gives a document a badness. Along a fixed grid from lenient to strict, a cutoff
-is accepted while an exact binomial test on the labelled good documents of a stratum shows
-that it rejects at most a share RISK / rules of them (fixed-sequence testing: one level
-serves the whole grid); levels are split over all strata and rules (Bonferroni). So with
-confidence 1 - DELTA no stratum loses more than RISK of its good documents to the rules.
+Each rule gives a document a badness, scaled so that 1 is as bad by one rule as by another.
+All rules are tightened together, along a fixed grid from lenient to strict: a step is
+accepted while an exact binomial test on the labelled good documents of a stratum shows that
+the rules together reject at most a share RISK of them (fixed-sequence testing: one level
+serves the whole grid); levels are split over the strata (Bonferroni). So with confidence
+1 - DELTA no stratum loses more than RISK of its good documents to the rules. A stratum needs
+as many good labels, none of them beyond a cutoff, as make (1 - RISK) to that power fall
+to DELTA over the number of strata: 217 for four strata.
 """
 
 from __future__ import annotations
@@ -78,21 +81,30 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def badness() -> dict[str, Column]:
-    """The rules: what grows as a text gets worse; null without words."""
+    """The rules: what grows as a text gets worse; null without words.
+
+    1 is a symbol for each 10 words, 30 % of repeated lines, 20 % of repeated words, and words
+    of 10 or of 3 characters on average.
+    """
 
     def ratio(a: Column, b: Column) -> Column:
         return F.try_divide(a.cast("double"), b.cast("double"))
 
     c = F.col
     return {
-        "symbols": ratio(c("n_symbols"), c("n_words")),
-        "dup_lines": ratio(c("n_dup_lines"), c("n_lines")),
-        "repeats": ratio(c("n_repeat_words"), c("n_words")),
+        "symbols": ratio(c("n_symbols") * 10, c("n_words")),
+        "dup_lines": ratio(c("n_dup_lines") * 10, c("n_lines") * 3),
+        "repeats": ratio(c("n_repeat_words") * 5, c("n_words")),
         "long_words": ratio(c("word_chars"), c("n_words") * 10),
-        "short_words": ratio(c("n_words"), c("word_chars")),
+        "short_words": ratio(c("n_words") * 3, c("word_chars")),
     }
 
 
+def worst() -> Column:
+    """The badness of a document by the rule that it is worst by; null without words."""
+    return F.greatest(*badness().values())
+
+
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) of n trials, exactly, term by term in logarithms; 1 where k is above the mean."""
     ln_q, ln_odds = math.log1p(-p), math.log(p / (1 - p))
@@ -107,62 +119,54 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest accepted cutoff of each rule; none, no row."""
-    rules = badness()
+    """(stratum, cutoff): the strictest accepted cutoff of all rules together; none, no row."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = measured.where("NOT base_failed").join(good, "doc_id")
-    grid = F.array(*(F.lit(c) for c in GRID))
-    over = F.array(*(F.struct(F.lit(r).alias("rule"), F.size(F.filter(grid, _above(b))).alias("over")) for r, b in rules.items()))
-    tally = held.select("stratum", F.explode(over).alias("x")).groupBy("stratum", "x.rule", "x.over").agg(F.count(F.lit(1)).alias("n"))
-    tally = stage(tally, "tally")  # a row for each stratum, rule and grid step at most
+    grid, bad = F.array(*(F.lit(c) for c in GRID)), worst()
+    tally = held.groupBy("stratum", F.size(F.filter(grid, lambda c: bad > c)).alias("over")).agg(F.count(F.lit(1)).alias("n"))
+    tally = stage(tally, "tally")  # a row for each stratum and grid step at most
     steps = tally.sparkSession.range(len(GRID)).select(F.col("id").cast("int").alias("step"))
-    sums = tally.groupBy("stratum", "rule").agg(F.sum("n").alias("n"))
+    sums = tally.groupBy("stratum").agg(F.sum("n").alias("n"))
     rejected = (
         sums.crossJoin(F.broadcast(steps))  # len(GRID) rows
-        .join(tally.withColumnRenamed("n", "m"), ["stratum", "rule"])
-        .groupBy("stratum", "rule", "n", "step")
+        .join(tally.withColumnRenamed("n", "m"), "stratum")
+        .groupBy("stratum", "n", "step")
         .agg(F.sum(F.when(F.col("over") >= len(GRID) - F.col("step"), F.col("m")).otherwise(0)).alias("k"))
     )
-    level = sums.select((F.lit(delta) / (F.countDistinct("stratum") * len(rules))).alias("level"))
-    tested = rejected.crossJoin(F.broadcast(level)).withColumn("passes", binomial_cdf(F.col("k"), F.col("n"), risk / len(rules)) <= F.col("level"))
-    in_turn = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    level = sums.select((F.lit(delta) / F.count(F.lit(1))).alias("level"))
+    tested = rejected.crossJoin(F.broadcast(level)).withColumn("passes", binomial_cdf(F.col("k"), F.col("n"), risk) <= F.col("level"))
+    in_turn = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     passed = tested.withColumn("all_so_far", F.min("passes").over(in_turn)).where("all_so_far")
-    best = passed.groupBy("stratum", "rule").agg(F.max("step").alias("step"))
-    return best.select("stratum", "rule", grid[F.col("step")].alias("cutoff"))
-
-
-def _above(b: Column):
-    return lambda c: b > c
+    best = passed.groupBy("stratum").agg(F.max("step").alias("step"))
+    return best.select("stratum", grid[F.col("step")].alias("cutoff"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Measure every document and keep those that pass the base rule and all accepted cutoffs.
+    """Measure every document and keep those that pass the base rule and, by every rule, the accepted cutoff.
 
     docs needs doc_id (long), text and lang, labels doc_id and quality (1: good); other
     columns are ignored, whatever their names. Returns one row per row of docs: doc_id,
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
     A null text counts as empty: no words, base_failed. A null lang is a stratum of its
     own. A document with several labels is good only if all are 1; null ids match no label;
-    repeated rows each count. Without labels, or with too few to prove a cutoff, a rule
-    rejects nothing. An empty table gives an empty one.
+    repeated rows each count. In a stratum without labels, or with too few to prove a cutoff,
+    the rules reject nothing. An empty table gives an empty one.
     """
     measured = stage(measures(docs), "measures")
-    accepted = stage(cutoffs(measured, labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("at")), "cutoffs")
+    accepted = stage(cutoffs(measured, labels), "cutoffs")
     out = measured.join(broadcast_if_small(accepted), "stratum", "left")
-    bad = F.lit(False)
-    for rule, b in badness().items():
-        bad = bad | F.coalesce(b > F.try_element_at("at", F.lit(rule)), F.lit(False))
+    bad = F.coalesce(worst() > F.col("cutoff"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
-_BADNESS = {
-    "symbols": "n_symbols::DOUBLE / nullif(n_words, 0)",
-    "dup_lines": "n_dup_lines::DOUBLE / nullif(n_lines, 0)",
-    "repeats": "n_repeat_words::DOUBLE / nullif(n_words, 0)",
-    "long_words": "word_chars::DOUBLE / nullif(n_words * 10, 0)",
-    "short_words": "n_words::DOUBLE / nullif(word_chars, 0)",
-}
+_BADNESS = [
+    "(n_symbols * 10)::DOUBLE / nullif(n_words, 0)",
+    "(n_dup_lines * 10)::DOUBLE / nullif(n_lines * 3, 0)",
+    "(n_repeat_words * 5)::DOUBLE / nullif(n_words, 0)",
+    "word_chars::DOUBLE / nullif(n_words * 10, 0)",
+    "(n_words * 3)::DOUBLE / nullif(word_chars, 0)",
+]
 ORACLE_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {_WORDS} AS w,
@@ -182,23 +186,20 @@ m AS (
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN r USING (row_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-rules AS (
-  {" UNION ALL ".join(f"SELECT row_id, doc_id, stratum, base_failed, '{k}' AS rule, {v} AS bad FROM b" for k, v in _BADNESS.items())}),
+rules AS (SELECT row_id, doc_id, stratum, base_failed, greatest({", ".join(_BADNESS)}) AS bad FROM b),
 grid AS (SELECT step, {GRID!r}[step + 1]::DOUBLE AS cutoff FROM (SELECT unnest(range({len(GRID)})) AS step)),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
 k AS (
-  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (WHERE bad > cutoff) AS k
+  SELECT stratum, step, cutoff, count(*) AS n, count(*) FILTER (WHERE bad > cutoff) AS k
   FROM rules JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
-level AS (SELECT {DELTA} / (count(DISTINCT stratum) * {len(_BADNESS)}) AS level FROM k),
+level AS (SELECT {DELTA} / count(DISTINCT stratum) AS level FROM k),
 p AS (
-  SELECT k.*, CASE WHEN k > n * {RISK / len(_BADNESS)!r} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(_BADNESS)!r}) + (n - i) * ln(1 - {RISK / len(_BADNESS)!r})))) END <= level AS passes
+  SELECT k.*, CASE WHEN k > n * {RISK!r} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))) END <= level AS passes
   FROM k, level),
 best AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff
-  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM p) WHERE ok GROUP BY ALL),
-verdict AS (
-  SELECT row_id, bool_or(coalesce(bad > best.cutoff, false)) AS bad FROM rules LEFT JOIN best USING (stratum, rule) GROUP BY row_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT verdict.bad AS kept
-FROM b JOIN verdict USING (row_id)
+  SELECT stratum, min(cutoff) AS cutoff
+  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM p) WHERE ok GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad > best.cutoff, false) AS kept
+FROM b JOIN (SELECT row_id, bad FROM rules) USING (row_id) LEFT JOIN best USING (stratum)
 """

@@ -298,6 +298,50 @@ def test_quality_cutoffs_reject_junk_and_keep_the_good(spark):
     assert sum(not out[d] for d, *_ in good) <= 0.02 * len(good)
 
 
+def test_quality_cutoffs_by_brute_force(spark):
+    """Strata of 216 and 217 good labels at the level of four, one with misses, one without labels: each step tested by hand."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for stratum, n, odd in (("a", 216, 0), ("b", 217, 0), ("c", 700, 4), ("d", 300, 200)):
+        for i in range(n):
+            words = prose(len(rows), 30).split()
+            extra = "|" * int(rng.integers(30, 90)) if i < odd else ""
+            rows.append((len(rows), " ".join([*words, extra]).strip(), stratum))
+            labels.append((rows[-1][0], 1))
+        for _ in range(5):
+            rows.append((len(rows), prose(len(rows), 30) + " " + "#" * 60, stratum))
+    rows.append((len(rows), prose(1, 30) + " " + "#" * 60, "e"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def bad(t):
+        w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        return max(10 * len(re.findall(r"[#*$%&|<>]", t)) / len(w), (len(lines) - len(set(lines))) * 10 / (3 * len(lines)), sum(map(len, w)) / (10 * len(w)), 3 * len(w) / sum(map(len, w)))
+
+    cut = {}
+    for s in "abcd":
+        good = [bad(t) for d, t, x in rows if x == s and (d, 1) in set(labels)]
+        for c in quality.GRID:
+            k, n = sum(b > c for b in good), len(good)
+            if k > n * quality.RISK or sum(math.comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(k + 1)) > quality.DELTA / 4:
+                break
+            cut[s] = c
+    assert set(cut) == {"b", "c"} and cut["b"] < 2
+    out = {r.doc_id: r.kept for r in quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert out == {d: bad(t) <= cut.get(s, math.inf) for d, t, s in rows}
+
+
+def test_quality_and_sql_agree_where_cutoffs_bind(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = Counter(con.execute(quality.ORACLE_SQL).fetchall())
+    assert Counter(tuple(r) for r in queries.op6_quality(spark, sf).collect()) == want
+    assert any(not r[-1] and not r[-2] for r in want)  # a document that the cutoffs alone reject
+
+
 def test_binomial_cdf(spark):
     rows = [(n, k) for n in (1, 10, 300, 5000) for k in range(0, min(n, 12))]
     out = spark.createDataFrame(rows, "n long, k long").select("n", "k", quality.binomial_cdf(F.col("k"), F.col("n"), 0.004).alias("p")).collect()
