@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small, fresh_path, stage
+from plumbline.llm.common import fresh_path, join_counted, stage
 
 #: Raw bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME, BUNDLE = 1 << 20, 256 << 20
@@ -31,6 +31,8 @@ FRAME, BUNDLE = 1 << 20, 256 << 20
 READ = 128 << 20
 #: Payloads below this are never revisits.
 LEAST = 1000
+#: Payloads with copies that are told to all tasks at once (a hundred bytes each).
+COPIES = 100_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -165,10 +167,14 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("sha1"))
-    twice = rows.where(F.octet_length("html") >= LEAST).groupBy("sha1", F.octet_length("html").alias("size"))
-    twice = twice.agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last IS NOT NULL").drop("n")
-    twice = stage(twice, "copies")
-    rows = rows.withColumn("size", F.octet_length("html")).join(broadcast_if_small(twice, 100_000), ["sha1", "size"], "left")
+    size = F.octet_length("html")
+    # what is too small to be a copy has a key of its own, so that no key is common by being empty
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id())
+    rows = rows.withColumn("key", F.when(size >= LEAST, F.concat_ws(":", "sha1", size)).otherwise(alone))
+    twice = rows.where(size >= LEAST).groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    twice = stage(twice.where("n > 1 AND last IS NOT NULL"), "copies")
+    # beyond what is broadcast, pages are shuffled by their digests, but for those with very many copies
+    rows = rows.join(F.broadcast(twice), "key", "left") if twice.count() <= COPIES else join_counted(rows, twice, "key", how="left")
     refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
     rows = rows.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
     return stage(rows.mapInArrow(_writer(folder, date, level), INDEX), "warc-index")

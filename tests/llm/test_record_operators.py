@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import chat, linededup, mixing, queries, warc
+from plumbline.llm import chat, common, linededup, mixing, queries, warc
 from plumbline.llm.common import stage
 from plumbline.llm.queries import HOSTILE
 from tests.llm.conftest import prose
@@ -31,7 +31,11 @@ def pages(spark):
     return spark.createDataFrame([(*r, "s", "b", 1, 2, "h", 3) for r in page_rows()], PAGES)
 
 
-def test_warc_round_trip(spark, pages):
+@pytest.mark.parametrize(("copies", "hot"), [(100_000, 2000), (0, 2000), (0, 1)])
+def test_warc_round_trip(spark, pages, monkeypatch, copies, hot):
+    """With the copies told to all tasks, joined by their digests, and with the commonest of them apart."""
+    monkeypatch.setattr(warc, "COPIES", copies)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = page_rows()
     last = defaultdict(int)
     for i, _, html in rows:
