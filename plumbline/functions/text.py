@@ -75,3 +75,33 @@ def uri_path(path: Column) -> Column:
     """Percent-encode every segment of a path; empty segments go."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     return F.array_join(F.transform(segments, lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))), "/")
+
+
+# --- fixed values: how the arm of an evaluation is spelled, and what stands for it and for the workspace ---
+ARM_MARK = r"(?i)with(?:out)?[\s_\-]{0,2}skills?\b"
+ARM_GONE, PATH_GONE = "<arm-redacted>", "<workspace-path-redacted>"
+# --- end of fixed values ---
+
+
+def blinded(text: Column, workspace: str | None = None) -> Column:
+    """text without the workspace's path and without any spelling of the arm that a run belongs to."""
+    if workspace:
+        text = F.replace(text, F.lit(workspace), F.lit(PATH_GONE))
+    return F.regexp_replace(text, ARM_MARK, ARM_GONE)
+
+
+def arm_leak(text: Column) -> Column:
+    """The first spelling of an arm in a text that should be blind, or null."""
+    return F.nullif(F.regexp_extract(text, ARM_MARK, 0), F.lit(""))
+
+
+def badge_field(text: Column) -> Column:
+    """A field of a badge's path: dashes and underscores doubled, then percent-encoded."""
+    doubled = F.replace(F.replace(text, F.lit("_"), F.lit("__")), F.lit("-"), F.lit("--"))
+    return F.replace(F.replace(F.url_encode(doubled), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+
+
+def printable_share(text: Column) -> Column:
+    """Share of characters that are tab, line ends, printable ASCII or above U+00A0; null for an empty text."""
+    odd = F.char_length(F.regexp_replace(text, r"[\t\r\n\x20-\x7E\x{A1}-\x{10FFFF}]", ""))
+    return F.try_divide((F.char_length(text) - odd).cast("double"), F.char_length(text).cast("double"))

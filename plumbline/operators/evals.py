@@ -145,3 +145,28 @@ def run_status(expected: DataFrame, runs: DataFrame, errors: DataFrame) -> DataF
     out = expected.join(r, ["slug", "arm"], "left").join(e, ["slug", "arm"], "left")
     status = F.when(F.col("graded"), "complete").when(F.col("failed"), "error").when(F.col("graded").isNotNull(), "incomplete").otherwise("absent")
     return out.select("slug", "arm", status.alias("status"))
+
+
+#: Fewest authored evaluations of a skill, and of those fewest whose right answer is no.
+AUTHORED, NEGATIVE = 7, 2
+
+
+def is_negative(flag: Column, name: Column, expected: Column) -> Column:
+    """Is the right answer of an evaluation no: by its flag, its name, or how the expected answer begins?"""
+    named = F.coalesce(name.startswith("negative-") | name.contains("-negative-"), F.lit(False))
+    return F.coalesce(flag, F.lit(False)) | named | F.coalesce(F.trim(expected).rlike(r"(?i)^no\b[\s—-]"), F.lit(False))
+
+
+def authored(cases: DataFrame) -> DataFrame:
+    """How many evaluations of each skill of cases(skill, negative) there are, and whether that is enough: skill, n, negatives, enough."""
+    out = cases.groupBy("skill").agg(F.count(F.lit(1)).alias("n"), F.count_if("negative").alias("negatives"))
+    return out.withColumn("enough", (F.col("n") >= AUTHORED) & (F.col("negatives") >= NEGATIVE))
+
+
+def by_mechanism(results: DataFrame, *by: str) -> DataFrame:
+    """Assertions of each run that a script decided and that a model decided, and how many of each passed."""
+    scripted = F.col("mechanism") == "script"
+    return results.groupBy(*by).agg(
+        F.count_if(scripted).alias("scripted"), F.count_if(scripted & F.col("passed")).alias("scripted_passed"),
+        F.count_if(~F.coalesce(scripted, F.lit(False))).alias("modelled"), F.count_if(~F.coalesce(scripted, F.lit(False)) & F.col("passed")).alias("modelled_passed"),
+    )

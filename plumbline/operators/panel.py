@@ -15,6 +15,8 @@ TARGET, K, LEAST = 108.0, 1.0, 4
 FLOORS = {"D1": 17, "D2": 13, "D3": 13, "D4": 13, "D5": 13, "D6": 13, "D7": 8, "D8": 13}
 MAXIMA = {"D1": 20, "D2": 15, "D3": 15, "D4": 15, "D5": 15, "D6": 15, "D7": 10, "D8": 15}
 BANDS = [("A", 108.0), ("B", 96.0), ("C", 84.0), ("D", 72.0)]
+#: The bar of the spread clause that no longer decides anything.
+LOWER = 105.0
 METHOD, RUBRIC = "multi-round-independent-pooled", "3027f20f3181758385a1bb8c022d4041dfb4de84"
 #: Figures that every stored aggregate has; the two that came later are held to only where they are stored.
 STORED, LATER = ["n", "mean", "median", "min", "max", "range", "stdev", "lower_bound"], ["sem", "ci_lower"]
@@ -212,6 +214,63 @@ def provider_quality(judgments: DataFrame, full: float) -> DataFrame:
     return own.join(means, "provider")
 
 
+def dimension_quality(judgments: DataFrame, maxima: dict[str, int] | None = None) -> DataFrame:
+    """Signals of each provider over judgments(skill, provider, round_index, total, scores map), as judge_verdict reads them.
+
+    distinct_values, multiple_rate and max_rate are over dimension scores (null where none was
+    recorded), max_rate over those of known dimensions; full_rate over totals; skill_sd is the
+    population deviation of skill means, null for fewer than FEW_SKILLS skills. Consistency:
+    spread_mean and spread_max within a skill, within_sd (mean of sample deviations), and
+    round_spread over round means.
+    """
+    maxima = maxima or MAXIMA
+    top = F.create_map(*(x for k, v in maxima.items() for x in (F.lit(k), F.lit(float(v)))))
+    rate = lambda hit: F.avg(F.when(hit, 1.0).otherwise(0.0))
+    most = F.try_element_at(top, F.col("dim"))
+    dims = judgments.select("provider", F.explode("scores").alias("dim", "score")).groupBy("provider").agg(
+        F.count(F.lit(1)).alias("scores"), F.count_distinct("score").alias("distinct_values"), rate(F.pmod(F.col("score"), F.lit(5.0)) == 0).alias("multiple_rate"),
+        F.avg(F.when(most.isNotNull(), F.when(F.col("score") >= most, 1.0).otherwise(0.0))).alias("max_rate"),
+    )
+    totals = judgments.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), rate(F.col("total") >= float(sum(maxima.values()))).alias("full_rate"))
+    by_skill = judgments.groupBy("provider", "skill").agg(F.avg("total").alias("m"), (F.max("total") - F.min("total")).alias("spread"), F.stddev_samp("total").alias("sd"))
+    skills = by_skill.groupBy("provider").agg(
+        F.count(F.lit(1)).alias("skills"), F.when(F.count(F.lit(1)) >= FEW_SKILLS, F.stddev_pop("m")).alias("skill_sd"), F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"), F.avg("sd").alias("within_sd")
+    )
+    rounds = judgments.groupBy("provider", "round_index").agg(F.avg("total").alias("m")).groupBy("provider").agg((F.max("m") - F.min("m")).alias("round_spread"))
+    return totals.join(skills, "provider").join(rounds, "provider").join(dims, "provider", "left").na.fill(0, ["scores"])
+
+
+def pool_figures(judgments: DataFrame) -> DataFrame:
+    """One row: n_judgments, providers, skills, pooled_mean, bias_spread, sigma_min, sigma_max, sigma_median, and the bars that these imply.
+
+    All figures but n_judgments are null where a skill has fewer than two judgments. implied_min
+    and implied_max are what the spread clause asked of a mean, sem_bar what the bound asks at
+    the median sigma and the median number of judgments.
+    """
+    by_skill = judgments.groupBy("skill").agg(F.count("total").alias("n"), F.stddev_samp("total").alias("sigma"), F.sum("total").alias("s"))
+    skills = by_skill.agg(
+        F.sum("n").alias("n_judgments"), F.count(F.lit(1)).alias("skills"), (F.sum("s") / F.sum("n")).alias("pooled_mean"), F.min("sigma").alias("sigma_min"), F.max("sigma").alias("sigma_max"),
+        F.median("sigma").alias("sigma_median"), F.median("n").alias("n_median"), F.min("n").alias("least"),
+    )
+    own = judgments.groupBy("provider").agg(F.avg("total").alias("m")).agg(F.count(F.lit(1)).alias("providers"), (F.max("m") - F.min("m")).alias("bias_spread"))
+    out = skills.crossJoin(F.broadcast(own))  # of one row
+    told = lambda c: F.when(F.col("least") >= 2, c)
+    return out.select(
+        F.coalesce("n_judgments", F.lit(0)).alias("n_judgments"), "providers", "skills", *(told(F.col(c)).alias(c) for c in ("pooled_mean", "bias_spread", "sigma_min", "sigma_max", "sigma_median")),
+        told(LOWER + F.col("sigma_min")).alias("implied_min"), told(LOWER + F.col("sigma_max")).alias("implied_max"), told(TARGET + K * F.col("sigma_median") / F.sqrt("n_median")).alias("sem_bar"),
+    )
+
+
+def exclusion_effect(judgments: DataFrame, flagged: DataFrame) -> DataFrame:
+    """pool_figures with and without the flagged providers (provider), and the difference: a row for each pool (with, without, delta)."""
+    kept = judgments.join(flagged, "provider", "left_anti")
+    both = pool_figures(judgments).withColumn("pool", F.lit("with")).unionByName(pool_figures(kept).withColumn("pool", F.lit("without")))
+    figures = ["n_judgments", "pooled_mean", "bias_spread", "sigma_min", "sigma_max", "sigma_median"]
+    delta = both.agg(*(F.sum(F.when(F.col("pool") == "without", F.col(c)).otherwise(-F.col(c))).alias(c) for c in figures)).withColumn("pool", F.lit("delta"))
+    whole = both.agg(F.count("pooled_mean").alias("n")).where("n = 2")  # a difference needs both
+    return both.select("pool", *figures).unionByName(delta.crossJoin(F.broadcast(whole)).select("pool", *figures))
+
+
 def judge_verdict(q: DataFrame) -> DataFrame:
     """Does a judge tell skills apart? Too few skills come first, then flat, then coarse or saturated judges.
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 import base64
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, code_checks, config_checks, hazard_checks, ledger, payload_checks, validation
+from plumbline.functions import text as texts
+from plumbline.operators import audit, code_checks, config_checks, evals, hazard_checks, integrity, labelled, ledger, panel, payload_checks, responses, validation
 from plumbline.plans.bindings import Registry, table
-from plumbline.sources import manifests, packages, runs
+from plumbline.sources import corpus, manifests, packages, runs
 
 R = Registry()
 
@@ -311,3 +313,104 @@ def ledger_problems(spark, d):
     line = F.concat(F.lit("| Skill | Provider | Round |\n| --- | --- | --- |\n| s"), k, F.when(k % 12 == 4, " | p | 1 |").otherwise(" | q | 2 |"))
     texts = table(spark, d, "supplier").where((k % 12 == 4) | ((k % 4 == 2) & (k % 12 != 2))).select(k.cast("string").alias("doc"), line.alias("text"))
     return ledger.problems(_cards(spark, d), texts)
+
+
+@R.query(
+    "WITH c AS (SELECT s_suppkey AS i, s_suppkey % 6 AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'AST02' ELSE 'AST05' END AS category, s_suppkey % 7 <> 0 AND s_suppkey % 6 IN (0, 1, 2, 5) AS expected FROM supplier), "
+    "p AS (SELECT *, k IN (0, 1, 2, 5) AS predicted FROM c), m AS (SELECT category, count(*) AS cases, count(*) FILTER (WHERE expected) AS vulnerable, count(*) FILTER (WHERE NOT expected) AS clean, count(*) FILTER (WHERE expected AND predicted) AS tp, "
+    "count(*) FILTER (WHERE NOT expected AND predicted) AS fp, count(*) FILTER (WHERE expected AND NOT predicted) AS fn, count(*) FILTER (WHERE NOT expected AND NOT predicted) AS tn FROM p GROUP BY 1), "
+    "x AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM m), f AS (SELECT *, category = 'AST02' AS own FROM x) "
+    "SELECT category, 1 AS checks, cases, vulnerable, clean, 6 AS floor, cases >= 6 AS meets_floor, CASE WHEN own THEN tp END AS tp, CASE WHEN own THEN fp END AS fp, CASE WHEN own THEN fn END AS fn, CASE WHEN own THEN tn END AS tn, CASE WHEN own THEN precision END AS precision, "
+    "CASE WHEN own THEN recall END AS recall, CASE WHEN own THEN f1 END AS f1, CASE WHEN NOT own THEN f1 END AS proxy_f1, CASE WHEN NOT own THEN 'declared-and-uncovered' WHEN f1 >= 0.8 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN own THEN fp ELSE 0 END AS leaks FROM f"
+)
+def corpus_scores(spark, d):
+    """Suppliers as labelled cases of the configuration check, one category by a check that decides and one by a proxy; some labels are wrong."""
+    k = F.col("s_suppkey")
+    category = F.when(k % 2 == 0, "AST02").otherwise("AST05")
+    cases = table(spark, d, "supplier").select(
+        category.alias("category"), k.cast("string").alias("case_id"), F.lit("c").alias("corpus_check"), ((k % 7 != 0) & (k % len(_CONFIGS)).isin(0, 1, 2, 5)).alias("vulnerable"), k.cast("string").alias("pkg_id")
+    )
+    checks = spark.createDataFrame([(c, "c", config_checks.CHECK, m, [], "t", None) for c, m in (("AST02", "full"), ("AST05", "artifact-signal-only"))], corpus.CHECKS)
+    categories = spark.createDataFrame([(c, c, "s", "s", None, None) for c in ("AST02", "AST05")], corpus.CATEGORIES)
+    body = F.coalesce(*(F.when(k % len(_CONFIGS) == i, F.replace(F.lit(text), F.lit("NAME"), F.col("s_name"))) for i, (text, _) in enumerate(_CONFIGS)))
+    files = table(spark, d, "supplier").select(k.cast("string").alias("pkg_id"), F.lit(".mcp.json").alias("path"), body.alias("text"))
+    out = labelled.by_category(corpus.Corpus(checks, cases, categories, 6), config_checks.config_findings(files.select("pkg_id"), files))
+    return out.drop("name", "f1_scope", "f1_state")
+
+
+_ANSWERS_SQL = (
+    "WITH c AS (SELECT conv_id, turn, conv_id * 7 + turn AS k FROM conversations), a AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'failed' WHEN k % 9 BETWEEN 1 AND 4 THEN 'malformed' END AS status, CASE WHEN k % 11 = 0 THEN 'timeout' WHEN k % 9 = 1 THEN 'no JSON object' "
+    "WHEN k % 9 = 2 THEN 'missing: D8' WHEN k % 9 = 3 THEN 'D7: a score outside 0 to 10' WHEN k % 9 = 4 THEN 'D1 and D8: the same why' END AS reason FROM c) SELECT conv_id, turn, status, reason, CASE WHEN status IS NULL THEN (7 * (k % 10) + k % 8)::DOUBLE END AS total FROM a"
+)
+
+
+@R.query(_ANSWERS_SQL)
+def judge_responses(spark, d):
+    """Turns as judges' responses: the text, then a verdict as JSON; some are lost, cut, out of range or repeat themselves."""
+    k = F.col("conv_id") * 7 + F.col("turn")
+    score = lambda dim: F.when((k % 9 == 3) & F.lit(dim == "D7"), 11).when(F.lit(dim == "D8"), k % 8).otherwise(k % 10)
+    why = lambda dim: F.concat(F.lit("because of "), F.when((k % 9 == 4) & F.lit(dim == "D8"), "d1").otherwise(dim))
+    entries = [F.when((k % 9 == 2) & F.lit(dim == "D8"), None).otherwise(F.concat(F.lit(f'"{dim}": {{"score": '), score(dim), F.lit(', "why": "'), why(dim), F.lit('"}'))) for dim in panel.MAXIMA]
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[{}]", " ")
+    raw = F.when(k % 9 == 1, words).otherwise(F.concat(words, F.lit(" {"), F.concat_ws(", ", *entries), F.lit("} end")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", raw.alias("raw"), F.when(k % 11 == 0, "timeout").alias("error"))
+    return responses.outcomes(rows).select("conv_id", "turn", "status", "reason", "total")
+
+
+_BLIND = "regexp_replace(replace(t, '/w/iteration-1', '<workspace-path-redacted>'), 'with(?:out)?[ \\t\\n_-]{0,2}skills?\\b', '<arm-redacted>', 'gi')"
+
+
+@R.query(
+    "WITH c AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '/w/iteration-1/a: ' WHEN 1 THEN 'Without the skill, without_skill: ' WHEN 2 THEN 'WITH-SKILLS ' ELSE '' END || coalesce(text, '') AS t FROM conversations) "
+    f"SELECT conv_id, turn, md5({_BLIND}) AS digest, length({_BLIND}) AS n, (conv_id + turn) % 4 IN (1, 2) AS leaked FROM c"
+)
+def blinded_texts(spark, d):
+    """Turns without the spellings of an arm and the workspace's path, and which of them named an arm."""
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    head = F.when(k == 0, "/w/iteration-1/a: ").when(k == 1, "Without the skill, without_skill: ").when(k == 2, "WITH-SKILLS ").otherwise("")
+    raw = F.concat(head, F.coalesce("text", F.lit("")))
+    blind = texts.blinded(raw, "/w/iteration-1")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(blind).alias("digest"), F.char_length(blind).alias("n"), texts.arm_leak(raw).isNotNull().alias("leaked"))
+
+
+@R.query("SELECT doc_id, (length(t) - length(regexp_replace(t, '[\\t\\r\\n\\x20-\\x7E\\x{A1}-\\x{10FFFF}]', '', 'g')))::DOUBLE / nullif(length(t), 0) AS share FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN chr(1) || chr(160) || chr(127) ELSE '' END || text AS t FROM documents)")
+def printable_shares(spark, d):
+    """How much of each text can be printed; every tenth begins with what cannot."""
+    raw = F.concat(F.when(F.col("doc_id") % 10 == 0, "\x01\xa0\x7f").otherwise(""), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", texts.printable_share(raw).alias("share"))
+
+
+@R.query(
+    "WITH n AS (SELECT 's' || item_id % 7 AS skill, item_id % 3 = 0 OR item_id % 10 IN (1, 2, 4) AS negative FROM benchmark) "
+    "SELECT skill, count(*) AS n, count(*) FILTER (WHERE negative) AS negatives, count(*) >= 7 AND count(*) FILTER (WHERE negative) >= 2 AS enough FROM n GROUP BY 1"
+)
+def authored_evals(spark, d):
+    """Benchmark items as authored evaluations: those whose right answer is no, by flag, name or answer."""
+    i = F.col("item_id")
+    name = F.concat(F.when(i % 10 == 1, "negative-").when(i % 10 == 4, "a-negative-").otherwise("plain-"), i)
+    answer = F.concat(F.when(i % 10 == 2, " No \u2014 ").otherwise("None of it. "), "text")
+    return evals.authored(table(spark, d, "benchmark").select(F.concat(F.lit("s"), i % 7).alias("skill"), evals.is_negative(F.when(i % 3 == 0, True), name, answer).alias("negative")))
+
+
+@R.query(
+    "WITH s AS (SELECT s_suppkey AS k, 'c' || s_suppkey AS check_id, CASE s_suppkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'artifact-signal-only' WHEN 2 THEN 'category-precondition' ELSE 'half' END AS covers FROM supplier), "
+    "f AS (SELECT k, check_id, unnest([CASE WHEN k % 4 = 3 THEN 'no such mode' END, CASE WHEN k % 4 <> 3 AND k % 5 = 0 THEN 'no reason' END, CASE WHEN k % 4 = 2 AND k % 3 = 0 THEN 'a precondition that links a scenario' END, "
+    "CASE WHEN k % 4 = 2 AND k % 7 <> 0 THEN 'no derivation' END, CASE WHEN k % 4 < 2 AND k % 3 <> 0 THEN 'no scenario' END]) AS fault FROM s) SELECT check_id, fault FROM f WHERE fault IS NOT NULL"
+)
+def claim_faults(spark, d):
+    """Suppliers as what checks claim: modes, links, reasons and derivations, some of them missing."""
+    k = F.col("s_suppkey")
+    covers = F.when(k % 4 == 0, "full").when(k % 4 == 1, "artifact-signal-only").when(k % 4 == 2, "category-precondition").otherwise("half")
+    ids = F.when(k % 3 == 0, F.array(F.lit("s1"))).otherwise(F.array().cast("array<string>"))
+    claims = table(spark, d, "supplier").select(F.concat(F.lit("c"), k).alias("check_id"), covers.alias("covers"), ids.alias("registry_ids"), F.when(k % 5 == 0, " ").otherwise("r").alias("reason"), F.when(k % 7 == 0, "d").alias("derivation"))
+    return integrity.claim_faults(claims)
+
+
+@R.query(
+    "SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, len(regexp_extract_all(text, '[#*$%&|!]')) AS n FROM documents) WHERE n > 0) WHERE rank <= 20"
+)
+def top_findings(spark, d):
+    """The report of the twenty texts with most odd characters, worst first."""
+    n = F.regexp_count("text", F.lit("[#*$%&|!]"))
+    worst = table(spark, d, "documents").select("doc_id", n.alias("n")).where("n > 0").orderBy(F.desc("n"), "doc_id").limit(20)
+    return worst.select("doc_id", F.row_number().over(W.orderBy(F.desc("n"), "doc_id")).alias("rank"))

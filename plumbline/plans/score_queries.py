@@ -126,6 +126,48 @@ def judge_verdict(spark, d):
     return panel.judge_verdict(panel.provider_quality(j, 100.0)).select("provider", "verdict")
 
 
+_SCORED = (
+    f"{_J}, r AS (SELECT *, row_number() OVER (PARTITION BY skill, provider ORDER BY pos) - 1 AS round_index FROM j), d AS (SELECT provider, skill, pos, unnest(['D1', 'D4', 'D7', 'D9']) AS dim, unnest([pos % 21, pos % 5 + 11, CASE WHEN provider = 'p1' THEN 10 ELSE pos % 11 END, 3]) AS score FROM j WHERE provider <> 'p5'), "
+    "top(dim, most) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in panel.MAXIMA.items()) + "), "
+    "a AS (SELECT provider, count(*) AS scores, count(DISTINCT score) AS distinct_values, avg((score % 5 = 0)::INTEGER) AS multiple_rate, avg((score >= most)::INTEGER) AS max_rate FROM d LEFT JOIN top USING (dim) GROUP BY 1), "
+    "s AS (SELECT provider, skill, avg(total) AS m, max(total) - min(total) AS spread, stddev_samp(total) AS sd FROM j GROUP BY 1, 2), b AS (SELECT provider, count(*) AS skills, stddev_pop(m) AS skill_sd, avg(spread) AS spread_mean, max(spread) AS spread_max, avg(sd) AS within_sd FROM s GROUP BY 1), "
+    "q AS (SELECT provider, max(m) - min(m) AS round_spread FROM (SELECT provider, round_index, avg(total) AS m FROM r GROUP BY 1, 2) GROUP BY 1), t AS (SELECT provider, count(*) AS n, avg((total >= 120)::INTEGER) AS full_rate FROM j GROUP BY 1)"
+)
+
+
+@R.query(f"{_SCORED} SELECT * REPLACE (coalesce(scores, 0) AS scores) FROM t JOIN b USING (provider) JOIN q USING (provider) LEFT JOIN a USING (provider)")
+def dimension_quality(spark, d):
+    """What each judge's dimension scores and totals tell of it; one judge recorded no dimensions, and one dimension has no maximum."""
+    pos, given = F.col("pos"), F.col("provider") != "p5"
+    tops = F.when(F.col("provider") == "p1", 10).otherwise(pos % 11)
+    scores = F.create_map(*(x for k, v in (("D1", pos % 21), ("D4", pos % 5 + 11), ("D7", tops), ("D9", F.lit(3))) for x in (F.lit(k), v.cast("double"))))
+    return panel.dimension_quality(panel.provider_rounds(judgments(spark, d)).withColumn("scores", F.when(given, scores)))
+
+
+_POOL = (
+    "SELECT sum(n)::BIGINT AS n_judgments, sum(s) / sum(n) AS pooled_mean, (SELECT max(m) - min(m) FROM (SELECT avg(total) AS m FROM {0} GROUP BY provider)) AS bias_spread, min(sd) AS sigma_min, max(sd) AS sigma_max, median(sd) AS sigma_median "
+    "FROM (SELECT skill, count(*) AS n, sum(total) AS s, stddev_samp(total) AS sd FROM {0} GROUP BY 1)"
+)
+
+
+@R.query(
+    f"{_J}, k AS (SELECT * FROM j WHERE provider NOT IN ('p1', 'p3')), w AS ({_POOL.format('j')}), o AS ({_POOL.format('k')}) SELECT 'with' AS pool, * FROM w UNION ALL SELECT 'without', * FROM o UNION ALL "
+    "SELECT 'delta', o.n_judgments - w.n_judgments, o.pooled_mean - w.pooled_mean, o.bias_spread - w.bias_spread, o.sigma_min - w.sigma_min, o.sigma_max - w.sigma_max, o.sigma_median - w.sigma_median FROM w, o"
+)
+def exclusion_effect(spark, d):
+    """The panel's figures with and without two of its judges."""
+    return panel.exclusion_effect(judgments(spark, d), spark.createDataFrame([("p1",), ("p3",)], "provider string"))
+
+
+@R.query(
+    f"{_J}, w AS ({_POOL.format('j')}) SELECT n_judgments, (SELECT count(DISTINCT provider) FROM j) AS providers, (SELECT count(DISTINCT skill) FROM j) AS skills, pooled_mean, bias_spread, sigma_min, sigma_max, sigma_median, 105 + sigma_min AS implied_min, "
+    "105 + sigma_max AS implied_max, 108 + sigma_median / sqrt((SELECT median(n) FROM (SELECT count(*) AS n FROM j GROUP BY skill))) AS sem_bar FROM w"
+)
+def panel_summary(spark, d):
+    """The panel in one row, and the bars that its spread implies."""
+    return panel.pool_figures(judgments(spark, d))
+
+
 _DIMS = "(VALUES " + ", ".join(f"('{k}', {panel.FLOORS[k]}, {panel.MAXIMA[k]})" for k in panel.FLOORS) + ") AS dims(dim, floor, maximum)"
 
 
