@@ -23,50 +23,50 @@ def _at(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def parse(raw: Column, maxima: dict[str, int] | None = None) -> Column:
-    """struct(scores, whys, problem) of a response: its widest {...} as JSON, with a score and a reason for each dimension.
+def parse(responses: DataFrame, maxima: dict[str, int] | None = None) -> DataFrame:
+    """responses(raw and more) with scores and whys (maps by dimension) and problem: its widest {...} as JSON, with a score and a reason for each dimension.
 
     problem is the first of: no JSON object, not valid JSON, no object of dimensions, missing
     dimensions, bare scores without a reason, an entry without score or why, an empty why, a
     score that is no whole number within its dimension's range, and one reason given for two
-    dimensions (but for case and blanks). scores and whys are null then.
+    dimensions (but for case and blanks). scores and whys are null then. A null raw is empty.
     """
     maxima = maxima or MAXIMA
-    block = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    whole = F.try_parse_json(block)
-    body = F.coalesce(_at(whole, "$.scores"), whole)
-    entry = {d: _at(body, f"$.{d}") for d in maxima}
-    score = {d: _at(entry[d], "$.score") for d in maxima}
-    why = {d: F.when(_kind(_at(entry[d], "$.why")) == "STRING", F.trim(_at(entry[d], "$.why", "string"))) for d in maxima}
-    named = lambda wrong: F.array_compact(F.array(*(F.when(wrong(d), F.lit(d)) for d in maxima)))
-    listed = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(names, ", ")))
-    number = lambda d: _at(score[d], "$", "double")
-
-    def of(d: str) -> Column:
-        kind = _kind(score[d])
-        numeric = kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        return (
-            F.when(kind == "", f"{d}: no score").when(_kind(_at(entry[d], "$.why")) == "", f"{d}: no why").when(F.coalesce(why[d], F.lit("")) == "", f"{d}: an empty why")
-            .when(~numeric, f"{d}: a score that is no number").when(number(d) != F.floor(number(d)), f"{d}: a score that is no whole number")
-            .when((number(d) < 0) | (number(d) > maxima[d]), f"{d}: a score outside 0 to {maxima[d]}")
+    c = F.col
+    block = F.regexp_extract(F.coalesce("raw", F.lit("")), r"(?s)\{.*\}", 0)
+    out = responses.withColumn("_block", block).withColumn("_whole", F.try_parse_json("_block"))
+    out = out.withColumn("_body", F.coalesce(_at(c("_whole"), "$.scores"), c("_whole")))
+    # one struct for each dimension, worked out once: what kind of entry there is, and its score and why
+    of_entry = lambda e: F.struct(
+        _kind(e).alias("kind"), _kind(_at(e, "$.score")).alias("score_kind"), _kind(_at(e, "$.why")).alias("why_kind"), _at(e, "$.score", "double").alias("score"),
+        F.when(_kind(_at(e, "$.why")) == "STRING", F.trim(_at(e, "$.why", "string"))).alias("why"),
+    )
+    names, tops = F.array(*map(F.lit, maxima)), F.array(*(F.lit(float(m)) for m in maxima.values()))
+    out = out.withColumn("_dims", F.transform(F.array(*(_at(c("_body"), f"$.{d}") for d in maxima)), of_entry))
+
+    def wrong(x: Column, i: Column) -> Column:
+        name, top = F.get(names, i), F.get(tops, i)
+        why = (
+            F.when(x["score_kind"] == "", "no score").when(x["why_kind"] == "", "no why").when(F.coalesce(x["why"], F.lit("")) == "", "an empty why")
+            .when(~x["score_kind"].rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), "a score that is no number").when(x["score"] != F.floor(x["score"]), "a score that is no whole number")
+            .when((x["score"] < 0) | (x["score"] > top), F.concat(F.lit("a score outside 0 to "), top.cast("int").cast("string")))
         )
-
-    folded = F.array(*(F.struct(t.fold(why[d]).alias("f"), F.lit(d).alias("d")) for d in maxima))
-    twin = F.get(F.filter(folded, lambda x, i: F.exists(F.slice(folded, 1, i), lambda y: y["f"] == x["f"])), F.lit(0))
-    first = F.get(F.filter(folded, lambda x: x["f"] == twin["f"]), F.lit(0))
+        return F.concat(name, F.lit(": "), why)
+
+    named = lambda f: F.array_compact(F.transform("_dims", lambda x, i: F.when(f(x), F.get(names, i))))
+    listed = lambda label, found: F.when(F.size(found) > 0, F.concat(F.lit(f"{label}: "), F.array_join(found, ", ")))
+    out = out.withColumn("_folded", F.transform("_dims", lambda x: t.fold(x["why"])))
+    twin = F.get(F.array_compact(F.transform("_folded", lambda f, i: F.when(F.array_position("_folded", f) < i + 1, i))), F.lit(0))
+    out = out.withColumn("_twin", twin)
+    first = F.array_position("_folded", F.get("_folded", c("_twin"))).cast("int") - 1
     problem = F.coalesce(
-        F.when(F.coalesce(block, F.lit("")) == "", "no JSON object"),
-        F.when(whole.isNull(), "not valid JSON"),
-        F.when(~_kind(body).startswith("OBJECT"), "no object of dimensions"),
-        listed("missing", named(lambda d: entry[d].isNull())),
-        listed("bare scores", named(lambda d: ~_kind(entry[d]).startswith("OBJECT"))),
-        *(of(d) for d in maxima),
-        F.when(twin.isNotNull(), F.concat(first["d"], F.lit(" and "), twin["d"], F.lit(": the same why"))),
-    )
-    ok = problem.isNull()
-    scores = F.create_map(*(x for d in maxima for x in (F.lit(d), number(d))))
-    whys = F.create_map(*(x for d in maxima for x in (F.lit(d), why[d])))
-    return F.struct(F.when(ok, scores).alias("scores"), F.when(ok, whys).alias("whys"), problem.alias("problem"))
+        F.when(c("_block") == "", "no JSON object"), F.when(c("_whole").isNull(), "not valid JSON"), F.when(~_kind(c("_body")).startswith("OBJECT"), "no object of dimensions"),
+        listed("missing", named(lambda x: x["kind"] == "")), listed("bare scores", named(lambda x: ~x["kind"].startswith("OBJECT"))), F.get(F.array_compact(F.transform("_dims", wrong)), F.lit(0)),
+        F.when(c("_twin").isNotNull(), F.concat(F.get(names, first), F.lit(" and "), F.get(names, c("_twin")), F.lit(": the same why"))),
+    )
+    out = out.withColumn("problem", problem)
+    held = lambda field: F.when(c("problem").isNull(), F.map_from_arrays(names, F.transform("_dims", lambda x: x[field])))
+    return out.select(*responses.columns, held("score").alias("scores"), held("why").alias("whys"), "problem")
 
 
 def outcomes(responses: DataFrame, maxima: dict[str, int] | None = None) -> DataFrame:
@@ -75,15 +75,15 @@ def outcomes(responses: DataFrame, maxima: dict[str, int] | None = None) -> Data
     A response with an error failed; one that does not parse is malformed; status is null where
     it binds. A null raw without an error is malformed too.
     """
-    out = responses.withColumn("_p", parse(F.coalesce("raw", F.lit("")), maxima))
+    out = parse(responses, maxima)
     failed = F.trim(F.coalesce("error", F.lit(""))) != ""
-    status = F.when(failed, FAILED).when(F.col("_p.problem").isNotNull(), MALFORMED)
+    status = F.when(failed, FAILED).when(F.col("problem").isNotNull(), MALFORMED)
     bound = status.isNull()
-    scores = F.when(bound, F.col("_p.scores"))
-    total = F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, x: a + x)
     return out.select(
-        *responses.columns, scores.alias("scores"), F.when(bound, F.col("_p.whys")).alias("whys"), total.alias("total"), status.alias("status"), F.when(failed, F.col("error")).otherwise(F.col("_p.problem")).alias("reason")
-    )
+        *responses.columns, F.when(bound, F.col("scores")).alias("scores"), F.when(bound, F.col("whys")).alias("whys"), F.when(bound, total).alias("total"), status.alias("status"),
+        F.when(failed, F.col("error")).otherwise(F.col("problem")).alias("reason"),
+    )
 
 
 def run_status(judged: DataFrame, *by: str) -> DataFrame:
