@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | N
             pairs = mixed.where("mine < top").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         else:
             pairs = _search(mixed, sets, percent)
-        more = stage(_verified(pairs, classes, sets, percent), "links")
+        # what the search lists is so similar that signatures would rule out hardly a pair
+        more = stage(_verified(pairs, classes, sets, percent) if turn < HUB_ROUNDS else _similar(pairs, sets, percent), "links")
         if more.take(1):
             parts = stage(connected_components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)), "parts")
 
@@ -223,15 +224,20 @@ def _candidate_sets(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return stage(found.mapInArrow(_set_maker(k), "node long, items array<long>"), "sets")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets are similar enough."""
+def _ends(df: DataFrame, end: str, col: str) -> DataFrame:
+    return df.select(F.col("node").alias(end), F.col(col).alias(f"{col}_{end}"))
 
-    def of(df: DataFrame, end: str, *cols: str) -> DataFrame:
-        return df.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
 
-    near = pairs.join(of(classes, "a", "marks"), "a").join(of(classes, "b", "marks"), "b")
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose full sets are similar enough; pairs with signatures that rule this out are left out first."""
+    near = pairs.join(_ends(classes, "a", "marks"), "a").join(_ends(classes, "b", "marks"), "b")
     near = stage(near.where(_agreement("marks_a", "marks_b") >= percent / 100 - MARGIN).select("a", "b"), "near")
-    both = near.join(of(sets, "b", "items"), "b").join(of(sets, "a", "items"), "a")
+    return _similar(near, sets, percent)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose full sets are similar enough, without a look at signatures."""
+    both = pairs.join(_ends(sets, "b", "items"), "b").join(_ends(sets, "a", "items"), "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 

@@ -112,15 +112,16 @@ def test_search_lists_every_similar_pair(spark, percent):
 
 
 def test_pairs_grow_with_the_texts_only(spark, monkeypatch):
-    """Families around the threshold: the pairs that are verified stay within a multiple of the texts."""
-    verified, listed = minhash._verified, []
+    """Families around the threshold: the pairs that are verified, those of the search too, stay within a multiple of the texts."""
+    verified, search, listed = minhash._verified, minhash._search, []
 
-    def counted(pairs, *more):
+    def counted(pairs):
         pairs = stage(pairs, "pairs")
         listed.append(pairs.count())
-        return verified(pairs, *more)
+        return pairs
 
-    monkeypatch.setattr(minhash, "_verified", counted)
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *more: verified(counted(pairs), *more))
+    monkeypatch.setattr(minhash, "_search", lambda *more: counted(search(*more)))
     for n in (150, 600):
         listed.clear()
         rows = list(enumerate(family(n, 200, 16, 5)))
