@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as t
 from plumbline.operators.checks import LINE_END, SCRIPTS, listed
 from plumbline.sources import decoding
-from plumbline.sources.arrow import nested_udf
+from plumbline.sources.arrow import nested_udf, sieve
 from plumbline.sources.packages import SURFACE
 from plumbline.sources.trees import strings
 
@@ -41,6 +41,8 @@ DECODES = (
     r"(?i)\b(?:atob|b64decode|standard_b64decode|urlsafe_b64decode|b32decode|b16decode|a85decode|unhexlify|fromhex|codecs\.decode|zlib\.decompress|gzip\.decompress"
     r"|lzma\.decompress|Buffer\.from)\s*\(|\bbase64\s+(?:-d|-D|--decode)\b|\bopenssl\s+(?:base64|enc)\b[^\n]{0,40}\s-d\b|\bxxd\s+-r\b|\bbase64\s+--decode\b"
 )
+#: For RE2: what DECODES, RUN_OF_DECODE and SHELL_OF_DECODE cannot match without.
+DECODER = r"(?i:atob|b64decode|b32decode|b16decode|a85decode|unhexlify|decodebytes|fromhex|codecs\.decode|decompress|Buffer\.from|base64|openssl|xxd)"
 RUNS = (
     r"(?i)\b(?:eval|exec|execfile|os\.system|os\.popen|subprocess\.(?:run|Popen|call|check_call|check_output)|child_process\.(?:exec|execSync|spawn|spawnSync)"
     r"|vm\.runInNewContext|pickle\.loads|marshal\.loads)\s*\(|\bnew\s+Function\s*\(|\|\s*(?:sudo\s+)?(?:ba|z)?sh\b|\|\s*python[0-9.]*\b|\b(?:ba|z)?sh\s+-c\b|\bIEX\s*\("
@@ -114,11 +116,12 @@ def encoded_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
     values. What a decoding bound left out is in the note.
     """
     rows = surfaces(packages, files)
-    opened = rows.select("pkg_id", "path", "text", decoding.blobs(F.col("text"), F.col("path")).alias("x"))
+    opened = rows.select("pkg_id", "path", "text", decoding.blobs(F.col("text"), F.col("path")).alias("x"), sieve({"decoder": DECODER})(F.col("text")).alias("shown"))
+    opened = opened.where("x IS NOT NULL OR shown IS NOT NULL")
     label = lambda b: F.array_join(F.array_compact(F.array(*(F.when(b["text"].rlike(p), name) for name, p in PAYLOADS))), "+")
     blobs = F.transform("x.blobs", lambda b: F.struct(b["layers"].alias("layers"), b["excerpt"].alias("excerpt"), label(b).alias("label")))
     payloads = F.transform(F.filter(blobs, lambda b: b["label"] != ""), lambda b: F.concat(F.array_join(b["layers"], "+"), F.lit(" blob '"), b["excerpt"], F.lit("' decodes to "), b["label"]))
-    runs = F.when(F.col("text").rlike(DECODES) & F.col("text").rlike(RUNS), F.transform(run_after_decoding(F.col("text")), lambda r: F.concat(F.lit("line "), r["line"].cast("string"), F.lit(": "), r["told"])))
+    runs = F.when(F.col("shown").isNotNull() & F.col("text").rlike(DECODES) & F.col("text").rlike(RUNS), F.transform(run_after_decoding(F.col("text")), lambda r: F.concat(F.lit("line "), r["line"].cast("string"), F.lit(": "), r["told"])))
     few = lambda kind, items: F.transform(F.slice(F.coalesce(items, F.array().cast("array<string>")), 1, EVIDENCE), lambda d, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), d.alias("detail")))
     hits = opened.select("pkg_id", "path", F.explode(F.concat(few(0, payloads), few(1, runs), few(2, F.col("x.spent")))).alias("h")).select("pkg_id", "path", "h.*")
     ranked = hits.withColumn("n", F.row_number().over(W.partitionBy("pkg_id", "kind").orderBy("path", "place", "detail"))).where(F.col("n") <= EVIDENCE)
@@ -134,7 +137,8 @@ def encoded_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
 def hidden_output_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
     """AST01: do the output blocks and templates that a package ships hold invisible characters or text in base64?"""
     path, text = F.col("path"), F.col("text")
-    shipped = files.where(text.isNotNull() & path.rlike(SURFACE))
+    templates = path.rlike(TEMPLATES) | F.lower(path).rlike("^(?:templates|output)/")
+    shipped = files.where(text.isNotNull() & path.rlike(SURFACE) & (text.contains("```") | templates))
     kinds = F.regexp_extract_all(text, F.lit(OUTPUT_FENCE), 1)
     fences = F.transform(F.regexp_extract_all(text, F.lit(OUTPUT_FENCE), 2), lambda r, i: F.struct(F.lit(0).alias("kind"), i.alias("place"), F.concat(F.lit(" ("), F.get(kinds, i), F.lit(" block)")).alias("label"), r.alias("region")))
     whole = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.lit("").alias("label"), text.alias("region")))
@@ -144,7 +148,7 @@ def hidden_output_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
         F.when(F.lower(path).rlike("^(?:templates|output)/"), whole(2)).otherwise(none),
     )
     rows = shipped.select("pkg_id", "path", F.explode(regions).alias("r")).select("pkg_id", "path", "r.*")
-    said = nested_udf(decoding.first_base64_text, "string")(F.regexp_extract_all("region", F.lit(BASE64_RUN), 0))
+    said = nested_udf(decoding.first_base64_text, "string", once=True)(F.regexp_extract_all("region", F.lit(BASE64_RUN), 0))
     seen = F.when(F.col("region").rlike(t.INVISIBLE), F.concat(F.lit(": invisible characters "), listed(t.invisible_points(F.col("region")))))
     detail = F.coalesce(seen, F.concat(F.lit(": base64 that reads: "), t.snippet(said)))
     found = rows.select("pkg_id", "kind", "path", "place", F.concat("path", "label", detail).alias("detail")).where("detail IS NOT NULL")
@@ -156,6 +160,7 @@ def obfuscated_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
     """AST01: does a shipped script decode a literal into something that runs it, or pipe decoded base64 into a shell?"""
     text = F.col("text")
     rows = files.where(text.isNotNull() & F.col("path").rlike(SURFACE) & F.col("path").rlike(SCRIPTS))
+    rows = rows.select("pkg_id", "path", "text", sieve({"decoder": DECODER})(text).alias("shown")).where("shown IS NOT NULL")
     window = F.left(F.regexp_extract(text, rf"(?:{RUN_OF_DECODE})(?s:.{{0,400}})", 0), F.lit(400))
     rows = rows.select("pkg_id", "path", F.regexp_extract(text, RUN_OF_DECODE, 0).alias("run"), F.regexp_extract(window, LITERAL, 1).alias("literal"), F.regexp_extract(text, SHELL_OF_DECODE, 0).alias("shell"))
     said = nested_udf(decoding.base64_text, "string")(F.when(F.col("literal") != "", F.col("literal")))
@@ -183,13 +188,13 @@ def folded_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
     """
     described = packages.select("pkg_id", F.lit("<manifest.description>").alias("path"), F.col("description").alias("text")).where("text <> ''")
     rows = files.where(F.col("text").isNotNull()).select("pkg_id", "path", "text").unionByName(described)
-    rows = rows.select("pkg_id", "path", "text", decoding.unfolded(F.col("text")).alias("x"))
+    rows = rows.select("pkg_id", "path", "text", decoding.unfolded(F.col("text")).alias("x")).where("x IS NOT NULL")
     view, text = F.col("x.view"), F.col("text")
 
     def shown(name: str, p: str) -> Column:
         more = view.isNotNull() & (view != text) & (F.regexp_count(view, F.lit(p)) > F.regexp_count(text, F.lit(p)))
-        at = raw_place(F.col("x.edges"), F.regexp_instr(view, F.lit(p)) - 1)
-        return F.when(more, F.concat(F.lit(f"{name} is split or folded from character "), at.cast("string"), F.lit(" on: "), F.left(F.regexp_extract(view, p, 0), F.lit(120))))
+        places = F.transform(F.array(F.regexp_instr(view, F.lit(p)) - 1), lambda at: raw_place(F.col("x.edges"), at))  # looked for once, not at every edge
+        return F.when(more, F.concat(F.lit(f"{name} is split or folded from character "), F.get(places, F.lit(0)).cast("string"), F.lit(" on: "), F.left(F.regexp_extract(view, p, 0), F.lit(120))))
 
     spelled = F.concat(F.lit("zero-width characters from character "), F.col("x.zero_width.at").cast("string"), F.lit(" on read: "), F.left(F.col("x.zero_width.text"), F.lit(80)))
 
@@ -199,7 +204,6 @@ def folded_findings(packages: DataFrame, files: DataFrame) -> DataFrame:
 
     detail = F.coalesce(*(shown(*r) for r in RULES), spelled, _first(F.transform("x.layers", layered)))
     by_file = rows.select("pkg_id", "path", detail.alias("detail"), F.when(F.size("x.spent") > 0, F.array_join("x.spent", ", ")).alias("spent"))
-    by_file = by_file.where("detail IS NOT NULL OR spent IS NOT NULL")
     first = by_file.groupBy("pkg_id").agg(F.min(F.when(F.col("detail").isNotNull(), F.struct("path", "detail"))).alias("hit"), F.min(F.when(F.col("spent").isNotNull(), F.struct("path", "spent"))).alias("bound"))
     bound = F.concat(F.lit("INCOMPLETE, a decoding bound was met: "), "bound.path", F.lit(": "), "bound.spent")
     evidence = F.coalesce(F.concat("hit.path", F.lit(": "), "hit.detail"), bound)
