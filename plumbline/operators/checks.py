@@ -8,6 +8,7 @@ package's allowlist where a check needs that, and are reduced to the first by pa
 from __future__ import annotations
 
 import importlib.util
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from plumbline.functions import digests, hosts, paths
 from plumbline.functions import text as t
+from plumbline.sources.arrow import sieve
 from plumbline.sources.manifests import frontmatter
 from plumbline.sources.packages import SURFACE, regular
 
@@ -133,6 +135,18 @@ EGRESS = (
     r"|urlopen|httpx\.(?:get|post|put|request)|axios(?:\.\w+)?|fetch|Net::HTTP|HTTPSConnection|HTTPConnection)\b"
 )
 EGRESS_URL = r"https?://([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)(?::\d+)?"
+#: For RE2: what the patterns of the checks of text cannot match without, by what they look for.
+SIGNS = {
+    "fetch": r"(?i:curl|wget|iwr|irm|invoke-)",
+    "pipe": r"\||<\(",
+    "identity": r"(?i:(?:SOUL|MEMORY|AGENTS|PERSONA|IDENTITY)\.(?:md|json|ya?ml))",
+    "socket": r"(?i:wss?://)",
+    "egress": r"curl|wget|Invoke-WebRequest|iwr|requests\.|urlopen|httpx\.|axios|fetch|Net::HTTP|HTTPS?Connection",
+    "url": r"https?://",
+    "yaml": r"!!(?:python|ruby)/|yaml\.",
+    "key": r"__proto__|constructor|prototype",
+    "invisible": t.INVISIBLE,
+}
 # --- end of fixed values ---
 
 LINE_END = r"\R|[\x1c-\x1e]"
@@ -215,9 +229,11 @@ def file_hits(files: DataFrame) -> DataFrame:
     """Hits in files(pkg_id, path, text) that need no manifest, and sites to be held against an allowlist.
 
     One row for each file and check: pkg_id, check_id, path, detail, and hosts (null where
-    the allowlist does not matter). Files are scanned where they lie.
+    the allowlist does not matter). Files are scanned where they lie; a check's patterns are
+    tried on those that show its signs.
     """
     text, path = F.col("text"), F.col("path")
+    shown = lambda detail, *signs: F.when(reduce(Column.__and__, (F.col(f"shown.{s}") for s in signs)), detail)
     script = path.rlike(SCRIPTS)
     low = F.lower(path)
     sends = F.when(text.rlike(SENDS), F.regexp_extract(text, SENDS, 0)).when(low.rlike(r"\.(?:sh|bash|zsh)$") & text.rlike(SHELL_SENDS), F.regexp_extract(text, SHELL_SENDS, 0))
@@ -240,21 +256,22 @@ def file_hits(files: DataFrame) -> DataFrame:
     reached = F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(s, F.lit(EGRESS_URL), 1)))
     none = F.lit(None).cast("array<string>")
     checks = [
-        ("AST01-social-engineering-prerequisites", F.when(F.size(piped_hosts) > 0, "remote fetch piped to a shell"), piped_hosts),
-        ("AST01-soul-md-persistence", F.when(script, _writes("SOUL.md")), none),
-        ("AST01-memory-poisoning", F.when(script, _writes("MEMORY.md")), none),
-        ("AST01-identity-clone-exfiltration", F.when(script & sends.isNotNull() & cloned, F.concat(F.lit("reads an identity file and sends: "), t.snippet(sends))), none),
-        ("AST01-websocket-c2", F.when(script & text.rlike(WEBSOCKET), "WebSocket client"), F.regexp_extract_all(text, F.lit(WEBSOCKET), 1)),
-        ("AST04-permission-understating", F.when(path.rlike(CODE) & text.rlike(EGRESS) & (F.size(reached) > 0), "egress call"), F.transform(reached, F.lower)),
-        ("AST04-yaml-injection", F.coalesce(tagged, loads), none),
-        ("AST04-json-injection", polluted, none),
+        ("AST01-social-engineering-prerequisites", shown(F.when(F.size(piped_hosts) > 0, "remote fetch piped to a shell"), "fetch", "pipe"), piped_hosts),
+        ("AST01-soul-md-persistence", shown(F.when(script, _writes("SOUL.md")), "identity"), none),
+        ("AST01-memory-poisoning", shown(F.when(script, _writes("MEMORY.md")), "identity"), none),
+        ("AST01-identity-clone-exfiltration", shown(F.when(script & sends.isNotNull() & cloned, F.concat(F.lit("reads an identity file and sends: "), t.snippet(sends))), "identity"), none),
+        ("AST01-websocket-c2", shown(F.when(script & text.rlike(WEBSOCKET), "WebSocket client"), "socket"), F.regexp_extract_all(text, F.lit(WEBSOCKET), 1)),
+        ("AST04-permission-understating", shown(F.when(path.rlike(CODE) & text.rlike(EGRESS) & (F.size(reached) > 0), "egress call"), "egress", "url"), F.transform(reached, F.lower)),
+        ("AST04-yaml-injection", shown(F.coalesce(tagged, loads), "yaml"), none),
+        ("AST04-json-injection", shown(polluted, "key"), none),
         ("AST04-toml-injection", toml, none),
-        ("AST04-invisible-unicode-smuggling", F.when(text.rlike(t.INVISIBLE), listed(points)), none),
+        ("AST04-invisible-unicode-smuggling", shown(F.when(text.rlike(t.INVISIBLE), listed(points)), "invisible"), none),
     ]
     own = ~path.contains("/") & low.endswith(".toml") & ~low.isin(FOREIGN_TOML)
     one = lambda c, d, h: F.when(d.isNotNull(), F.struct(F.lit(c).alias("check_id"), d.alias("detail"), h.alias("hosts")))
     hits = F.array_compact(F.array(*(one(*c) for c in checks)))
-    out = files.where(text.isNotNull()).withColumn("toml_keys", toml_keys(F.when(own, text)))
+    out = files.where(text.isNotNull()).select("pkg_id", "path", "text", sieve(SIGNS)(text).alias("shown")).where(F.col("shown").isNotNull() | low.endswith(".toml"))
+    out = out.withColumn("toml_keys", toml_keys(F.when(own, text)))
     return out.select("pkg_id", "path", F.explode(hits).alias("x")).select("pkg_id", "x.check_id", "path", "x.detail", "x.hosts")
 
 
@@ -269,9 +286,9 @@ def undeclared(hits: DataFrame, packages: DataFrame) -> DataFrame:
     named = F.transform(F.coalesce("allow", F.array().cast("array<string>")), F.lower)
     routable = F.filter(F.transform("hosts", hosts.normalize), lambda h: (h != "") & (hosts.host_class(h) == "routable"))
     away = F.when(bare, F.when(~F.array_contains(named, "*"), F.array_except("hosts", named))).when(~F.coalesce("_open", F.lit(False)), F.array_except(routable, named))
-    sites = hits.where(F.col("hosts").isNotNull()).join(bound, "pkg_id", "left").withColumn("_away", away).where(F.size("_away") > 0)
-    found = sites.select("pkg_id", "check_id", "path", F.concat("detail", F.lit(" to undeclared host(s) "), listed(F.col("_away"))).alias("detail"))
-    return hits.where(F.col("hosts").isNull()).drop("hosts").unionByName(found)
+    held = hits.join(bound, "pkg_id", "left").withColumn("_away", F.when(F.col("hosts").isNotNull(), away))  # hits once: files are scanned for them
+    told = F.when(F.col("hosts").isNull(), F.col("detail")).otherwise(F.concat("detail", F.lit(" to undeclared host(s) "), listed(F.col("_away"))))
+    return held.where(F.col("hosts").isNull() | (F.size("_away") > 0)).select("pkg_id", "check_id", "path", told.alias("detail"))
 
 
 def _granted(packages: DataFrame) -> DataFrame:
