@@ -281,7 +281,7 @@ def run_summary(spark, d):
 )
 def control_delta(spark, d):
     """What the skill changes in the latest iteration's blind controls."""
-    return runs.deltas(runs.summary(runs.latest(runs.runs(_run_tree(spark, d))), control=True)).select("iteration", "delta_pass_rate")
+    return runs.deltas(runs.summary(runs.runs(runs.latest(_run_tree(spark, d))), control=True)).select("iteration", "delta_pass_rate")
 
 
 _CARDS = (

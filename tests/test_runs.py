@@ -1,6 +1,9 @@
 """Trees of evaluation runs and the refusal ledger against results that are written down."""
 
 import json
+import random
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +141,34 @@ def test_ledger_is_reconciled_both_ways(spark, found):
     }
     report = ledger.report(found)
     assert {(r.corpus, r.attempted, r.pooled, r.refused) for r in report.where(F.col("skill").isNull()).collect()} == {("old", 36, 29, 7), ("new", 30, 24, 6)}
+
+
+def test_runs_are_read_once_for_a_summary(spark):
+    made = random.Random(2)
+    rows = [(1 + i % 2, f"s{made.randrange(40)}", made.choice(runs.ARMS), i, made.random() < 0.7, made.choice([None, made.random()]), 0.1, None) for i in range(3000)]
+    rows += [(1, "one-armed", runs.ARMS[0], i, True, 5.0, 7.0, 1.0) for i in range(9)] + [(3, "lone", a, 1, True, 0.5, None, 3.0) for a in runs.ARMS] + [(4, "none", runs.ARMS[0], 1, False, 0.5, None, 3.0)]
+    found = spark.createDataFrame(rows, "iteration int, slug string, arm string, repeat int, graded boolean, pass_rate double, seconds double, tokens double").repartition(5)
+    summed = runs.summary(found)
+    assert summed._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r.iteration, r.arm): r for r in summed.collect()}
+    arms = {}
+    for r in rows:
+        arms.setdefault(r[:2], set()).update({r[2]} if r[4] else set())
+    assert set(got) == {(i, a) for i in (1, 2, 3) for a in runs.ARMS}
+    for (i, a), r in got.items():
+        mine = [x for x in rows if x[0] == i and x[2] == a and x[4] and len(arms[x[:2]]) == 2]
+        assert (r.runs, r.paired, r.excluded) == (len(mine), sum(len(v) == 2 for k, v in arms.items() if k[0] == i), sum(len(v) < 2 for k, v in arms.items() if k[0] == i))
+        for at, name in ((5, "pass_rate"), (6, "seconds"), (7, "tokens")):
+            v = [x[at] for x in mine if x[at] is not None]
+            assert r[f"{name}_n"] == len(v) and r[f"{name}_mean"] == (pytest.approx(statistics.fmean(v)) if v else None)
+            assert r[f"{name}_sd"] == (pytest.approx(statistics.stdev(v), abs=1e-15) if len(v) > 1 else None)
+
+
+def test_parts_of_paths_are_those_of_the_pattern(spark):
+    paths = [
+        "iteration-1/a/with_skill/x", "/w/iteration-12/a b/without_skill_07/x/y/z.txt", "//iteration-3/with_skill/with_skill-2/f", "iteration-1/iteration-2/with_skill/iteration-3/s/without_skill/f", "/iteration-1//with_skill/f",
+        "xiteration-1/a/with_skill/f", "iteration-1/a/with_skill-/f", "iteration-1/a/with_skillx/f", "iteration-1/a/with_skill/", "iteration-4/a/with_skill//f", "iteration-5/a/without_skill-1234567890/f", "iteration-6/a\nb/with_skill-3/f\n",
+    ]
+    got = {(r.n_bytes, r.iteration, r.slug, r.arm, r.repeat, r.file) for r in runs.of_paths(spark.createDataFrame([(p, i, None) for i, p in enumerate(paths)], "path string, n_bytes long, content binary")).collect()}
+    found = [(i, re.search(runs.RUN, p)) for i, p in enumerate(paths)]
+    assert got == {(i, int(m[1]), m[2], m[3], 1 if m[4] is None else int(m[4]) if len(m[4]) < 10 else None, m[5]) for i, m in found if m} and len(got) == 7
